@@ -20,6 +20,13 @@ _BOX_FACES = [(0, 2, 1), (0, 3, 2), (4, 5, 6), (4, 6, 7), (0, 1, 5), (0, 5, 4),
               (1, 2, 6), (1, 6, 5), (2, 3, 7), (2, 7, 6), (3, 0, 4), (3, 4, 7)]
 
 
+def _stored(build):
+    """Write a base table once per session, as a deployment would have it on disk."""
+    def table(self: "Fixtures") -> DataFrame:
+        return cut(build(self))
+    return table
+
+
 class Fixtures:
     """Lazy tables over one data folder; each attribute is a DataFrame."""
 
@@ -38,6 +45,7 @@ class Fixtures:
         return self.sql("SELECT p_partkey AS k, p_name, p_brand, p_type, p_size, (SELECT COUNT(*) FROM {p}) AS n FROM {p}", p=p)
 
     @cached_property
+    @_stored
     def part(self) -> DataFrame:
         return self.sql("""
             SELECT k AS part_id, CONCAT(CASE WHEN k >= n - 40 THEN 'BOLT-' ELSE 'PN-' END, k) AS part_number,
@@ -46,6 +54,7 @@ class Fixtures:
             FROM {p}""", p=self.keyed_part)
 
     @cached_property
+    @_stored
     def edge(self) -> DataFrame:
         return self.sql("""
             SELECT CAST(FLOOR((k - 1) / 4) AS BIGINT) AS parent_part, k AS child_part, CONCAT('i', k) AS instance_name,
@@ -57,6 +66,7 @@ class Fixtures:
                         p=self.keyed_part)
 
     @cached_property
+    @_stored
     def revision(self) -> DataFrame:
         return self.sql("""
             SELECT part_id * 10 + i AS revision_id, part_id, i AS revision_index,
@@ -78,6 +88,7 @@ class Fixtures:
             FROM (SELECT *, explode(sequence(1, CAST(1 + parent_part % 3 AS INT))) AS i FROM {e})""", e=self.edge)
 
     @cached_property
+    @_stored
     def occurrence(self) -> DataFrame:
         """Edges in the stored shape: pose columns, pose key, sort key and an id."""
         return self.sql("""
@@ -94,6 +105,7 @@ class Fixtures:
                   FROM {e})""", e=self.edges_by_revision)
 
     @cached_property
+    @_stored
     def shape(self) -> DataFrame:
         return self.sql("""
             SELECT fingerprint, dx, dy, dz, dx * dy * dz AS volume,
@@ -107,6 +119,7 @@ class Fixtures:
                          CAST(5 + p_size % 7 AS DOUBLE) AS dz FROM {p})""", p=self.keyed_part)
 
     @cached_property
+    @_stored
     def contract(self) -> DataFrame:
         return self.sql("""
             SELECT revision_id, CONCAT('con-', revision_id) AS contract_id,

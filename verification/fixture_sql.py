@@ -10,6 +10,8 @@ import re
 from functools import lru_cache
 from pathlib import Path
 
+from .extra_views import VIEWS
+
 _DOC = Path(__file__).resolve().parent.parent / "FIXTURES.md"
 
 
@@ -21,6 +23,7 @@ def views() -> dict[str, str]:
     for chunk in block.split("-- name: ")[1:]:
         name, body = chunk.split("\n", 1)
         out[name.strip()] = body.replace("```", "").strip().rstrip(";")
+    out.update(VIEWS)
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from partloom.sources.fixtures import Fixtures
 
+from .extra_views import VIEWS
 from .fixture_sql import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +38,24 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+def extra(fx: Fixtures, name: str) -> DataFrame:
+    """One of the further derived inputs, built by Spark from the fixture tables."""
+    done = fx.__dict__.setdefault("_extra", {})
+    if name not in done:
+        text = VIEWS[name]
+        bound = {}
+        for used in set(re.findall(r"\b(?:fx_\w+|lineitem|part)\b(?= (?:[a-z]\b|ON|JOIN|GROUP|WHERE|$))|(?<=FROM )(?:fx_\w+|lineitem|part)\b", text)):
+            bound[used] = extra(fx, used) if used in VIEWS else (
+                getattr(fx, _NAMES.get(used, used[3:])) if used.startswith("fx_") else fx.raw(used))
+        for used in bound:
+            text = re.sub(rf"(FROM|JOIN) {used}\b", rf"\1 {{{used}}}", text)
+        done[name] = fx.spark.sql(text, **bound)
+    return done[name]
+
+
+_NAMES = {"fx_occurrence": "edges_by_revision"}
+
+
 def grid(col, scale: int = 1_000_000) -> Column:
     """A double as a whole number of 1/scale units, so that engines which add in
     another order still agree."""
