@@ -40,4 +40,44 @@ UNION ALL SELECT part_id, CONCAT('how about XZ-', CAST(part_id AS STRING), '-Q t
     "fx_definition": """
 SELECT l_suppkey AS file_id, l_partkey AS definition_key, p_brand AS name, MIN(l_orderkey * 10 + l_linenumber) AS first_seen
 FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey, l_partkey, p_brand""",
+    # Invariants of the box shapes in closed form, and probes a little off them.
+    "fx_invariant": """
+SELECT fingerprint, chirality, char_length, volume, area, dx, dy, dz,
+       POWER(CAST(3.141592653589793 AS DOUBLE), CAST(1 AS DOUBLE) / 3) * POWER(6 * volume, CAST(2 AS DOUBLE) / 3) / area AS sphericity,
+       POWER(volume, CAST(-2 AS DOUBLE) / 3) * LEAST(dx, dy, dz) * LEAST(dx, dy, dz) / 12 AS j1,
+       POWER(volume, CAST(-2 AS DOUBLE) / 3) * (dx + dy + dz - LEAST(dx, dy, dz) - GREATEST(dx, dy, dz)) * (dx + dy + dz - LEAST(dx, dy, dz) - GREATEST(dx, dy, dz)) / 12 AS j2,
+       POWER(volume, CAST(-2 AS DOUBLE) / 3) * GREATEST(dx, dy, dz) * GREATEST(dx, dy, dz) / 12 AS j3
+FROM fx_shape""",
+    "fx_probe": """
+SELECT p.probe_id, p.truth, p.char_length, p.chirality, i.sphericity, i.j1, i.j2, i.j3,
+       CASE WHEN RIGHT(p.probe_id, 1) = '3' THEN p.truth WHEN RIGHT(p.probe_id, 1) = '1' THEN CONCAT('alias-', p.truth) ELSE p.probe_id END AS strict
+FROM fx_shape_probe p JOIN fx_invariant i ON i.fingerprint = p.truth""",
+    "fx_alias": "SELECT CONCAT('alias-', fingerprint) AS alias_fingerprint, fingerprint FROM fx_shape WHERE chirality > 0",
+    # Faces of the box shapes: six planes, and four holes as seam-split half cylinders,
+    # some counterbored, chamfered or broken out.
+    "fx_face": """
+SELECT fingerprint, CAST(f.f AS BIGINT) AS face_id, 'plane' AS kind,
+       CASE WHEN f.f < 2 THEN dy * dz WHEN f.f < 4 THEN dx * dz ELSE dx * dy END AS area,
+       CAST(CASE WHEN f.f = 0 THEN -1 WHEN f.f = 1 THEN 1 ELSE 0 END AS DOUBLE) AS nx,
+       CAST(CASE WHEN f.f = 2 THEN -1 WHEN f.f = 3 THEN 1 ELSE 0 END AS DOUBLE) AS ny,
+       CAST(CASE WHEN f.f = 4 THEN -1 WHEN f.f = 5 THEN 1 ELSE 0 END AS DOUBLE) AS nz,
+       CASE WHEN f.f = 1 THEN dx ELSE CAST(0 AS DOUBLE) END AS ox, CASE WHEN f.f = 3 THEN dy ELSE CAST(0 AS DOUBLE) END AS oy,
+       CASE WHEN f.f = 5 THEN dz ELSE CAST(0 AS DOUBLE) END AS oz,
+       CAST(NULL AS DOUBLE) AS axis_x, CAST(NULL AS DOUBLE) AS axis_y, CAST(NULL AS DOUBLE) AS axis_z,
+       CAST(NULL AS DOUBLE) AS px, CAST(NULL AS DOUBLE) AS py, CAST(NULL AS DOUBLE) AS pz, CAST(NULL AS DOUBLE) AS radius,
+       FALSE AS internal, CAST(NULL AS DOUBLE) AS extent, CAST(NULL AS DOUBLE) AS sweep
+FROM fx_shape s JOIN (SELECT 0 AS f UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) f ON f.f >= 0
+UNION ALL
+SELECT fingerprint, CAST(10 + h.h * 10 + r.r AS BIGINT), CASE WHEN r.r = 4 THEN 'cone' ELSE 'cylinder' END, CAST(1 AS DOUBLE),
+       NULL, NULL, NULL, NULL, NULL, NULL, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(CASE WHEN r.r % 2 = 0 THEN 1 ELSE -1 END AS DOUBLE),
+       dx / 5 + CASE WHEN h.h IN (1, 3) THEN dx / 2 ELSE CAST(0 AS DOUBLE) END, dy / 5 + CASE WHEN h.h >= 2 THEN dy / 2 ELSE CAST(0 AS DOUBLE) END,
+       CAST(r.r * 3 AS DOUBLE), CASE WHEN r.r IN (2, 3) THEN CAST(5.5 AS DOUBLE) ELSE CAST(3.3 AS DOUBLE) + CAST(h.h AS DOUBLE) / 100000 END, TRUE,
+       CASE WHEN r.r IN (2, 3) THEN CAST(2 AS DOUBLE) ELSE dz - CASE WHEN chirality = 1 THEN 2 ELSE 0 END END, CAST(3.141592653589793 AS DOUBLE)
+FROM fx_shape s JOIN (SELECT 0 AS h UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) h ON h.h >= 0
+JOIN (SELECT 0 AS r UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) r
+  ON r.r < 2 AND NOT (r.r = 1 AND h.h = 3 AND dx > 50) OR r.r IN (2, 3) AND chirality = 1 OR r.r = 4 AND h.h = 0""",
+    "fx_solid": """
+SELECT CONCAT('S', CAST(p_partkey AS STRING)) AS solid_id, p_brand AS case_id, CASE WHEN p_partkey % 3 = 0 THEN 'a' WHEN p_partkey % 3 = 1 THEN 'b' ELSE 'c' END AS variant,
+       i.fingerprint AS strict, i.char_length, i.chirality, i.sphericity, i.j1, i.j2, i.j3
+FROM part JOIN fx_invariant i ON i.fingerprint = CONCAT(p_type, '-', CAST(p_size AS STRING))""",
 }
