@@ -18,11 +18,11 @@ def _(fx):
 
 @query("a10_moments", f"""
 SELECT fingerprint, {grid_sql('volume', 1000)} AS volume, {grid_sql('dx / 2')} AS com_x, {grid_sql('dz / 2')} AS com_z,
-       {grid_sql('volume * dx * dx / 12', 10)} AS s_xx, {grid_sql('volume * dy * dy / 12', 10)} AS s_yy, 0 AS s_xy, 0 AS t_xxx, 0 AS t_xyz FROM fx_shape""")
+       {grid_sql('volume * dx * dx / 12', 12)} AS s_xx, {grid_sql('volume * dy * dy / 12', 12)} AS s_yy, 0 AS s_xy, 0 AS t_xxx, 0 AS t_xyz FROM fx_shape""")
 def _(fx):
     m = shapes.moments(fx.triangle)
     return m.select("fingerprint", grid("volume", 1000).alias("volume"), grid("com_x").alias("com_x"), grid("com_z").alias("com_z"),
-                    grid("s_xx", 10).alias("s_xx"), grid("s_yy", 10).alias("s_yy"), grid("s_xy", 10).alias("s_xy"),
+                    grid("s_xx", 12).alias("s_xx"), grid("s_yy", 12).alias("s_yy"), grid("s_xy", 10).alias("s_xy"),
                     grid("t_xxx", 10).alias("t_xxx"), grid("t_xyz", 10).alias("t_xyz"))
 
 
@@ -42,10 +42,10 @@ def _(fx):
 
 
 @query("f24_inertia", f"""
-SELECT fingerprint, {grid_sql('volume * (dy * dy + dz * dz) / 12', 10)} AS xx, {grid_sql('volume * (dx * dx + dz * dz) / 12', 10)} AS yy, 0 AS xy FROM fx_shape""")
+SELECT fingerprint, {grid_sql('volume * (dy * dy + dz * dz) / 12', 12)} AS xx, {grid_sql('volume * (dx * dx + dz * dz) / 12', 12)} AS yy, 0 AS xy FROM fx_shape""")
 def _(fx):
     i = geometry.inertia()
-    return shapes.moments(fx.triangle).select("fingerprint", *[grid(i[m], 10).alias(m) for m in ("xx", "yy", "xy")])
+    return shapes.moments(fx.triangle).select("fingerprint", *[grid(i[m], 12).alias(m) for m in ("xx", "yy", "xy")])
 
 
 @query("a12_degeneracy", """
@@ -58,11 +58,11 @@ def _(fx):
 
 
 @query("n05_principal_frame", f"""
-SELECT fingerprint, {grid_sql('volume * LEAST(dx, dy, dz) * LEAST(dx, dy, dz) / 12', 10)} AS e0, {grid_sql('volume * GREATEST(dx, dy, dz) * GREATEST(dx, dy, dz) / 12', 10)} AS e2,
+SELECT fingerprint, {grid_sql('volume * LEAST(dx, dy, dz) * LEAST(dx, dy, dz) / 12', 12)} AS e0, {grid_sql('volume * GREATEST(dx, dy, dz) * GREATEST(dx, dy, dz) / 12', 12)} AS e2,
        FALSE AS frame_stable, 0 AS handedness FROM fx_shape""")
 def _(fx):
     f = shapes.principal_frames(shapes.moments(fx.triangle), fx.triangle)
-    return f.select("fingerprint", grid("e0", 10).alias("e0"), grid("e2", 10).alias("e2"), "frame_stable", "handedness")
+    return f.select("fingerprint", grid("e0", 12).alias("e0"), grid("e2", 12).alias("e2"), "frame_stable", "handedness")
 
 
 @query("a09_face_histogram", """
