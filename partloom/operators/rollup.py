@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import pose
 from ..session import cut, union_all
@@ -29,6 +29,15 @@ def bill_of_materials(roots: DataFrame, occ: DataFrame, rev: DataFrame, part: Da
         (F.col("quantity") * F.col("unit_mass_g")).alias("total_mass_g"))
 
 
+def bom_totals(bom: DataFrame, most: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Total mass and number of parts per root, and the most numerous parts of each root."""
+    total = bom.groupBy("root_rev").agg(F.count(F.lit(1)).alias("parts"), F.sum("total_qty").alias("pieces"),
+                                        F.coalesce(F.sum("total_mass_g"), F.lit(0.0)).alias("mass_g"))
+    w = Window.partitionBy("root_rev").orderBy(F.desc("total_qty"), "part_number", "revision_id")
+    top = bom.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    return total, top.select("root_rev", "rank", "part_number", "revision_id", "team_id", "total_qty")
+
+
 _STATE = ["mass", "sx", "sy", "sz", "power", "thermal"]
 
 
@@ -85,6 +94,33 @@ def rollup(occ: DataFrame, rev: DataFrame, shape: DataFrame, contract: DataFrame
         F.col("thermal").alias("thermal_w"), *cg)
 
 
+def rollup_changes(delta: DataFrame, occ: DataFrame, live: DataFrame, max_depth: int = graph.DEPTH_GUARD) -> DataFrame:
+    """Carry state changes of replaced revisions up the live configuration, per commit.
+
+    delta(commit_id, revision_id, mass, sx, sy, sz, power, thermal) -> the change of every
+    ancestor's totals. Totals are linear, so nothing but the changed paths is walked.
+    """
+    inside = live.select(F.col("revision_id").alias("parent_rev")).distinct()
+    edges = cut(occ.join(inside, "parent_rev", "left_semi").select(
+        "parent_rev", "child_rev", F.col("quantity").cast("double").alias("q"), *pose.COLUMNS))
+    level = cut(delta.select("commit_id", "revision_id", *_STATE))
+    levels = [level]
+    for depth in range(1, max_depth + 2):
+        turned = [sum((F.col(f"m{r}{k}") * F.col(f"s{'xyz'[k]}") for k in range(1, 3)),
+                      F.col(f"m{r}0") * F.col("sx")) + F.col("mass") * F.col(f"m{r}3") for r in range(3)]
+        moved = level.join(edges, level.revision_id == edges.child_rev).select(
+            "commit_id", F.col("parent_rev").alias("revision_id"), (F.col("mass") * F.col("q")).alias("mass"),
+            *[(t * F.col("q")).alias(f"s{a}") for t, a in zip(turned, "xyz")],
+            (F.col("power") * F.col("q")).alias("power"), (F.col("thermal") * F.col("q")).alias("thermal"))
+        level = cut(moved.groupBy("commit_id", "revision_id").agg(*[F.sum(c).alias(c) for c in _STATE]))
+        if level.isEmpty():
+            break
+        if depth > max_depth:
+            raise graph.DepthExceeded(f"assembly deeper than {max_depth}")
+        levels.append(level)
+    return union_all(levels).groupBy("commit_id", "revision_id").agg(*[F.sum(c).alias(c) for c in _STATE])
+
+
 def without_density(roots: DataFrame, occ: DataFrame, rev: DataFrame, part: DataFrame, shape: DataFrame,
                     contract: DataFrame) -> DataFrame:
     """The leaf parts below each root that weigh nothing because no density is known."""

@@ -80,4 +80,16 @@ JOIN (SELECT 0 AS r UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNI
 SELECT CONCAT('S', CAST(p_partkey AS STRING)) AS solid_id, p_brand AS case_id, CASE WHEN p_partkey % 3 = 0 THEN 'a' WHEN p_partkey % 3 = 1 THEN 'b' ELSE 'c' END AS variant,
        i.fingerprint AS strict, i.char_length, i.chirality, i.sphericity, i.j1, i.j2, i.j3
 FROM part JOIN fx_invariant i ON i.fingerprint = CONCAT(p_type, '-', CAST(p_size AS STRING))""",
+    # Source trees: every supplier's file holds the parts of its line items below one node per order.
+    "fx_source_node": """
+SELECT l_suppkey AS file_id, CONCAT('r', CAST(l_suppkey AS STRING)) AS node_id, CAST(NULL AS STRING) AS parent_id, CONCAT('root-', CAST(l_suppkey AS STRING)) AS definition_key,
+       CONCAT('FILE-', CAST(l_suppkey AS STRING)) AS name, '' AS instance_name, CAST(NULL AS STRING) AS solid_id, 1 AS quantity, CAST(0 AS BIGINT) AS position,
+       CAST(0 AS DOUBLE) AS tx, CAST(0 AS BIGINT) AS quarter_turns FROM lineitem GROUP BY l_suppkey
+UNION ALL
+SELECT l_suppkey, CONCAT('o', CAST(l_orderkey AS STRING)), CONCAT('r', CAST(l_suppkey AS STRING)), CONCAT('order-', CAST(l_orderkey AS STRING)), CONCAT('KIT-', CAST(MIN(l_linenumber) AS STRING)),
+       CONCAT('k', CAST(l_orderkey AS STRING)), NULL, 1, CAST(l_orderkey * 100 AS BIGINT), CAST(l_orderkey % 50 AS DOUBLE), CAST(l_orderkey % 4 AS BIGINT) FROM lineitem GROUP BY l_suppkey, l_orderkey
+UNION ALL
+SELECT l_suppkey, CONCAT('l', CAST(l_orderkey AS STRING), '-', CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS STRING)), CONCAT('o', CAST(l_orderkey AS STRING)),
+       CONCAT('part-', CAST(l_partkey AS STRING)), p_brand, '', CONCAT(p_type, '-', CAST(p_size AS STRING)), CAST(l_quantity AS INT), CAST(l_orderkey * 100 + l_linenumber AS BIGINT), CAST(l_linenumber AS DOUBLE), CAST(l_linenumber % 4 AS BIGINT)
+FROM lineitem JOIN part ON p_partkey = l_partkey""",
 }
