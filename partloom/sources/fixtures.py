@@ -11,6 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.ranking import rank_within
 from ..session import cut
 
 _BOX_CORNERS = "array(struct(0,0,0), struct(1,0,0), struct(1,1,0), struct(0,1,0), " \
@@ -156,19 +157,22 @@ class Fixtures:
                          named_struct('x', w, 'y', h, 'z', 0D), named_struct('x', 0D, 'y', h, 'z', 0D)) AS points
             FROM {i}""", i=self.interface)
 
+    def numbered_lines(self, out: str) -> DataFrame:
+        """Line items numbered within their order, also when one order holds very many."""
+        order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+        return rank_within(self.raw("lineitem"), ["l_orderkey"], order, out)
+
     @cached_property
+    @_stored
     def dimension(self) -> DataFrame:
-        """Chain members with their dimension. Numbered within the chain; the
-        grouping key is the order, whose line count is bounded by the source."""
+        """Chain members with their dimension, numbered in the chain."""
         return self.sql("""
-            SELECT l_orderkey AS chain_id,
-                   ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq,
-                   l_partkey AS part_id, l_quantity AS nominal, l_discount AS tol_plus, l_tax AS tol_minus,
-                   CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS direction,
+            SELECT l_orderkey AS chain_id, seq, l_partkey AS part_id, l_quantity AS nominal, l_discount AS tol_plus,
+                   l_tax AS tol_minus, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS direction,
                    CASE WHEN l_linenumber % 3 = 0 THEN 1D ELSE 3D END AS sigma_span,
                    CASE WHEN l_linestatus = 'F' THEN 'normal' WHEN l_linenumber % 2 = 0 THEN 'uniform'
                         ELSE 'triangular' END AS distribution
-            FROM {l}""", l=self.raw("lineitem"))
+            FROM {l}""", l=self.numbered_lines("seq"))
 
     @cached_property
     def member(self) -> DataFrame:
@@ -199,14 +203,14 @@ class Fixtures:
             FROM {o}""", o=self.raw("orders"))
 
     @cached_property
+    @_stored
     def validation(self) -> DataFrame:
         return self.sql("""
-            SELECT l_orderkey AS commit_id,
-                   ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS validation_id,
+            SELECT l_orderkey AS commit_id, validation_id,
                    CASE l_linenumber WHEN 1 THEN 'concurrency' WHEN 2 THEN 'declaration' WHEN 3 THEN 'classification'
                         WHEN 4 THEN 'envelope' WHEN 5 THEN 'socket' WHEN 6 THEN 'budget' ELSE 'chain' END AS stage,
                    CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS passed, l_partkey AS part_id
-            FROM {l}""", l=self.raw("lineitem"))
+            FROM {l}""", l=self.numbered_lines("validation_id"))
 
     @cached_property
     def subscription(self) -> DataFrame:

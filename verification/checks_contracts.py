@@ -270,3 +270,27 @@ def _(fx):
     return boxes.join(head, F.substring_index("path", "/", 1) == F.col("head")).select(
         F.expr("substring(path, length(head) + 2)").alias("path"), (F.col("hi_x") - F.col("lo_x")).alias("ex"),
         (F.col("hi_y") - F.col("lo_y")).alias("ey"), (F.col("hi_z") - F.col("lo_z")).alias("ez"))
+
+
+def _fits(fx):
+    s = full_sockets(fx).filter("points IS NOT NULL")
+    at = sockets.targets(s, fx.occurrence, fx.revision, fx.part)
+    keep = ["points", "hole_count", "hole_radius", "fastener", "fit_class", "radius_tol", "spacing_tol", "nx", "ny", "nz"]
+    i = fx.full_interface.select(F.col("revision_id").alias("target_rev"), *[F.col(c).alias(f"i_{c}") for c in keep])
+    pair = s.select("socket_id", "filler_part", *[F.col(c).alias(f"s_{c}") for c in [*keep, "allow_dx", "allow_dy", "allow_dz"]]).join(at, "socket_id").join(i, "target_rev")
+    bounds = fx.revision.select(F.col("revision_id").alias("target_rev"), "fingerprint").join(fx.shape.select("fingerprint", *[f"bbox_{a}{e}" for a in "xyz" for e in ("min", "max")]), "fingerprint")
+    return sockets.match_steps(pair.join(bounds.drop("fingerprint"), "target_rev", "left"))
+
+
+@query("n10_registration", """
+SELECT s.socket_id, CASE WHEN s.filler_part % 7 = 5 THEN 'differs' ELSE 'same pattern' END AS fit
+FROM fx_socket s JOIN fx_occurrence o ON o.parent_rev = s.revision_id AND o.instance_name = s.fills WHERE s.filler_part % 9 <> 1""")
+def _(fx):
+    return _fits(fx).select("socket_id", F.when(F.col("rmsd") < 1e-6, "same pattern").otherwise("differs").alias("fit"))
+
+
+@query("n11_hole_assignment", f"""
+SELECT s.socket_id, {grid_sql('CASE WHEN s.filler_part % 7 IN (3, 5) THEN 2 ELSE 0 END')} AS miss
+FROM fx_socket s JOIN fx_occurrence o ON o.parent_rev = s.revision_id AND o.instance_name = s.fills WHERE s.filler_part % 9 <> 1""")
+def _(fx):
+    return _fits(fx).select("socket_id", grid("miss").alias("miss"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from partloom.functions.ranking import rank_within
 from partloom.operators import graph, rollup
 
 from .registry import grid, grid_sql, query
@@ -83,7 +84,7 @@ def _(fx):
 
 _USED = """
 WITH RECURSIVE up(part_id, rev, depth) AS (
-  SELECT r.part_id, r.revision_id, 0 FROM fx_revision r JOIN fx_proposal q ON q.part_id = r.part_id
+  SELECT r.part_id, r.revision_id, 0 FROM fx_revision r
   UNION
   SELECT u.part_id, o.parent_rev, u.depth + 1 FROM up u JOIN fx_occurrence o ON o.child_rev = u.rev
 )"""
@@ -95,7 +96,7 @@ SELECT u.part_id AS source_part, u.rev AS revision_id, MIN(u.depth) AS depth, r.
 FROM up u JOIN fx_revision r ON r.revision_id = u.rev JOIN fx_part p ON p.part_id = r.part_id
 WHERE u.depth > 0 GROUP BY u.part_id, u.rev, r.revision_index, p.part_id, p.part_number, p.team_id""")
 def _(fx):
-    return graph.where_used(fx.proposal, fx.occurrence, fx.revision, fx.part)
+    return graph.where_used(fx.part, fx.occurrence, fx.revision, fx.part)
 
 
 @query("g05_where_used_live", _USED.replace("WITH RECURSIVE", """
@@ -107,24 +108,24 @@ WITH RECURSIVE down(rev) AS (
 SELECT u.part_id AS source_part, u.rev AS revision_id, MIN(u.depth) AS depth
 FROM up u JOIN down d ON d.rev = u.rev WHERE u.depth > 0 GROUP BY u.part_id, u.rev""")
 def _(fx):
-    return graph.where_used(fx.proposal, fx.occurrence, fx.revision, fx.part, fx.live).select(
+    return graph.where_used(fx.part, fx.occurrence, fx.revision, fx.part, fx.live).select(
         "source_part", "revision_id", "depth")
 
 
 @query("g06_cycle_test", """
 WITH RECURSIVE ask AS (
   SELECT p.part_id AS edge_id, p.part_id * 10 + 1 AS parent_rev,
-         CASE WHEN p.part_id % 2 = 0 THEN 1 ELSE p.part_id * 10 + 1 END AS child_rev FROM fx_proposal p
-), down(edge_id, goal, rev) AS (
-  SELECT edge_id, parent_rev, child_rev FROM ask
+         CASE WHEN p.part_id % 2 = 0 THEN CAST(FLOOR((p.part_id - 1) / 4) * 10 + 1 AS BIGINT) ELSE p.part_id * 10 + 1 END AS child_rev FROM fx_part p WHERE p.part_id > 0
+), down(goal, start, rev) AS (
+  SELECT DISTINCT child_rev, child_rev, child_rev FROM ask
   UNION
-  SELECT d.edge_id, d.goal, o.child_rev FROM down d JOIN fx_occurrence o ON o.parent_rev = d.rev
+  SELECT d.goal, d.start, o.child_rev FROM down d JOIN fx_occurrence o ON o.parent_rev = d.rev
 )
-SELECT a.edge_id, a.parent_rev, a.child_rev,
-       EXISTS (SELECT 1 FROM down d WHERE d.edge_id = a.edge_id AND d.rev = a.parent_rev) AS closes_cycle FROM ask a""")
+SELECT a.edge_id, a.parent_rev, a.child_rev, d.rev IS NOT NULL AS closes_cycle FROM ask a LEFT JOIN down d ON d.start = a.child_rev AND d.rev = a.parent_rev""")
 def _(fx):
-    ask = fx.proposal.selectExpr("part_id AS edge_id", "part_id * 10 + 1 AS parent_rev",
-                                 "CASE WHEN part_id % 2 = 0 THEN 1L ELSE part_id * 10 + 1 END AS child_rev")
+    ask = fx.part.filter("part_id > 0").selectExpr(
+        "part_id AS edge_id", "part_id * 10 + 1 AS parent_rev",
+        "CASE WHEN part_id % 2 = 0 THEN CAST(FLOOR((part_id - 1) / 4) * 10 + 1 AS BIGINT) ELSE part_id * 10 + 1 END AS child_rev")
     return graph.cycle_test(ask, fx.occurrence)
 
 
@@ -196,3 +197,27 @@ WITH RECURSIVE up(rev, h) AS (
 SELECT rev AS revision_id, MAX(h) AS height FROM up GROUP BY rev""")
 def _(fx):
     return graph.heights(fx.revision, fx.occurrence)
+
+
+@query("t01_explosion_order", _DOWN + """
+SELECT path, ROW_NUMBER() OVER (ORDER BY path) AS position FROM walk""")
+def _(fx):
+    rows = graph.explode_structure(fx.top_root, fx.occurrence, fx.revision, fx.part, fx.shape)
+    return rank_within(rows.select("root_rev", "path"), ["root_rev"], ["path"], "position").drop("root_rev")
+
+
+@query("u01_union_of_steps", _DOWN + " SELECT depth, COUNT(*) AS rows, CAST(SUM(qty) AS BIGINT) AS pieces FROM walk GROUP BY depth")
+def _(fx):
+    rows = graph.explode_structure(fx.top_root, fx.occurrence, fx.revision, fx.part, fx.shape)
+    return rows.groupBy("depth").agg(F.count(F.lit(1)).alias("rows"), F.sum("quantity").alias("pieces"))
+
+
+@query("u02_distinct_steps", """
+WITH RECURSIVE down(root, rev) AS (
+  SELECT revision_id, revision_id FROM fx_revision
+  UNION
+  SELECT d.root, o.child_rev FROM down d JOIN fx_occurrence o ON o.parent_rev = d.rev
+) SELECT root AS root_rev, COUNT(*) AS revisions FROM down GROUP BY root""")
+def _(fx):
+    every = graph.reachable(fx.revision.select(F.col("revision_id").alias("root_rev")), fx.occurrence)
+    return every.groupBy("root_rev").agg(F.count(F.lit(1)).alias("revisions"))

@@ -153,3 +153,20 @@ def _(fx):
     left = e.filter("idx = 1").withColumn("quantity", F.col("quantity") + F.col("part_id") % 2)
     both, _, _ = diff.pair_children(left, e.filter("idx = 2"), "grp")
     return both.select("grp", F.col("l_label").alias("left_id"), F.col("r_label").alias("right_id"))
+
+
+@query("f03_nearest_rotation", """
+SELECT parent_rev, instance_name, CASE quarter_turns WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS r00, CASE quarter_turns WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS r10, 1 AS r22 FROM fx_occurrence""")
+def _(fx):
+    # Scaled and slightly sheared rotations come back proper.
+    m = [F.col(f"m{i}{j}") * 1.5 + (1e-9 if i < j else 0.0) for i in range(3) for j in range(3)]
+    r = fx.occurrence.select("parent_rev", "instance_name", pose.nearest_rotation(*m).alias("r"))
+    return r.select("parent_rev", "instance_name", *[F.round(F.col(f"r.{c}")).cast("int").alias(c) for c in ("r00", "r10", "r22")])
+
+
+@query("f04_quaternion", """
+SELECT parent_rev, instance_name, CASE quarter_turns WHEN 0 THEN 100000 WHEN 2 THEN 0 ELSE 70711 END AS w, CASE quarter_turns WHEN 0 THEN 0 WHEN 1 THEN 70711 WHEN 2 THEN 100000 ELSE -70711 END AS z FROM fx_occurrence""")
+def _(fx):
+    k = pose.with_pose_key(fx.occurrence.select("parent_rev", "instance_name", *pose.COLUMNS))
+    q = F.split(F.substring_index("transform_key", "q:", -1), "[|]")
+    return k.select("parent_rev", "instance_name", q[0].cast("int").alias("w"), q[3].cast("int").alias("z"))

@@ -6,19 +6,20 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from partloom.functions import digest, pose
+from partloom.functions import pose
 from partloom.functions import text as texts
-from partloom.operators import contracts, diff, graph, hashing, interference, landing, lookup, quality, rollup, sockets, tolerance
-from partloom.plans import conflicts, proposals, readiness
+from partloom.operators import diff, features, graph, hashing, interference, landing, lookup, quality, rollup, sockets
+from partloom.plans import conflicts, load, proposals, readiness
 from partloom.plans.base import Product
 from partloom.session import cut, shared_folder
 from partloom.sources import catalogue, documents, exports
 from partloom.streaming import outbox
 
-from .checks_contracts import _OUT, _ROLL, _WALK, full_sockets, placed, rollups, socket_results
+from .checks_contracts import _OUT, _WALK, full_sockets, placed, rollups, socket_results
 from .checks_graph import _DOWN, _REACH
-from .checks_hash import _ATTR, _merkle_sql, hashes
-from .checks_relational import _IMPACT, _TOTAL
+from .checks_hash import hashes
+from .checks_relational import _TOTAL
+from .checks_shapes import bores
 from .registry import extra, grid, grid_sql, query
 
 
@@ -102,8 +103,6 @@ def _(fx):
     return proposals.new_roots(cut(proposals.prepare(fx.proposal, product(fx))), product(fx), hashes(fx), fx.__dict__["_product"]["h"])
 
 
-_BASES = "(SELECT r.part_id AS commit_id, u.node_hash AS base_root, r.revision_id FROM u7 u JOIN fx_revision r ON r.revision_id = u.revision_id WHERE r.is_assembly = 1 AND r.revision_index = 1)"
-
 
 @query("c03_conflicts")
 def _(fx):
@@ -263,15 +262,16 @@ def _(fx):
 
 
 @query("s10_replace_interference", """
-SELECT parent_rev AS root_rev, COUNT(*) AS rows, CASE WHEN parent_rev IN (SELECT CAST(FLOOR((part_id - 1) / 4) * 10 + 1 AS BIGINT) FROM fx_proposal) THEN 2 ELSE 1 END AS version
-FROM fx_occurrence GROUP BY parent_rev""")
+WITH again AS (SELECT DISTINCT CAST(FLOOR((part_id - 1) / 4) * 10 + 1 AS BIGINT) AS root_rev FROM fx_proposal)
+SELECT parent_rev AS root_rev, COUNT(*) AS rows, CASE WHEN parent_rev IN (SELECT root_rev FROM again) THEN 2 ELSE 1 END AS run
+FROM fx_occurrence WHERE NOT (parent_rev IN (SELECT root_rev FROM again) AND instance_name = 'std') GROUP BY parent_rev""")
 def _(fx):
     path = f"{shared_folder(fx.spark)}/interference-{uuid.uuid4().hex}"
-    rows = fx.occurrence.select(F.col("parent_rev").alias("root_rev"), F.col("instance_name").alias("path_a"), F.lit(1).alias("version"))
-    interference.store(rows, path)
+    rows = fx.occurrence.select(F.col("parent_rev").alias("root_rev"), F.col("instance_name").alias("path_a"))
+    interference.store(rows, rows, path, 1)
     again = fx.proposal.selectExpr("CAST(FLOOR((part_id - 1) / 4) * 10 + 1 AS BIGINT) AS root_rev").distinct()
-    interference.store(rows.join(again, "root_rev", "left_semi").withColumn("version", F.lit(2)), path)
-    return fx.spark.read.parquet(path).groupBy(F.col("root_rev").cast("bigint").alias("root_rev"), "version").agg(F.count(F.lit(1)).alias("rows"))
+    interference.store(rows.join(again, "root_rev", "left_semi").filter("path_a <> 'std'"), again, path, 2)
+    return interference.stored(fx.spark, path).groupBy("root_rev", "run").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("s12_table_counts", """
@@ -283,10 +283,12 @@ def _(fx):
 
 
 @query("s05_json_columns", """
-SELECT event_id, COALESCE(TRY_CAST(json_extract_string(props, '$.page') AS BIGINT), -1) AS page FROM events""")
+SELECT event_id, CASE WHEN event_type = 'error' THEN -1 ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events""")
 def _(fx):
-    v = catalogue.json_or("props", "page bigint", F.struct(F.lit(-1).cast("bigint").alias("page")))
-    return fx.raw("events").select("event_id", F.coalesce(v["page"], F.lit(-1)).alias("page"))
+    # The payload of error events is cut off, so it reads as the default.
+    text = F.when(F.col("event_type") == "error", F.substring("props", 1, 4)).otherwise(F.col("props"))
+    v = catalogue.json_or(text, "k bigint", F.struct(F.lit(-1).cast("bigint").alias("k")))
+    return fx.raw("events").select("event_id", F.coalesce(v["k"], F.lit(-1)).alias("k"))
 
 
 _DOCS = "(SELECT topic AS collection, doc_key AS key, arg_max(payload, outbox_id) AS payload, MAX(outbox_id) AS seq FROM fx_outbox GROUP BY topic, doc_key)"
@@ -312,6 +314,26 @@ def _(fx):
     return documents.latest(documents.read_json_lines(fx.spark, path)).select("collection", "key", F.get_json_object("payload", "$.id").alias("last"))
 
 
+@query("c11_load", """
+SELECT file_id, COUNT(DISTINCT solid_id) AS exact_hits, COUNT(*) FILTER (WHERE parent_id IS NOT NULL) AS occurrences, CAST(file_id AS VARCHAR) AS ref_name FROM fx_source_node GROUP BY file_id""")
+def _(fx):
+    n = source_nodes(fx)
+    inv = extra(fx, "fx_invariant").select("fingerprint", "volume", "char_length", "chirality", "sphericity", "j1", "j2", "j3", *[F.col(f"d{a}").alias(f"bbox_d{a}") for a in "xyz"])
+    solid = n.filter("solid_id IS NOT NULL").select("file_id", "solid_id").distinct().join(
+        inv.withColumnRenamed("fingerprint", "solid_id"), "solid_id").withColumn("strict", F.col("solid_id")).withColumn("n_solids", F.lit(1)).withColumn("checks", F.lit(True))
+    empty = lambda ddl: fx.spark.createDataFrame([], ddl)
+    current = {"part": empty("part_id string, part_number string, description string, team_id string"),
+               "revision": empty("revision_id string, part_id string, revision_index int, fingerprint string, material string, density double, is_assembly int"),
+               "occurrence": empty("parent_rev string, child_rev string, transform_key string, quantity int"),
+               "shape": extra(fx, "fx_invariant"), "shape_alias": empty("alias_fingerprint string, fingerprint string"), "chain": empty("name string"),
+               "dimension": empty("dimension_id string, revision_id string, name string, nominal double, tol_plus double, tol_minus double, sigma_span double, distribution string")}
+    plane = features.mounting_planes(extra(fx, "fx_face"))
+    pattern, _ = features.hole_patterns(bores(fx))
+    out = load.load(n, solid, current, bores(fx), plane, pattern, [("^FILE", "import"), ("^Brand#1", "first")], "general", [("^Brand", "steel")], [("^Brand", 0.0078)])
+    return out["counters"].select("file_id", "exact_hits", "occurrences").join(
+        out["ref"].select(F.col("ref_name").cast("bigint").alias("file_id"), "ref_name"), "file_id")
+
+
 # -- sinks -----------------------------------------------------------------------------
 
 @query("s14_scene_instances", _WALK + """
@@ -389,8 +411,7 @@ def _(fx):
 @query("x02_pending", "SELECT COUNT(*) - COUNT(*) AS pending, COUNT(*) AS delivered FROM fx_outbox")
 def _(fx):
     _, log = _drained(fx)
-    left = outbox.pending(fx.outbox, log).agg(F.count(F.lit(1)).alias("pending"))
-    return left.join(log.agg(F.count(F.lit(1)).alias("delivered")))
+    return outbox.pending(fx.outbox, log).agg(F.count(F.lit(1)).alias("pending")).withColumn("delivered", log.agg(F.count(F.lit(1))).scalar())
 
 
 def _state(fx, df, mode):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from partloom.functions import text
-from partloom.operators import graph, impact, lookup, tolerance
+from partloom.functions import digest, fits, geometry, text
+from partloom.operators import graph, impact, lookup, shapes, tolerance
 
 from .registry import extra, grid, grid_sql, query
 
@@ -312,9 +312,9 @@ def _(fx):
     return tolerance.evaluate(fx.chain, fx.member, fx.part).select("chain_id", "cross_team", "passes").limit(500)
 
 
-@query("j14_chains_touching", "SELECT DISTINCT chain_id FROM fx_dimension d JOIN fx_proposal p ON p.part_id = d.part_id")
+@query("j14_chains_touching", "SELECT DISTINCT chain_id FROM fx_dimension d JOIN fx_part p ON p.part_id = d.part_id WHERE p.is_assembly = 1")
 def _(fx):
-    return tolerance.chains_touching(fx.member, fx.proposal)
+    return tolerance.chains_touching(fx.member, fx.part.filter("is_assembly = 1"))
 
 
 @query("j13_rebind_members", """
@@ -371,10 +371,10 @@ def _asked(fx):
 
 
 @query("j06_subscription_match", f"""
-SELECT a.part_id, a.interface_name, s.team_id, s.interface_name AS subscribed FROM {_ASK} a JOIN fx_subscription s ON s.part_id = a.part_id
+SELECT a.part_id, a.interface_name, s.team_id, s.interface_name AS subscribed FROM (SELECT part_id, CASE WHEN is_assembly = 1 THEN 'foot' END AS interface_name FROM fx_part) a JOIN fx_subscription s ON s.part_id = a.part_id
 WHERE a.interface_name IS NULL OR s.interface_name IS NULL OR a.interface_name = s.interface_name""")
 def _(fx):
-    return impact.subscribers(_asked(fx), fx.subscription)
+    return impact.subscribers(fx.part.selectExpr("part_id", "CASE WHEN is_assembly = 1 THEN 'foot' END AS interface_name"), fx.subscription)
 
 
 @query("j07_socket_owner", """
@@ -468,3 +468,70 @@ JOIN fx_proposal p ON p.part_id = k.part_id AND p.commit_id % 5 <> k.commit_id""
 def _(fx):
     others = fx.proposal.selectExpr("commit_id % 5 AS other", "part_id")
     return _closure(fx).join(others, "part_id").filter("other <> commit_id").select("commit_id", "part_id").distinct()
+
+
+# -- functions ------------------------------------------------------------------------
+
+@query("p12_static_maps", """
+SELECT interface_id, CASE fastener WHEN 'M6' THEN 6.0::DOUBLE END AS diameter FROM fx_interface""")
+def _(fx):
+    return fx.interface.select("interface_id", fits.diameter(F.lower("fastener")).alias("diameter"))
+
+
+@query("f06_significant_digits", """
+SELECT l_orderkey, l_linenumber, l_extendedprice, CASE WHEN l_extendedprice = 0 THEN 0 ELSE CAST(FLOOR(l_extendedprice / POWER(10, FLOOR(log10(l_extendedprice)) - 2) + 0.5) AS BIGINT) END AS lead
+FROM lineitem WHERE ABS(l_extendedprice / POWER(10, FLOOR(log10(l_extendedprice)) - 2) - FLOOR(l_extendedprice / POWER(10, FLOOR(log10(l_extendedprice)) - 2)) - 0.5) > 1e-6""")
+def _(fx):
+    x = F.col("l_extendedprice")
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(x)) - 2)
+    tie = F.abs(x / unit - F.floor(x / unit) - 0.5) > 1e-6
+    return fx.raw("lineitem").filter(tie).select("l_orderkey", "l_linenumber", "l_extendedprice",
+                                                 F.round(digest.significant(x, 3) / unit).cast("bigint").alias("lead"))
+
+
+@query("f18_member_terms", f"SELECT chain_id, seq, {grid_sql('(tol_plus + tol_minus) / 2')} AS half, {grid_sql('(tol_plus - tol_minus) / 2')} AS bias, {grid_sql(_SIGMA)} AS sigma FROM fx_dimension")
+def _(fx):
+    return fx.dimension.select("chain_id", "seq", grid(tolerance.half_band()).alias("half"), grid(tolerance.bias()).alias("bias"), grid(tolerance.sigma()).alias("sigma"))
+
+
+@query("f19_chain_verdicts", _TOTAL + """
+SELECT chain_id, method, CASE WHEN target_low IS NULL AND target_high IS NULL THEN FALSE ELSE TRUE END AS bounded,
+       contains(CAST(COALESCE(target_low, -1) AS VARCHAR), '.') AS has_text FROM t""")
+def _(fx):
+    t = tolerance.evaluate(fx.chain, fx.member)
+    return t.select("chain_id", "method", F.col("explanation").contains("; requirement ").alias("bounded"),
+                    F.col("explanation").startswith(F.concat(F.lit("chain '"), F.col("name"), F.lit("' ("))).alias("has_text"))
+
+
+@query("f20_step_text", """
+SELECT v.commit_id, v.validation_id, '[' || v.stage || '] ' || CASE WHEN v.passed = 0 THEN 'limit: ' ELSE '' END || 'checked' || ' (other party: ' || p.part_number || ' and ' || p.team_id || ')' AS summary
+FROM fx_validation v JOIN fx_part p ON p.part_id = v.part_id""")
+def _(fx):
+    j = fx.validation.join(fx.part.select("part_id", "part_number", "team_id"), "part_id")
+    return j.select("commit_id", "validation_id", text.step_text(F.col("stage"), F.when(F.col("passed") == 0, "limit"), F.lit("checked"),
+                                                                 F.col("part_number"), F.col("team_id")).alias("summary"))
+
+
+@query("f14_axis_geometry", f"""
+SELECT l_orderkey, l_linenumber, {grid_sql('l_discount')} AS x, {grid_sql('l_tax')} AS y, {grid_sql('0')} AS z, {grid_sql('0')} AS angle FROM lineitem""")
+def _(fx):
+    z = [F.lit(0.0), F.lit(0.0), F.lit(1.0)]
+    d = geometry.canonical([F.lit(0.0), F.lit(0.0), -F.col("l_quantity")])
+    q = geometry.nearest_on_axis([F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")], d, [F.lit(0.0)] * 3)
+    return fx.raw("lineitem").select("l_orderkey", "l_linenumber", *[grid(q[i]).alias("xyz"[i]) for i in range(3)], grid(geometry.axis_angle(d, z)).alias("angle"))
+
+
+@query("f16_third_moment_along", f"""
+SELECT fingerprint, 0 AS along_x, 0 AS along_d FROM fx_shape""")
+def _(fx):
+    m = shapes.moments(fx.triangle)
+    unit = F.lit(3 ** -0.5)
+    return m.select("fingerprint", grid(geometry.third_along([F.lit(1.0), F.lit(0.0), F.lit(0.0)]), 1).alias("along_x"),
+                    grid(geometry.third_along([unit, unit, unit]), 1).alias("along_d"))
+
+
+@query("t05_ranked_candidates", f"""
+SELECT chain_id, rn AS rank, seq FROM (SELECT chain_id, seq, ROW_NUMBER() OVER (PARTITION BY chain_id ORDER BY ABS(nominal - 25), seq) AS rn FROM fx_dimension) t WHERE rn <= 20""")
+def _(fx):
+    near = lookup.top_per_group(fx.dimension.withColumn("distance", F.abs(F.col("nominal") - 25)), ["chain_id"], ["distance", "seq"], 20)
+    return near.select("chain_id", F.row_number().over(Window.partitionBy("chain_id").orderBy("distance", "seq")).alias("rank"), "seq")
