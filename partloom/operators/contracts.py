@@ -240,15 +240,17 @@ def author(declaration: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def reload(contract: DataFrame, interface: DataFrame, socket: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Declarations rebuilt from stored rows, lists ordered by name. A declaration is one
-    row by nature; its lists hold that revision's own faces."""
-    out = contract
-    for name, df in (("interfaces", interface), ("sockets", socket), ("dimensions", dimension)):
-        cols = ["name", *[c for c in df.columns if c not in ("name", "revision_id") and not c.endswith("_id")]]
-        packed = df.groupBy("revision_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
-        out = out.join(packed, "revision_id", "left")
-    return out
+def reload(contract: DataFrame, interface: DataFrame, socket: DataFrame, dimension: DataFrame) -> dict[str, DataFrame]:
+    """The declarations behind stored rows, as tables keyed by revision and ordered by name.
+
+    An interface that was located by a selector is declared by the selector: its measured
+    points, origin and normal are left out, so it can be located again in new geometry.
+    """
+    located = F.coalesce(F.col("selector"), F.lit("")) != "" if "selector" in interface.columns else F.lit(False)
+    measured = {"points", "spacings", *[f"{p}{a}" for p in "on" for a in "xyz"]}
+    declared = interface.select(*[F.when(~located, F.col(c)).alias(c) if c in measured else F.col(c) for c in interface.columns])
+    return {"contract": contract, "interface": declared.orderBy("revision_id", "name"), "socket": socket.orderBy("revision_id", "name"),
+            "dimension": dimension.orderBy("revision_id", "name")}
 
 
 def copy_to(replaced: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -178,13 +178,13 @@ def _(fx):
 @query("s16_author_contracts", """
 SELECT r.revision_id, r.revision_id * 1000 AS copied_to, i.name, i.hole_count, i.fastener FROM fx_interface i JOIN fx_contract r ON r.revision_id = i.revision_id""")
 def _(fx):
-    dim = extra(fx, "fx_named_dimension")
-    decl = contracts.reload(fx.contract, fx.full_interface, full_sockets(fx), dim)
-    rows = contracts.author(decl)
+    one = fx.full_interface.select("revision_id", F.array(F.struct("name", "kind", "hole_count", "hole_radius", "fastener", "fit_class", "points")).alias("interfaces"))
+    null = [F.lit(None).cast("array<struct<name:string>>").alias(c) for c in ("sockets", "dimensions")]
+    rows = contracts.author(fx.contract.join(one, "revision_id").select(*fx.contract.columns, "interfaces", *null))
+    again = contracts.reload(rows["contract"], rows["interface"], rows["socket"], rows["dimension"])
     new = fx.revision.select(F.col("revision_id").alias("old_rev"), (F.col("revision_id") * 1000).alias("new_rev"))
-    copied = contracts.copy_to(new, {"interface": rows["interface"]})["interface"]
-    back = copied.select((F.col("revision_id") / 1000).cast("bigint").alias("revision_id"), F.col("revision_id").alias("copied_to"), "name", "hole_count", "fastener")
-    return back
+    copied = contracts.copy_to(new, {"interface": again["interface"]})["interface"]
+    return copied.select((F.col("revision_id") / 1000).cast("bigint").alias("revision_id"), F.col("revision_id").alias("copied_to"), "name", "hole_count", "fastener")
 
 
 @query("f10_fastener_guess", """

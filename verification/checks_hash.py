@@ -94,9 +94,15 @@ def _(fx):
     return hashing.with_hashes(fx.revision, hashes(fx)).select("revision_id", "part_id", "merkle_hash")
 
 
-@query("s13_hashed_tree")
+@query("s13_hashed_tree", _merkle_sql().replace("SELECT revision_id, node_hash FROM u7", """,
+walk(rev, path, qty) AS (
+  SELECT r.revision_id, p.part_number, CAST(1 AS BIGINT) FROM fx_revision r JOIN fx_part p ON p.part_id = r.part_id
+  WHERE r.revision_id = (SELECT MAX(revision_id) FROM fx_revision WHERE part_id = 0)
+  UNION ALL SELECT o.child_rev, w.path || '/' || o.instance_name, w.qty * o.quantity FROM walk w JOIN fx_occurrence o ON o.parent_rev = w.rev)
+SELECT w.path, w.qty AS quantity, u.node_hash, r.fingerprint FROM walk w JOIN u7 u ON u.revision_id = w.rev JOIN fx_revision r ON r.revision_id = w.rev"""))
 def _(fx):
-    return hashing.hashed_tree(fx.top_root, fx.occurrence, fx.revision, fx.part, fx.shape, hashes(fx)).drop("mass_g")
+    tree = hashing.hashed_tree(fx.top_root, fx.occurrence, fx.revision, fx.part, fx.shape, hashes(fx))
+    return tree.select("path", "quantity", "node_hash", "fingerprint")
 
 
 @query("g09_occurrences_of_part", """
