@@ -10,7 +10,7 @@ from partloom.session import cut
 
 from .checks_graph import _ROLL
 from .checks_shapes import bores
-from .registry import extra, grid, grid_sql, query
+from .registry import extra, grid, grid_sql, query, shared
 
 _WALK = """
 WITH RECURSIVE walk(rev, path, x, y, turn) AS (
@@ -26,7 +26,7 @@ WITH RECURSIVE walk(rev, path, x, y, turn) AS (
 
 @query("j09_instance_lookup", _WALK + " SELECT path AS ask_id, rev AS revision_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM walk")
 def _(fx):
-    c = cut(graph.configuration(fx.top_root, fx.occurrence, fx.revision, fx.part))
+    c = placed(fx)
     asked = c.select(F.col("rel_path").alias("ask_id"), "root_rev", F.col("rel_path").alias("path"))
     at = contracts.find_instances(asked, fx.occurrence, fx.revision, fx.part)
     return at.select("ask_id", "revision_id", F.col("m03").cast("bigint").alias("x"), F.col("m13").cast("bigint").alias("y"))
@@ -34,8 +34,7 @@ def _(fx):
 
 def full_sockets(fx):
     """The fixture sockets with patterns read off what fills them, some of them made wrong."""
-    done = fx.__dict__.setdefault("_sockets", {})
-    if "s" not in done:
+    def build():
         e = fx.occurrence.withColumn("name", F.concat(F.lit("s-"), F.col("instance_name"))).withColumnRenamed("parent_rev", "revision_id")
         i = fx.full_interface.select(F.col("revision_id").alias("child_rev"), F.col("points").alias("own"))
         s = extra(fx, "fx_socket").join(e, ["revision_id", "name"]).join(i, "child_rev")
@@ -45,18 +44,22 @@ def full_sockets(fx):
         pts = F.transform(placed, lambda p, n: F.struct(
             (p["x"] + shift + F.when((k % 7 == 5) & (n == 0), 2.0).otherwise(0.0)).alias("x"), p["y"].alias("y"), p["z"].alias("z")))
         allow = F.when(k % 10 == 7, 15.0)
-        done["s"] = cut(s.select(
+        return cut(s.select(
             "socket_id", "revision_id", "name", "kind", "filler_part", "fills", "interface_name", "hole_count", "hole_radius", "fastener", "fit_class",
             "radius_tol", "spacing_tol", "mass_budget", "power_budget", "thermal_budget", F.when(k % 9 != 1, pts).alias("points"),
             F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.when(k % 8 == 6, -1.0).otherwise(1.0).alias("nz"),
             *[allow.alias(f"allow_d{a}") for a in "xyz"]))
-    return done["s"]
+    return shared(fx, "sockets", build)
+
+
+def filled(fx):
+    return shared(fx, "filled", lambda: cut(sockets.targets(full_sockets(fx), fx.occurrence, fx.revision, fx.part)))
 
 
 @query("j10_socket_fillers", """
 SELECT s.socket_id, o.child_rev AS target_rev FROM fx_socket s JOIN fx_occurrence o ON o.parent_rev = s.revision_id AND o.instance_name = s.fills""")
 def _(fx):
-    return sockets.targets(full_sockets(fx), fx.occurrence, fx.revision, fx.part).select("socket_id", "target_rev")
+    return filled(fx).select("socket_id", "target_rev")
 
 
 _OUT = """
@@ -66,17 +69,14 @@ SELECT socket_id, CASE WHEN filler_part % 11 = 0 THEN 'unfilled' WHEN filler_par
 
 
 def socket_results(fx):
-    done = fx.__dict__.setdefault("_socket_results", {})
-    if "r" not in done:
-        done["r"] = cut(sockets.check_sockets(full_sockets(fx), fx.full_interface, fx.occurrence, fx.revision, fx.part, fx.shape))
-    return done["r"]
+    return shared(fx, "socket_results", lambda: cut(sockets.check_sockets(
+        full_sockets(fx), fx.full_interface, fx.occurrence, fx.revision, fx.part, fx.shape)))
 
 
 @query("c05_socket_check", f"""
 SELECT socket_id, outcome, failed_step, outcome IN ('allocation', 'matched') AND failed_step IS NULL AS passed FROM ({_OUT}) t""")
 def _(fx):
-    return sockets.check_sockets(full_sockets(fx), fx.full_interface, fx.occurrence, fx.revision, fx.part, fx.shape).select(
-        "socket_id", "outcome", "failed_step", "passed")
+    return socket_results(fx).select("socket_id", "outcome", "failed_step", "passed")
 
 
 @query("w05_best_interface", f"SELECT socket_id, 'foot' AS interface FROM ({_OUT}) t WHERE outcome = 'matched'")
@@ -111,16 +111,13 @@ UNION ALL SELECT t.revision_id, 'socket.' || t.name || '.thermal_budget', r.ther
 
 
 def rollups(fx):
-    done = fx.__dict__.setdefault("_rollups", {})
-    if "r" not in done:
-        done["r"] = cut(rollup.rollup(fx.occurrence, fx.revision, fx.shape, fx.contract))
-    return done["r"]
+    return shared(fx, "rollups", lambda: cut(rollup.rollup(fx.occurrence, fx.revision, fx.shape, fx.contract)))
 
 
 @query("c06_budget_check", _BUDGET)
 def _(fx):
     s = full_sockets(fx)
-    t = sockets.targets(s, fx.occurrence, fx.revision, fx.part)
+    t = filled(fx)
     return sockets.check_budgets(fx.contract, s, rollups(fx), t, fx.revision, fx.part).select("revision_id", "constraint_name", "passed")
 
 
@@ -244,10 +241,7 @@ _PLACED = _WALK + ", named AS (SELECT w.*, p.part_number FROM walk w JOIN fx_rev
 
 
 def placed(fx):
-    done = fx.__dict__.setdefault("_placed", {})
-    if "c" not in done:
-        done["c"] = cut(graph.configuration(fx.top_root, fx.occurrence, fx.revision, fx.part))
-    return done["c"]
+    return shared(fx, "placed", lambda: cut(graph.configuration(fx.top_root, fx.occurrence, fx.revision, fx.part)))
 
 
 @query("c04_interference_report", _PLACED + """
@@ -274,12 +268,12 @@ def _(fx):
 
 def _fits(fx):
     s = full_sockets(fx).filter("points IS NOT NULL")
-    at = sockets.targets(s, fx.occurrence, fx.revision, fx.part)
+    at = filled(fx)
     keep = ["points", "hole_count", "hole_radius", "fastener", "fit_class", "radius_tol", "spacing_tol", "nx", "ny", "nz"]
     i = fx.full_interface.select(F.col("revision_id").alias("target_rev"), *[F.col(c).alias(f"i_{c}") for c in keep])
     pair = s.select("socket_id", "filler_part", *[F.col(c).alias(f"s_{c}") for c in [*keep, "allow_dx", "allow_dy", "allow_dz"]]).join(at, "socket_id").join(i, "target_rev")
     bounds = fx.revision.select(F.col("revision_id").alias("target_rev"), "fingerprint").join(fx.shape.select("fingerprint", *[f"bbox_{a}{e}" for a in "xyz" for e in ("min", "max")]), "fingerprint")
-    return sockets.match_steps(pair.join(bounds.drop("fingerprint"), "target_rev", "left"))
+    return shared(fx, "fits", lambda: cut(sockets.match_steps(pair.join(bounds.drop("fingerprint"), "target_rev", "left"))))
 
 
 @query("n10_registration", """

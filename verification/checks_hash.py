@@ -8,7 +8,7 @@ from partloom.functions import digest, pose
 from partloom.operators import diff, graph, hashing
 from partloom.session import cut
 
-from .registry import query
+from .registry import query, shared
 
 _TURN = "CASE quarter_turns WHEN 0 THEN '100000|0|0|0' WHEN 1 THEN '70711|0|0|70711' WHEN 2 THEN '0|0|0|100000' ELSE '70711|0|0|-70711' END"
 _OCC = f"""occ AS (SELECT *, 't:' || CAST(CAST(tx * 1000 AS BIGINT) AS VARCHAR) || '|' || CAST(CAST(ty * 1000 AS BIGINT) AS VARCHAR) || '|0;q:' || {_TURN} AS pose FROM fx_occurrence)"""
@@ -77,15 +77,12 @@ def _merkle_sql(levels: int = 7) -> str:
 
 
 def hashes(fx):
-    done = fx.__dict__.setdefault("_hashes", {})
-    if "h" not in done:
-        done["h"] = cut(hashing.node_hashes(fx.revision, fx.occurrence, fx.contract))
-    return done["h"]
+    return shared(fx, "hashes", lambda: cut(hashing.node_hashes(fx.revision, fx.occurrence, fx.contract)))
 
 
 @query("a13_node_hashes", _merkle_sql())
 def _(fx):
-    return hashing.node_hashes(fx.revision, fx.occurrence, fx.contract).select("revision_id", "node_hash")
+    return hashes(fx).select("revision_id", "node_hash")
 
 
 @query("s18_store_hashes", _merkle_sql().replace("SELECT revision_id, node_hash FROM u7",
@@ -127,7 +124,7 @@ def revision_pairs(fx):
 
 
 def differences(fx):
-    return diff.diff_configurations(revision_pairs(fx), fx.occurrence, fx.revision, fx.part, hashes(fx))
+    return shared(fx, "differences", lambda: cut(diff.diff_configurations(revision_pairs(fx), fx.occurrence, fx.revision, fx.part, hashes(fx))))
 
 
 @query("g08_diff")

@@ -8,38 +8,38 @@ from pyspark.sql import functions as F
 
 from partloom.functions import pose
 from partloom.functions import text as texts
-from partloom.operators import diff, features, graph, hashing, interference, landing, lookup, quality, rollup, sockets
+from partloom.operators import diff, features, graph, hashing, interference, landing, lookup, quality, rollup
 from partloom.plans import conflicts, load, proposals, readiness
 from partloom.plans.base import Product
 from partloom.session import cut, shared_folder
 from partloom.sources import catalogue, documents, exports
 from partloom.streaming import outbox
 
-from .checks_contracts import _OUT, _WALK, full_sockets, placed, rollups, socket_results
+from .checks_contracts import _OUT, _WALK, filled, full_sockets, placed, rollups, socket_results
 from .checks_graph import _DOWN, _REACH
 from .checks_hash import hashes
 from .checks_relational import _TOTAL
 from .checks_shapes import bores
-from .registry import extra, grid, grid_sql, query
+from .registry import extra, grid, grid_sql, query, shared
 
 
 def product(fx) -> Product:
-    done = fx.__dict__.setdefault("_product", {})
-    if "p" not in done:
-        done["p"] = Product(part=fx.part, rev=fx.revision, occ=fx.occurrence, shape=fx.shape, contract=fx.contract, interface=fx.full_interface,
-                            socket=full_sockets(fx), chain=fx.chain, member=fx.dimension, subscription=fx.subscription, root=fx.top_root, live=fx.live)
-        done["h"] = cut(graph.heights(fx.revision, fx.occurrence))
-        done["t"] = cut(sockets.targets(full_sockets(fx), fx.occurrence, fx.revision, fx.part))
-    return done["p"]
+    return shared(fx, "product", lambda: Product(
+        part=fx.part, rev=fx.revision, occ=fx.occurrence, shape=fx.shape, contract=fx.contract, interface=fx.full_interface, socket=full_sockets(fx),
+        chain=fx.chain, member=fx.dimension, subscription=fx.subscription, root=fx.top_root, live=fx.live))
+
+
+def heights(fx):
+    return shared(fx, "heights", lambda: cut(graph.heights(fx.revision, fx.occurrence)))
 
 
 def validated(fx) -> dict:
-    done = fx.__dict__.setdefault("_validated", {})
-    if not done:
-        p = product(fx)
-        r = proposals.validate(fx.proposal, p, hashes(fx), fx.__dict__["_product"]["h"], rollups(fx), fx.__dict__["_product"]["t"])
-        done.update({k: cut(v) for k, v in r.items()})
-    return done
+    return shared(fx, "validated", lambda: {k: cut(v) for k, v in proposals.validate(
+        fx.proposal, product(fx), hashes(fx), heights(fx), rollups(fx), filled(fx)).items()})
+
+
+def prepared(fx):
+    return shared(fx, "prepared", lambda: cut(proposals.prepare(fx.proposal, product(fx))))
 
 
 _CUR = "cur AS (SELECT r.*, c.contract_hash, c.mass_max FROM fx_revision r JOIN (SELECT part_id, MAX(revision_index) AS top FROM fx_revision GROUP BY part_id) x ON x.part_id = r.part_id AND x.top = r.revision_index LEFT JOIN fx_contract c ON c.revision_id = r.revision_id)"
@@ -55,9 +55,7 @@ def _(fx):
 
 @query("c08_verdicts")
 def _(fx):
-    p = product(fx)
-    r = proposals.validate(fx.proposal, p, hashes(fx), fx.__dict__["_product"]["h"], rollups(fx), fx.__dict__["_product"]["t"])
-    return r["verdicts"]
+    return validated(fx)["verdicts"]
 
 
 @query("c08_steps")
@@ -85,22 +83,20 @@ up(commit_id, rev) AS (
 @query("g07_rebuilt_revisions", _UPWARD + """
 SELECT u.commit_id, u.rev AS old_rev, r.part_id, c.top + 1 AS revision_index FROM up u JOIN fx_revision r ON r.revision_id = u.rev JOIN cur c ON c.part_id = r.part_id""")
 def _(fx):
-    prepared = cut(proposals.prepare(fx.proposal, product(fx)))
-    return proposals.rebuild_ancestors(prepared, product(fx))[0].drop("new_rev")
+    return proposals.rebuild_ancestors(prepared(fx), product(fx))[0].drop("new_rev")
 
 
 @query("g07_rebuilt_edges", _UPWARD + """
 SELECT u.commit_id, COUNT(*) AS edges, COUNT(k.rev) AS remapped FROM up u JOIN fx_occurrence o ON o.parent_rev = u.rev LEFT JOIN up k ON k.commit_id = u.commit_id AND k.rev = o.child_rev GROUP BY u.commit_id""")
 def _(fx):
-    prepared = cut(proposals.prepare(fx.proposal, product(fx)))
-    _, occ = proposals.rebuild_ancestors(prepared, product(fx))
+    _, occ = proposals.rebuild_ancestors(prepared(fx), product(fx))
     new = F.col("child_rev").startswith(F.concat(F.col("commit_id").cast("string"), F.lit("/")))
     return occ.groupBy("commit_id").agg(F.count(F.lit(1)).alias("edges"), F.count_if(new).alias("remapped"))
 
 
 @query("c08_new_roots")
 def _(fx):
-    return proposals.new_roots(cut(proposals.prepare(fx.proposal, product(fx))), product(fx), hashes(fx), fx.__dict__["_product"]["h"])
+    return validated(fx)["new_roots"]
 
 
 
@@ -130,18 +126,14 @@ a AS (SELECT team_id, COUNT(*) AS parts, COUNT(*) FILTER (WHERE done) AS parts_d
 
 
 def ready(fx):
-    done = fx.__dict__.setdefault("_ready", {})
-    if not done:
-        done.update(readiness.readiness(fx.top_root, product(fx), fx.notification, socket_results(fx)))
-    return done
+    return shared(fx, "ready", lambda: readiness.readiness(fx.top_root, product(fx), fx.notification, socket_results(fx)))
 
 
 @query("c09_readiness_teams", _TEAMS + """
 SELECT COALESCE(a.team_id, b.team_id) AS team_id, COALESCE(a.parts, 0) AS parts, COALESCE(a.parts_done, 0) AS parts_done, COALESCE(b.waiting, 0) AS waiting
 FROM a FULL JOIN b ON b.team_id = a.team_id""")
 def _(fx):
-    r = readiness.readiness(fx.top_root, product(fx), fx.notification, socket_results(fx))
-    return r["teams"].select("team_id", "parts", "parts_done", "waiting")
+    return ready(fx)["teams"].select("team_id", "parts", "parts_done", "waiting")
 
 
 @query("a07_completeness", _TEAMS + f"""
@@ -161,7 +153,7 @@ SELECT DISTINCT q.commit_id, 'chain.' || 'chain' || CAST(t.chain_id AS VARCHAR)
   AND (target_high IS NULL OR (CASE WHEN method = 'worst_case' THEN worst_high ELSE rss_high END) <= target_high + 1e-12) AS passed
 FROM t JOIN fx_dimension d ON d.chain_id = t.chain_id JOIN fx_proposal q ON q.part_id = d.part_id""")
 def _(fx):
-    return proposals.chain_steps(proposals.prepare(fx.proposal, product(fx)), product(fx)).select("commit_id", "constraint_name", "passed")
+    return proposals.chain_steps(prepared(fx), product(fx)).select("commit_id", "constraint_name", "passed")
 
 
 # -- quality --------------------------------------------------------------------
@@ -204,6 +196,10 @@ def source_nodes(fx):
                     F.format_string("t:%d|0|0;%d", F.col("tx").cast("bigint"), "quarter_turns").alias("transform_key"))
 
 
+def _landed(fx):
+    return shared(fx, "landed", lambda: _land(fx))
+
+
 def _land(fx, current=None):
     n = source_nodes(fx)
     fp = n.filter("solid_id IS NOT NULL").select("file_id", "solid_id", F.col("solid_id").alias("fingerprint")).distinct()
@@ -221,14 +217,14 @@ _LAND = """d AS (SELECT file_id, definition_key, name, MIN(position) AS first_se
 SELECT file_id, definition_key, CASE WHEN rn = 1 THEN name ELSE name || '#' || CAST(rn AS VARCHAR) END AS part_number, starts_with(definition_key, 'part-') AS leaf, FALSE AS reused
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY file_id, name ORDER BY first_seen, definition_key) AS rn FROM d) t""")
 def _(fx):
-    d = _land(fx)["definition"]
+    d = _landed(fx)["definition"]
     return d.select("file_id", "definition_key", "part_number", (F.col("is_assembly") == 0).alias("leaf"), "reused")
 
 
 @query("a14_ingest_counters", f"""WITH {_LAND}, e AS (SELECT file_id, COUNT(*) FILTER (WHERE parent_id IS NOT NULL) AS occurrences, COUNT(DISTINCT solid_id) AS solids FROM fx_source_node GROUP BY file_id)
 SELECT d.file_id, e.solids, COUNT(*) AS parts_created, COUNT(*) AS revisions_created, 0 AS revisions_reused, e.occurrences FROM d JOIN e ON e.file_id = d.file_id GROUP BY d.file_id, e.solids, e.occurrences""")
 def _(fx):
-    landed = _land(fx)
+    landed = _landed(fx)
     solid = source_nodes(fx).filter("solid_id IS NOT NULL").select("file_id", "solid_id").distinct()
     c = landing.ingest_counters(landed, solid.withColumn("status", F.lit("new")), solid)
     return c.select("file_id", "solids", "parts_created", "revisions_created", "revisions_reused", "occurrences")

@@ -8,7 +8,7 @@ from partloom.functions import geometry
 from partloom.operators import features, lookup, matching, shapes
 from partloom.session import cut
 
-from .registry import extra, grid, grid_sql, query
+from .registry import extra, grid, grid_sql, query, shared
 
 
 @query("s04_triangle_scan", "SELECT fingerprint, COUNT(*) AS triangles FROM fx_triangle GROUP BY fingerprint")
@@ -48,11 +48,18 @@ def _(fx):
     return shapes.moments(fx.triangle).select("fingerprint", *[grid(i[m], 12).alias(m) for m in ("xx", "yy", "xy")])
 
 
+def frames(fx):
+    return shared(fx, "frames", lambda: cut(shapes.principal_frames(shapes.moments(fx.triangle), fx.triangle)))
+
+
+def identities(fx):
+    return shared(fx, "identities", lambda: cut(shapes.identify(fx.triangle, _solid(fx), extra(fx, "fx_face"))))
+
+
 @query("a12_degeneracy", """
 SELECT fingerprint, (CASE WHEN dx = dy OR dy = dz OR dx = dz THEN 1 ELSE 0 END) AS degenerate, FALSE AS round FROM fx_shape""")
 def _(fx):
-    m = shapes.moments(fx.triangle)
-    f = shapes.principal_frames(m, fx.triangle)
+    f = frames(fx)
     close = (F.abs(F.col("e1") - F.col("e0")) < 1e-4 * F.col("e2")) | (F.abs(F.col("e2") - F.col("e1")) < 1e-4 * F.col("e2"))
     return f.select("fingerprint", F.when(close, 1).otherwise(0).alias("degenerate"), "round")
 
@@ -61,8 +68,7 @@ def _(fx):
 SELECT fingerprint, {grid_sql('volume * LEAST(dx, dy, dz) * LEAST(dx, dy, dz) / 12', 12)} AS e0, {grid_sql('volume * GREATEST(dx, dy, dz) * GREATEST(dx, dy, dz) / 12', 12)} AS e2,
        FALSE AS frame_stable, 0 AS handedness FROM fx_shape""")
 def _(fx):
-    f = shapes.principal_frames(shapes.moments(fx.triangle), fx.triangle)
-    return f.select("fingerprint", grid("e0", 12).alias("e0"), grid("e2", 12).alias("e2"), "frame_stable", "handedness")
+    return frames(fx).select("fingerprint", grid("e0", 12).alias("e0"), grid("e2", 12).alias("e2"), "frame_stable", "handedness")
 
 
 @query("a09_face_histogram", """
@@ -81,15 +87,14 @@ def _solid(fx):
 SELECT fingerprint AS solid_id, {grid_sql('char_length')} AS char_length, {grid_sql('sphericity')} AS sphericity,
        {grid_sql('j1')} AS j1, {grid_sql('j2')} AS j2, {grid_sql('j3')} AS j3, 0 AS chirality FROM fx_invariant""")
 def _(fx):
-    i = shapes.identify(fx.triangle, _solid(fx), extra(fx, "fx_face"))
-    return i.select("solid_id", *[grid(c).alias(c) for c in ("char_length", "sphericity", "j1", "j2", "j3")], "chirality")
+    return identities(fx).select("solid_id", *[grid(c).alias(c) for c in ("char_length", "sphericity", "j1", "j2", "j3")], "chirality")
 
 
 @query("f07_strict_fingerprint", """
 SELECT s.fingerprint AS solid_id, MIN(t.fingerprint) AS first_equal FROM fx_shape s JOIN fx_shape t
 ON s.dx = t.dx AND s.dy = t.dy AND s.dz = t.dz AND (s.chirality = 1) = (t.chirality = 1) AND (s.dx > 50) = (t.dx > 50) GROUP BY s.fingerprint""")
 def _(fx):
-    i = shapes.identify(fx.triangle, _solid(fx), extra(fx, "fx_face"))
+    i = identities(fx)
     first = i.groupBy("strict").agg(F.min("solid_id").alias("first_equal"))
     return i.join(first, "strict").select("solid_id", "first_equal")
 
@@ -103,10 +108,7 @@ def _(fx):
 # -- features -----------------------------------------------------------------
 
 def bores(fx):
-    done = fx.__dict__.setdefault("_bores", {})
-    if "b" not in done:
-        done["b"] = cut(features.merge_bores(extra(fx, "fx_face"), fx.shape))
-    return done["b"]
+    return shared(fx, "bores", lambda: cut(features.merge_bores(extra(fx, "fx_face"), fx.shape)))
 
 
 _HOLE = """hole AS (
@@ -120,8 +122,7 @@ SELECT fingerprint, bore_id, {grid_sql('x')} AS x, {grid_sql('y')} AS y, {grid_s
        {grid_sql('dz - CASE WHEN chirality = 1 THEN 2 ELSE 0 END')} AS depth, {grid_sql('dz')} AS total_depth, complete, h = 0 AS chamfered,
        CASE WHEN chirality = 1 THEN 1 ELSE 0 END AS counterbores FROM hole""")
 def _(fx):
-    b = features.merge_bores(extra(fx, "fx_face"), fx.shape)
-    return b.select("fingerprint", "bore_id", grid("qx").alias("x"), grid("qy").alias("y"), grid("qz").alias("z"), grid("radius").alias("radius"),
+    return bores(fx).select("fingerprint", "bore_id", grid("qx").alias("x"), grid("qy").alias("y"), grid("qz").alias("z"), grid("radius").alias("radius"),
                     grid("depth").alias("depth"), grid("total_depth").alias("total_depth"), "complete", "chamfered", F.size("counterbores").alias("counterbores"))
 
 
@@ -237,15 +238,19 @@ _PARTNER = """pair AS (
 best AS (SELECT case_id, variant, solid_id, other, MIN(size_error + shape_error) AS score FROM pair GROUP BY case_id, variant, solid_id, other)"""
 
 
+def partners(fx):
+    return shared(fx, "partners", lambda: cut(matching.best_partner(extra(fx, "fx_solid"))))
+
+
 @query("j16_best_partner", f"WITH {_PARTNER} SELECT case_id, variant, solid_id, other, {grid_sql('score', 100000)} AS score FROM best")
 def _(fx):
-    return matching.best_partner(extra(fx, "fx_solid")).select(
+    return partners(fx).select(
         "case_id", "variant", "solid_id", "other", grid(F.col("size_error") + F.col("shape_error"), 100000).alias("score"))
 
 
 @query("a08_error_summary", f"""WITH {_PARTNER} SELECT COUNT(*) AS pairs FROM best""")
 def _(fx):
-    return matching.error_summary(matching.best_partner(extra(fx, "fx_solid"))).select("pairs")
+    return matching.error_summary(partners(fx)).select("pairs")
 
 
 @query("j15_reconcile", """

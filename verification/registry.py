@@ -40,8 +40,7 @@ def query(name: str, oracle: str | None = None):
 
 def extra(fx: Fixtures, name: str) -> DataFrame:
     """One of the further derived inputs, built by Spark from the fixture tables."""
-    done = fx.__dict__.setdefault("_extra", {})
-    if name not in done:
+    def build() -> DataFrame:
         text = VIEWS[name]
         bound = {}
         for used in set(re.findall(r"\b(?:fx_\w+|lineitem|part)\b(?= (?:[a-z]\b|ON|JOIN|GROUP|WHERE|$))|(?<=FROM )(?:fx_\w+|lineitem|part)\b", text)):
@@ -49,7 +48,15 @@ def extra(fx: Fixtures, name: str) -> DataFrame:
                 getattr(fx, _NAMES.get(used, used[3:])) if used.startswith("fx_") else fx.raw(used))
         for used in bound:
             text = re.sub(rf"(FROM|JOIN) {used}\b", rf"\1 {{{used}}}", text)
-        done[name] = fx.spark.sql(text, **bound)
+        return fx.spark.sql(text, **bound)
+    return shared(fx, name, build)
+
+
+def shared(fx: Fixtures, name: str, build: Callable[[], object]):
+    """A result that several queries read, computed by the first of them."""
+    done = fx.__dict__.setdefault("_shared", {})
+    if name not in done:
+        done[name] = build()
     return done[name]
 
 
