@@ -53,12 +53,16 @@ def totals(chain: DataFrame, member: DataFrame) -> DataFrame:
     d = F.col("direction")
     up = F.when(d > 0, F.col("tol_plus")).otherwise(F.col("tol_minus"))
     down = F.when(d > 0, F.col("tol_minus")).otherwise(F.col("tol_plus"))
-    units = [F.collect_set("units").alias("_units")] if "units" in member.columns else []
-    agg = member.groupBy("chain_id").agg(
-        F.count(F.lit(1)).alias("members"), F.sum(d * F.col("nominal")).alias("nominal"),
-        F.sum(down).alias("_down"), F.sum(up).alias("_up"), F.sum(sigma() * sigma()).alias("_var"),
-        F.max("sigma_span").alias("span"), F.min("sigma_span").alias("_least"), F.sum(d * bias()).alias("bias"),
-        F.array_sort(F.collect_set(convention())).alias("_conv"), *units)
+    # Numbers first, per (chain, convention): plain hash aggregation, reduced on the map
+    # side. Only its few rows per chain meet the sets of words.
+    units = ["units"] if "units" in member.columns else []
+    sums = {"members": F.count(F.lit(1)), "nominal": F.sum(d * F.col("nominal")), "_down": F.sum(down), "_up": F.sum(up),
+            "_var": F.sum(sigma() * sigma()), "bias": F.sum(d * bias())}
+    part = member.groupBy("chain_id", convention().alias("_c"), *units).agg(
+        *[c.alias(k) for k, c in sums.items()], F.max("sigma_span").alias("span"), F.min("sigma_span").alias("_least"))
+    agg = part.groupBy("chain_id").agg(
+        *[F.sum(k).alias(k) for k in sums], F.max("span").alias("span"), F.min("_least").alias("_least"),
+        F.array_sort(F.collect_set("_c")).alias("_conv"), *[F.collect_set(u).alias("_units") for u in units])
     t = chain.join(agg, "chain_id", "left").withColumn("sigma_total", F.sqrt(F.coalesce("_var", F.lit(0.0))))
     n, s, b = F.coalesce("nominal", F.lit(0.0)), F.col("sigma_total"), F.coalesce("bias", F.lit(0.0))
     band = F.coalesce("span", F.lit(0.0)) * s

@@ -192,6 +192,15 @@ def _(fx):
         fits.hole_accepts(F.col("fastener"), F.lit("clearance"), F.col("hole_radius"))).alias("accepts"))
 
 
+@query("f11_fit_classes", """
+SELECT i.revision_id, c.fit, CASE c.fit WHEN 'clearance' THEN 2 * hole_radius BETWEEN 6.1 - 1e-9 AND 7.2 + 1e-9 WHEN 'close' THEN 2 * hole_radius BETWEEN 6.05 - 1e-9 AND 6.6 + 1e-9
+  WHEN 'press' THEN 2 * hole_radius BETWEEN 5.95 - 1e-9 AND 6.05 + 1e-9 ELSE 2 * hole_radius BETWEEN 4.68 - 1e-9 AND 5.52 + 1e-9 END AS accepts
+FROM fx_interface i CROSS JOIN (SELECT unnest(['clearance', 'close', 'press', 'tapped']) AS fit) c""")
+def _(fx):
+    each = fx.interface.withColumn("fit", F.explode(F.array(*[F.lit(c) for c in fits.FIT_LIMITS])))
+    return each.select("revision_id", "fit", fits.hole_accepts(F.col("fastener"), F.col("fit"), F.col("hole_radius")).alias("accepts"))
+
+
 @query("f12_alignment_allowance", f"SELECT revision_id, {grid_sql('GREATEST(hole_radius - 3, 0) + 0.3')} AS allowance FROM fx_interface")
 def _(fx):
     return fx.interface.select("revision_id", grid(fits.alignment_allowance(

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from partloom.api import Queries
 from partloom.functions import pose
 from partloom.functions import text as texts
 from partloom.operators import diff, features, graph, hashing, interference, landing, lookup, quality, rollup
@@ -156,6 +157,25 @@ def _(fx):
     return proposals.chain_steps(prepared(fx), product(fx)).select("commit_id", "constraint_name", "passed")
 
 
+@query("n12_query_surface", _DOWN + """
+SELECT p.part_number, r.revision_id, CAST(SUM(w.qty) AS BIGINT) AS total_qty FROM walk w JOIN fx_revision r ON r.revision_id = w.rev JOIN fx_part p ON p.part_id = r.part_id
+WHERE r.is_assembly = 0 GROUP BY p.part_number, r.revision_id""")
+def _(fx):
+    return Queries(product(fx), extra(fx, "fx_ref")).bill_of_materials("main").select("part_number", "revision_id", "total_qty")
+
+
+@query("s01_table_catalogue", """
+SELECT r.revision_id AS revision_id, p.part_number, r.density, CAST(r.revision_index AS INTEGER) AS revision_index FROM fx_revision r JOIN fx_part p ON p.part_id = r.part_id""")
+def _(fx):
+    folder = f"{shared_folder(fx.spark)}/tables-{uuid.uuid4().hex}"
+    for name, df in (("part", fx.part), ("revision", fx.revision)):
+        stored = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in catalogue.schema(name)]
+        df.select(*stored).write.parquet(f"{folder}/{name}")
+    t = catalogue.load(fx.spark, folder, ["part", "revision"])
+    return t["revision"].join(t["part"].select("part_id", "part_number"), "part_id").select(
+        F.col("revision_id").cast("bigint").alias("revision_id"), "part_number", "density", "revision_index")
+
+
 # -- quality --------------------------------------------------------------------
 
 @query("c10_quality_audit", """
