@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -116,3 +117,44 @@ def blocks(rows: DataFrame, keys: list[str], spread: Column, most: int) -> DataF
     wide = wide.withColumn("_i", F.pmod(spread, F.col("_s")).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
     return (wide.withColumn("b0", F.least("_i", "_j")).withColumn("b1", F.greatest("_i", "_j"))
             .withColumn("side", (F.col("_i") > F.col("_j")).cast("int")).select(*rows.columns, "b0", "b1", "side"))
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Whole groups, as columns, out of a partition that is sorted by ``keys``. A group may lie
+    in several batches; only the last one is held back."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            piece = batch.slice(a, b - a)
+            if held and any(held[-1].column(k)[0] != piece.column(k)[0] for k in keys):
+                yield _columns(held)
+                held = []
+            held.append(piece)
+    if held:
+        yield _columns(held)
+
+
+def _columns(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    whole = pa.Table.from_batches(parts)
+    return {n: whole.column(n).to_numpy() for n in whole.column_names}
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each of ``n`` members' group, linked by the pairs (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        after = root.copy()
+        np.minimum.at(after, a, low)
+        np.minimum.at(after, b, low)
+        np.minimum.at(after, root[a], low)
+        np.minimum.at(after, root[b], low)
+        after = after[after]
+        if (after == root).all():
+            break
+        root = after
+    return root

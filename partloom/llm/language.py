@@ -33,11 +33,6 @@ def letter(code: int) -> np.ndarray:
     return _LETTERS[code]
 
 
-def codes(text: str) -> np.ndarray:
-    """Code points of the lower-cased text, all but letters as blanks."""
-    return np.frombuffer("".join(c if c.isalpha() else " " for c in text.lower()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-
-
 def _table() -> np.ndarray:
     out = np.full(1 << 16, 32, np.int64)
     for i in range(1 << 16):

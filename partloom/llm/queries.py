@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets, tokens
+from . import language, mixing, quality, secrets, simhash, tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,29 @@ def op2(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.classify(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
+@query("op4_quality")
+def op4(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return quality.classify(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
+
+
+@query("op5_language")
+def op5(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return language.identify(documents, language.fit(documents))
+
+
+@query("op6_simhash")
+def op6(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op8_source_mix", mixing.ORACLE)
 def op8(spark, sf_dir):
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))

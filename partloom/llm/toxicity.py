@@ -88,7 +88,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"feature": seen, "neg": n[0, seen], "pos": n[1, seen]})
 
 
-def logistic(doc: np.ndarray, col: np.ndarray, value: np.ndarray, label: np.ndarray, width: int, penalty: float = 3e-4,
+def logistic(doc: np.ndarray, col: np.ndarray, value: np.ndarray, label: np.ndarray, width: int, penalty: float = 1e-4,
              rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """L2-regularised logistic regression over sparse rows by full-batch Adam."""
     w, m, v = (np.zeros(width + 1) for _ in range(3))
@@ -102,11 +102,11 @@ def logistic(doc: np.ndarray, col: np.ndarray, value: np.ndarray, label: np.ndar
     return w[:-1], float(w[-1])
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = 20_000, width: int = 2048, mod: int = 3, held_out: int = 1) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = 20_000, width: int = 4096, sure: float = 4.0, mod: int = 3, held_out: int = 1) -> Model:
     """Learn from at most ``sample`` labelled documents outside the held-out fold.
 
-    ``width`` features are kept: those whose log-count ratio is largest against its
-    standard error. Without two classes the score is the share of label 1, or 0 if
+    Features are kept whose log-count ratio is at least ``sure`` times its standard error,
+    the ``width`` surest of them. Without two classes the score is the share of label 1, or 0 if
     there is no label at all.
     """
     small_batches(documents.sparkSession)
@@ -120,7 +120,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 20_000, width: in
     ratio = F.log((F.col("pos") + 1.0) / (n1 + 2.0)) - F.log((F.col("neg") + 1.0) / (n0 + 2.0))
     error = F.sqrt(1 / (F.col("pos") + 1.0) + 1 / (F.col("neg") + 1.0))
     best = counts.filter("neg + pos >= 3").select("feature", ratio.alias("r"), (F.abs(ratio) / error).alias("z")).orderBy(
-        F.desc("z"), "feature").limit(width).toPandas()  # ``width`` rows
+        F.desc("z"), "feature").filter(F.col("z") >= sure).limit(width).toPandas()  # ``width`` rows
     feature, r = best["feature"].to_numpy(np.int64), best["r"].to_numpy()
     place = np.full(1 << BITS, -1, np.int32)
     place[feature] = np.arange(len(feature))
