@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, quality, secrets, simhash, tokens, toxicity
+from . import embeddings, language, mixing, quality, secrets, simhash, tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,11 @@ def op6(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op7_embedding_caps")
+def op7(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op8_source_mix", mixing.ORACLE)
 def op8(spark, sf_dir):
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
