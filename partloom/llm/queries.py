@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, language, licenses, mixing, quality, secrets, simhash, tokens, toxicity
+from . import decontaminate, embeddings, language, licenses, mixing, quality, secrets, simhash, tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+@query("op1_decontamination")
+def op1(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op2_secret_scan", secrets.oracle())
 def op2(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
