@@ -68,7 +68,9 @@ class Tree:
 
 @lru_cache(maxsize=8)
 def tree(width: int, radius: int, leaf: int = 16, seed: int = 5) -> Tree:
-    """The vantage-point tree of all values of ``width`` bits."""
+    """The vantage-point tree of all values of ``width`` bits, 20 at most."""
+    if width > 20:
+        raise ValueError("blocks of over 20 bits have too many values: use more blocks")
     draw = np.random.Generator(np.random.PCG64(seed))
     every = np.arange(1 << width, dtype=np.uint32)
     home = np.zeros(1 << width, np.int32)
@@ -159,13 +161,14 @@ def linked(fingerprints: DataFrame, most: int = 4, blocks: int = 4, leaf: int =
 
 
 def grouped(rows: DataFrame, most: int = 4, blocks: int = 4) -> DataFrame:
-    """(fp, component_id) for each distinct ``fp`` of (doc_id, fp): the least doc_id that is
-    reachable by links. A component without any id has none."""
+    """(fp, component, component_id) for each distinct ``fp`` of (doc_id, fp): the least
+    fingerprint and the least doc_id that are reachable by links. A component without any id
+    has none; where ids are repeated, several components may have the same."""
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
     found = components(linked(classes, most, blocks))
     named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    return named.join(least, "component").select("fp", "component_id")
+    return named.join(least, "component").select("fp", "component", "component_id")
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, most: int = 4, blocks: int = 4) -> DataFrame:
@@ -191,10 +194,14 @@ def deduplicated(documents: DataFrame, words: int = WORDS, most: int = 4, blocks
     mark = fingerprint_column(spark, words)
     rows = cut(documents.select("doc_id", mark("text")["fp"].alias("fp")))
     of = rows.join(grouped(rows, most, blocks), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # of each component the place where it stays: an id, and whether several rows have it
-    stay = of.groupBy("component_id").agg(F.count("*").alias("_n"), F.min("fp").alias("_first")).select(
-        F.col("component_id").alias("_keep"), "_n", "_first")
-    held = documents.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id")).join(stay, F.col("_id").eqNullSafe(F.col("_keep")))
-    single, several = held.filter("_n = 1"), held.filter("_n > 1")
-    again = several.filter(mark("_row.text")["fp"] == F.col("_first")).groupBy("_keep").agg(F.min("_row").alias("_row"))
+    keep = of.groupBy("component", "doc_id").agg(F.min("fp").alias("_first"))
+    # an id that only one row has names the row; other rows are named by id and fingerprint
+    times = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
+    named = cut(keep.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).select(F.col("doc_id").alias("_keep"), "_first", "_n"))
+    held = documents.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
+    same = F.col("_id").eqNullSafe(F.col("_keep"))
+    single = held.join(named.filter("_n = 1"), same)
+    several = named.filter("_n > 1")
+    marked = held.join(several.select("_keep").distinct(), same, "left_semi").withColumn("_fp", mark("_row.text")["fp"])
+    again = marked.join(several, same & (F.col("_fp") == F.col("_first"))).groupBy("_keep", "_first").agg(F.min("_row").alias("_row"))
     return single.select("_row.*").unionByName(again.select("_row.*"))

@@ -105,8 +105,8 @@ def logistic(doc: np.ndarray, col: np.ndarray, value: np.ndarray, label: np.ndar
 def fit(documents: DataFrame, labels: DataFrame, sample: int = 20_000, width: int = 4096, sure: float = 4.0, mod: int = 3, held_out: int = 1) -> Model:
     """Learn from at most ``sample`` labelled documents outside the held-out fold.
 
-    Features are kept whose log-count ratio is at least ``sure`` times its standard error,
-    the ``width`` surest of them. Without two classes the score is the share of label 1, or 0 if
+    Features are kept that the classes hold unequally by a likelihood-ratio test of at least
+    ``sure`` standard deviations, the ``width`` surest of them. Without two classes the score is the share of label 1, or 0 if
     there is no label at all.
     """
     small_batches(documents.sparkSession)
@@ -118,8 +118,16 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 20_000, width: in
     counts = rows.select("text", "label").mapInPandas(_counts, "feature int, neg long, pos long").groupBy("feature").agg(
         F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     ratio = F.log((F.col("pos") + 1.0) / (n1 + 2.0)) - F.log((F.col("neg") + 1.0) / (n0 + 2.0))
-    error = F.sqrt(1 / (F.col("pos") + 1.0) + 1 / (F.col("neg") + 1.0))
-    best = counts.filter("neg + pos >= 3").select("feature", ratio.alias("r"), (F.abs(ratio) / error).alias("z")).orderBy(
+
+    def part(seen, rows: int):
+        """One cell of the test: observed against expected under equal shares."""
+        return F.when(seen > 0, seen * F.log(seen * (n0 + n1) / rows)).otherwise(0.0)
+
+    p, q = F.col("pos").cast("double"), F.col("neg").cast("double")
+    both, none = p + q, F.lit(n0 + n1) - p - q
+    test = (part(p, n1) + part(q, n0) + part(F.lit(n1) - p, n1) + part(F.lit(n0) - q, n0)
+            - both * F.log(both) - F.when(none > 0, none * F.log(none)).otherwise(0.0))
+    best = counts.filter("neg + pos >= 3").select("feature", ratio.alias("r"), F.sqrt(F.greatest(2 * test, F.lit(0.0))).alias("z")).orderBy(
         F.desc("z"), "feature").filter(F.col("z") >= sure).limit(width).toPandas()  # ``width`` rows
     feature, r = best["feature"].to_numpy(np.int64), best["r"].to_numpy()
     place = np.full(1 << BITS, -1, np.int32)
