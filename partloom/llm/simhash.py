@@ -200,8 +200,11 @@ def deduplicated(documents: DataFrame, words: int = WORDS, most: int = 4, blocks
     named = cut(keep.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).select(F.col("doc_id").alias("_keep"), "_first", "_n"))
     held = documents.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
     same = F.col("_id").eqNullSafe(F.col("_keep"))
-    single = held.join(named.filter("_n = 1"), same)
+    # what stays grows with the corpus: always a merge join, one shuffle of the texts
+    stay = held.join(named.filter("_n = 1").hint("merge"), same).select("_row.*")
     several = named.filter("_n > 1")
-    marked = held.join(several.select("_keep").distinct(), same, "left_semi").withColumn("_fp", mark("_row.text")["fp"])
+    if several.isEmpty():
+        return stay
+    marked = cut(held.join(several.select("_keep").distinct(), same, "left_semi")).withColumn("_fp", mark("_row.text")["fp"])
     again = marked.join(several, same & (F.col("_fp") == F.col("_first"))).groupBy("_keep", "_first").agg(F.min("_row").alias("_row"))
-    return single.select("_row.*").unionByName(again.select("_row.*"))
+    return stay.unionByName(again.select("_row.*"))
