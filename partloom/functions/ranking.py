@@ -8,25 +8,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut
 
-HOT_GROUP = 1_000_000
 
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
-def rank_within(df: DataFrame, keys: list[str], order: list[Column | str], out: str = "rn",
-                hot: int = HOT_GROUP, split: bool | None = None) -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], order: list[Column | str], out: str = "rn", split: bool = True) -> DataFrame:
     """``row_number`` per key. ``order`` must be total inside a key.
 
-    While every group is below ``hot`` rows this is a plain window. Beyond it the
-    rows are range-partitioned by (key, order), so a hot key spreads over many
-    pieces; rows are numbered inside a piece and shifted by the sizes of the
-    pieces before it. The pieces are written first: a lost executor must not
-    re-draw the range bounds. A caller that knows the group sizes passes ``split``.
+    Rows are range-partitioned by (key, order), so a hot key spreads over many pieces;
+    they are numbered inside a piece and shifted by the sizes of the pieces before it. The
+    pieces are written first: a lost executor must not re-draw the range bounds. A
+    caller whose groups are short by their nature (the lines of an order) passes
+    ``split=False`` for a plain window.
     """
-    if split is None:
-        split = largest_group(df, keys) > hot
     if not split:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

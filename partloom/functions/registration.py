@@ -1,127 +1,138 @@
-"""Registering two small point patterns: numpy helpers for one Arrow batch of rows."""
+"""Where one small point pattern can be laid on another: numpy helpers for Arrow batches.
 
-from __future__ import annotations
+A rigid motion is fixed by where it takes two points, seen from the centroid. So a pattern's
+two anchors (its farthest point, and the point that spans the widest triangle with it) are
+laid on every pair of the other pattern that fits them about as well as the best pair
+does. A ring of n holes has 2 n such motions, an irregular pattern one; each is scored by
+nearest points, all at once, and the correspondences they name are refined by least squares.
+"""
 
-import itertools
-import math
+from __future__ import annotations
 
 import numpy as np
 
-# Fixed value: up to this many orderings are tried one by one.
-MOST_ORDERINGS = 5040
+SLACK = 0.05  # of the pattern's size: how much worse than the best pair an anchor pair may fit
 _FLAT = 1e-9
-
-
-def fit(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least-squares rigid fits of p (n,3) onto a stack q (k,n,3): (rmsd, mirrored) per stack entry.
-
-    Only proper rotations are fitted. ``mirrored`` marks patterns with depth whose best
-    fit would be a reflection; a flat pattern turns over and is never mirrored.
-    """
-    pc, qc = p - p.mean(0), q - q.mean(1, keepdims=True)
-    u, s, vt = np.linalg.svd(np.einsum("ni,knj->kij", pc, qc))
-    det = np.linalg.det(np.swapaxes(vt, 1, 2) @ np.swapaxes(u, 1, 2))
-    sign = np.ones_like(s)
-    sign[:, 2] = np.where(det < 0, -1.0, 1.0)
-    turn = np.swapaxes(vt, 1, 2) @ (sign[:, :, None] * np.swapaxes(u, 1, 2))
-    moved = np.einsum("kij,nj->kni", turn, pc)
-    rmsd = np.sqrt(((moved - qc) ** 2).sum(2).mean(1))
-    return rmsd, (det < 0) & (s[:, 2] > _FLAT * np.maximum(s[:, 0], 1e-300))
-
-
-def _signature(pts: np.ndarray) -> list[tuple]:
-    radial = np.linalg.norm(pts - pts.mean(0), axis=1)
-    mutual = np.sort(np.linalg.norm(pts[:, None] - pts[None], axis=2), axis=1)
-    return [(round(float(r), 6), *np.round(m, 6)) for r, m in zip(radial, mutual)]
-
-
-def _orderings(p: np.ndarray, q: np.ndarray) -> np.ndarray | None:
-    """Orders of q to try against p, or None when there are too many to list."""
-    n = len(p)
-    sp, sq = _signature(p), _signature(q)
-    if sorted(sp) == sorted(sq):
-        choice = [[j for j in range(n) if sq[j] == s] for s in sp]
-        if math.prod(len(c) for c in choice) <= MOST_ORDERINGS:
-            found = [c for c in itertools.product(*choice) if len(set(c)) == n]
-            if found:
-                return np.array(found)
-    if math.factorial(n) <= MOST_ORDERINGS:
-        return np.array(list(itertools.permutations(range(n))))
-    return None
-
-
-def _by_anchors(p: np.ndarray, q: np.ndarray) -> tuple[float, bool]:
-    """Large symmetric patterns: a rigid motion is fixed by three points, so every image of
-    one wide triangle of p is tried and completed by the best assignment."""
-    a = int(np.argmax(np.linalg.norm(p - p.mean(0), axis=1)))
-    b = int(np.argmax(np.linalg.norm(p - p[a], axis=1)))
-    c = int(np.argmax(np.linalg.norm(np.cross(p - p[a], p[b] - p[a]), axis=1)))
-    tri = p[[a, b, c]]
-    gap = max(np.linalg.norm(p[b] - p[a]), 1.0) * 0.05
-    d = np.linalg.norm(q[:, None] - q[None], axis=2)
-    ab, ac, bc = (np.linalg.norm(tri[i] - tri[j]) for i, j in ((0, 1), (0, 2), (1, 2)))
-    best = (math.inf, False)
-    for i in range(len(q)):
-        for j in np.flatnonzero(np.abs(d[i] - ab) <= gap):
-            for k in np.flatnonzero((np.abs(d[i] - ac) <= gap) & (np.abs(d[j] - bc) <= gap)):
-                if len({i, int(j), int(k)}) < 3:
-                    continue
-                image = q[[i, j, k]]
-                h = (tri - tri.mean(0)).T @ (image - image.mean(0))
-                u, _, vt = np.linalg.svd(h)
-                for side in (1.0, -1.0):
-                    r = vt.T @ np.diag([1, 1, side * np.sign(np.linalg.det(vt.T @ u.T))]) @ u.T
-                    placed = (p - tri.mean(0)) @ r.T + image.mean(0)
-                    order = assign(np.linalg.norm(placed[:, None] - q[None], axis=2))
-                    rmsd, mirrored = fit(p, q[order][None])
-                    if rmsd[0] < best[0]:
-                        best = (float(rmsd[0]), bool(mirrored[0]))
-    return best
+_CELLS = 1 << 21  # distances held at once
+
+
+def _frames(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Right-handed frames (k, 3, 3), columns along ``a`` and towards ``b`` from it. Where
+    they leave a direction open, any one is taken."""
+    first = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+    first[np.linalg.norm(a, axis=1) < 1e-12] = (1.0, 0.0, 0.0)
+    side = b - (b * first).sum(1, keepdims=True) * first
+    open_ = np.linalg.norm(side, axis=1) <= 1e-9 * np.maximum(np.linalg.norm(b, axis=1), 1e-300)
+    if open_.any():
+        unit = np.eye(3)[np.abs(first[open_]).argmin(1)]
+        side[open_] = unit - (unit * first[open_]).sum(1, keepdims=True) * first[open_]
+    second = side / np.linalg.norm(side, axis=1, keepdims=True)
+    return np.stack([first, second, np.cross(first, second)], axis=2)
+
+
+def motions(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Turns (k, 3, 3), mirror images included, that lay centred ``p`` on centred ``q`` by its anchors."""
+    reach = np.linalg.norm(p, axis=1)
+    one = int(reach.argmax())
+    two = int(np.linalg.norm(np.cross(p, p[one]), axis=1).argmax())
+    if two == one:
+        two = int(np.linalg.norm(p - p[one], axis=1).argmax())
+    far = np.linalg.norm(q, axis=1)
+    apart = np.linalg.norm(q[:, None] - q[None], axis=2)
+    misfit = np.abs(far - reach[one])[:, None] + np.abs(far - reach[two])[None] + np.abs(apart - np.linalg.norm(p[one] - p[two]))
+    misfit[np.diag_indices(len(q))] = np.inf
+    i, j = np.nonzero(misfit <= misfit.min() + SLACK * max(reach[one], _FLAT))
+    own = _frames(p[[one]], p[[two]])[0]
+    there = _frames(q[i], q[j])
+    return np.concatenate([there @ own.T, (there * np.array([1.0, 1.0, -1.0])) @ own.T])
+
+
+def nearest(placed: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For stacks (k, n, 3): each point's nearest target, its distance, and whether no target is taken twice."""
+    order = []
+    step = max(_CELLS // max(placed.shape[1] ** 2, 1), 1)
+    for at in range(0, len(placed), step):
+        own, t = placed[at:at + step], target[at:at + step] if target.ndim == 3 else target[None]
+        order.append(((t**2).sum(2)[:, None] - 2 * own @ np.swapaxes(t, 1, 2)).argmin(2))
+    order = np.concatenate(order)
+    taken = np.take_along_axis(target, order[:, :, None], 1) if target.ndim == 3 else target[order]
+    return order, np.linalg.norm(placed - taken, axis=2), (np.sort(order, axis=1) == np.arange(order.shape[1])).all(1)
+
+
+def residuals(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Root mean square left over by the best proper turn of centred ``p`` onto each centred
+    ``q`` of a stack, and whether a mirror image would fit better. A flat pattern can
+    turn over, so it is never mirrored."""
+    left, size, right = np.linalg.svd(np.swapaxes(q, 1, 2) @ p)
+    turned = np.linalg.det(left @ right) < 0
+    left[:, :, 2] *= np.where(turned, -1.0, 1.0)[:, None]
+    rest = q - p @ np.swapaxes(left @ right, 1, 2)
+    return np.sqrt((rest**2).sum((1, 2)) / len(p)), turned & (size[:, 2] > _FLAT * np.maximum(size[:, 0], 1e-300))
 
 
 def register(p: np.ndarray, q: np.ndarray) -> tuple[float, bool]:
-    """Least rmsd over correspondences of two equally large patterns, and whether it is a mirror image."""
+    """Least residual of laying ``p`` on the equally large ``q``, and whether it is a mirror image."""
     if len(p) == 1:
         return 0.0, False
-    orders = _orderings(p, q)
-    if orders is None:
-        return _by_anchors(p, q)
-    rmsd, mirrored = fit(p, q[orders])
-    k = int(np.argmin(np.round(rmsd, 12)))
-    return float(rmsd[k]), bool(mirrored[k])
+    p, q = p - p.mean(0), q - q.mean(0)
+    placed = np.swapaxes(motions(p, q) @ p.T, 1, 2)
+    order, apart, whole = nearest(placed, q)
+    if whole.any():
+        order = np.unique(order[whole], axis=0)
+    else:  # no motion names a correspondence: the best one's is completed
+        best = int((apart**2).sum(1).argmin())
+        order = assign(np.linalg.norm(placed[best][:, None] - q[None], axis=2))[None]
+    rmsd, mirrored = residuals(p, q[order])
+    # of equal residuals one that isn't mirrored
+    best = int(np.lexsort((mirrored, np.round(rmsd, 9)))[0])
+    return float(rmsd[best]), bool(mirrored[best])
 
 
 def assign(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in the assignment of least total cost (shortest augmenting paths)."""
+    """Column of each row in the assignment of least total cost, by an auction: unassigned
+    rows bid for their best column as much as it is better than their second best."""
     n = len(cost)
-    row_of, pot_r, pot_c = np.full(n, -1), np.zeros(n), np.zeros(n)
-    for start in range(n):
-        dist, via, done = np.full(n, np.inf), np.full(n, -1), np.zeros(n, bool)
-        row, base, last, reached = start, 0.0, -1, []
-        while True:
-            slack = base + cost[row] - pot_r[row] - pot_c
-            better = ~done & (slack < dist)
-            dist[better], via[better] = slack[better], last
-            col = int(np.argmin(np.where(done, np.inf, dist)))
-            done[col], base = True, dist[col]
-            reached.append(col)
-            if row_of[col] < 0:
-                break
-            row, last = row_of[col], col
-        pot_r[start] += base
-        for c in reached[:-1]:
-            pot_r[row_of[c]] += base - dist[c]
-            pot_c[c] -= base - dist[c]
-        while via[col] >= 0:
-            row_of[col] = row_of[via[col]]
-            col = via[col]
-        row_of[col] = start
-    out = np.empty(n, int)
-    out[row_of] = np.arange(n)
+    price, owner, column = np.zeros(n), np.full(n, -1), np.full(n, -1)
+    scale = max(float(cost.max()), _FLAT)
+    for step in scale * np.array([1e-2, 1e-5, 1e-9]) / n:  # within n steps of the least cost
+        owner[:], column[:] = -1, -1
+        while (free := np.flatnonzero(column < 0)).size:
+            worth = -cost[free] - price
+            best = worth.argmax(1)
+            top = worth[np.arange(len(free)), best]
+            worth[np.arange(len(free)), best] = -np.inf
+            bid = price[best] + top - (worth.max(1) if n > 1 else top) + step
+            for c in np.unique(best):
+                who = np.flatnonzero(best == c)
+                won = free[who[bid[who].argmax()]]
+                if owner[c] >= 0:
+                    column[owner[c]] = -1
+                owner[c], column[won], price[c] = won, c, bid[who].max()
+    return column
+
+
+def worst_misses(placed: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """For stacks (k, n, 3): the largest distance between assigned points. Where every point
+    is nearest to another target, that is the assignment."""
+    _, apart, whole = nearest(placed, target)
+    out = apart.max(1)
+    for k in np.flatnonzero(~whole):
+        d = np.linalg.norm(placed[k][:, None] - target[k][None], axis=2)
+        out[k] = d[np.arange(len(d)), assign(d)].max()
     return out
 
 
-def worst_miss(placed: np.ndarray, target: np.ndarray) -> float:
-    """Largest distance between assigned points."""
-    d = np.linalg.norm(placed[:, None] - target[None], axis=2)
-    return float(d[np.arange(len(d)), assign(d)].max())
+def compare(mine: list, placed: list, theirs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rmsd, mirrored, worst miss) of rows of flat point lists; nan, False and nan without
+    equal point sets. Rows of one size go together, equal pairs of patterns once."""
+    rmsd, mirrored, miss = np.full(len(mine), np.nan), np.zeros(len(mine), bool), np.full(len(mine), np.nan)
+    sizes = np.array([0 if a is None or c is None or len(a) != len(c) else len(a) // 3 for a, c in zip(mine, theirs)], int)
+    for n in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == n)
+        p, w, q = (np.array([np.asarray(x[r], float) for r in rows]).reshape(len(rows), n, 3) for x in (mine, placed, theirs))
+        pairs, back = np.unique(np.concatenate([p, q], axis=1).reshape(len(rows), -1), axis=0, return_inverse=True)
+        found = [register(x[:n], x[n:]) for x in pairs.reshape(len(pairs), 2 * n, 3)]
+        rmsd[rows] = np.array([f[0] for f in found])[back.ravel()]
+        mirrored[rows] = np.array([f[1] for f in found])[back.ravel()]
+        miss[rows] = worst_misses(w, q)
+    return rmsd, mirrored, miss

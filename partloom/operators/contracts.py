@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import math
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cluster, digest, fits, geometry as g, pose
@@ -19,7 +21,7 @@ DRAFT_PATTERNS = 6
 DRAFT_RADIUS_TOL = 0.05
 
 
-def find_instances(asked: DataFrame, occ: DataFrame, rev: DataFrame, part: DataFrame, max_depth: int = 64) -> DataFrame:
+def find_instances(asked: DataFrame, occ: DataFrame, rev: DataFrame, part: DataFrame) -> DataFrame:
     """asked(ask_id, root_rev, path) -> (ask_id, revision_id, pose): the revision an instance
     path leads to, placed in the root's frame. A segment matches the instance name, or
     the part number where the instance has no name. Unknown paths are left out.
@@ -33,7 +35,7 @@ def find_instances(asked: DataFrame, occ: DataFrame, rev: DataFrame, part: DataF
     steps = F.filter(F.split("path", "/"), lambda s: s != "")
     state = cut(asked.select("ask_id", F.col("root_rev").alias("rev"), steps.alias("steps")).select("*", *pose.identity()))
     found = []
-    for k in range(max_depth):
+    for k in count():  # a path has finitely many segments
         found.append(state.filter(F.size("steps") == k).drop("steps"))
         rest = state.filter(F.size("steps") > k).withColumn("step", F.get("steps", F.lit(k)))
         if rest.isEmpty():

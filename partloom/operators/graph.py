@@ -7,16 +7,26 @@ frontier as small as the number of nodes rather than the number of paths.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import pose
 from ..session import cut, union_all
 
-DEPTH_GUARD = 64
+LOOK_AT = 64  # depth from which a walk that is still going is tested for cycles
+
+
+class CycleFound(RuntimeError):
+    """A walk goes round a cycle and would never end."""
 
 
-class DepthExceeded(RuntimeError):
-    """An assembly is nested deeper than the guard (or the graph has a cycle)."""
+def must_end(depth: int, frontier: DataFrame, occ: DataFrame) -> None:
+    """Raise if a walk over ``occ`` can't end. Walks have no depth limit; at depths 64, 128,
+    256 and so on the frontier is tested for nodes on a cycle, on which an endless walk always has one."""
+    if depth >= LOOK_AT and depth & (depth - 1) == 0:
+        if not frontier.join(cyclic_nodes(occ), "revision_id", "left_semi").isEmpty():
+            raise CycleFound(f"the graph has a cycle (seen at depth {depth})")
 
 
 def _labelled_edges(occ: DataFrame, rev: DataFrame, part: DataFrame, extra: list[str]) -> DataFrame:
@@ -36,18 +46,19 @@ def _root_rows(roots: DataFrame, rev: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def explode_structure(roots: DataFrame, occ: DataFrame, rev: DataFrame, part: DataFrame,
-                      shape: DataFrame, max_depth: int = DEPTH_GUARD) -> DataFrame:
+                      shape: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Every appearance below each root: depth, path, quantity product, unit mass.
 
     Paths multiply in a DAG, so this is for answers that need the path; totals
-    come from :func:`quantities`, whose frontier is one row per node.
+    come from :func:`quantities`, whose frontier is one row per node. ``max_depth``
+    limits the tree where the caller asks for it.
     """
     edges = cut(_labelled_edges(occ, rev, part, []))
     level = cut(_root_rows(roots, rev, part).select(
         "root_rev", F.col("root_rev").alias("revision_id"), F.lit(0).alias("depth"),
         F.col("part_number").alias("path"), F.lit(1).cast("bigint").alias("quantity")))
     levels = [level]
-    for _ in range(max_depth):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         level = cut(level.withColumnRenamed("quantity", "q").join(
             edges, level.revision_id == edges.parent_rev).select(
             "root_rev", F.col("child_rev").alias("revision_id"), (F.col("depth") + 1).alias("depth"),
@@ -55,6 +66,7 @@ def explode_structure(roots: DataFrame, occ: DataFrame, rev: DataFrame, part: Da
             (F.col("q") * F.col("quantity")).cast("bigint").alias("quantity")))
         if level.isEmpty():
             break
+        must_end(depth, level, occ)
         levels.append(level)
     attrs = (rev.select("revision_id", "part_id", "revision_index", "is_assembly", "fingerprint", "density")
              .join(part.select("part_id", "part_number", "team_id"), "part_id")
@@ -64,28 +76,27 @@ def explode_structure(roots: DataFrame, occ: DataFrame, rev: DataFrame, part: Da
     return union_all(levels).join(attrs, "revision_id")
 
 
-def quantities(roots: DataFrame, occ: DataFrame, max_depth: int = DEPTH_GUARD) -> DataFrame:
+def quantities(roots: DataFrame, occ: DataFrame) -> DataFrame:
     """Total quantity of every revision below each root: (root_rev, revision_id, quantity)."""
     edges = occ.select("parent_rev", "child_rev", F.col("quantity").cast("bigint").alias("q"))
     level = cut(roots.select("root_rev").distinct().select(
         "root_rev", F.col("root_rev").alias("revision_id"), F.lit(1).cast("bigint").alias("quantity")))
     levels = [level]
-    for _ in range(max_depth):
+    for depth in count(1):
         level = cut(level.join(edges, level.revision_id == edges.parent_rev)
                     .groupBy("root_rev", F.col("child_rev").alias("revision_id"))
                     .agg(F.sum(F.col("quantity") * F.col("q")).alias("quantity")))
         if level.isEmpty():
             break
+        must_end(depth, level, occ)
         levels.append(level)
     return union_all(levels).groupBy("root_rev", "revision_id").agg(F.sum("quantity").alias("quantity"))
 
 
-def configuration(roots: DataFrame, occ: DataFrame, rev: DataFrame, part: DataFrame,
-                  max_depth: int = DEPTH_GUARD) -> DataFrame:
+def configuration(roots: DataFrame, occ: DataFrame, rev: DataFrame, part: DataFrame) -> DataFrame:
     """Placed instances below each root, pose composed into the root's frame.
 
-    ``rel_path`` is the path below the root without the root's own label. A walk
-    that is still going at the guard raises, as a silent cut would drop parts.
+    ``rel_path`` is the path below the root without the root's own label.
     """
     edges = cut(_labelled_edges(occ, rev, part, [F.col(c).alias(f"e_{c}") for c in pose.COLUMNS])
                 .withColumnRenamed("instance_name", "edge_name").withColumnRenamed("quantity", "edge_qty"))
@@ -96,7 +107,7 @@ def configuration(roots: DataFrame, occ: DataFrame, rev: DataFrame, part: DataFr
         F.lit(None).cast(occ.schema["parent_rev"].dataType).alias("parent_rev"),
         F.lit("").alias("instance_name"), *pose.identity()))
     levels = [level]
-    for depth in range(max_depth + 1):
+    for depth in count(1):
         up = level.drop("parent_rev", "instance_name")
         level = cut(up.join(edges, up.revision_id == edges.parent_rev).select(
             "root_rev", F.col("child_rev").alias("revision_id"), (F.col("depth") + 1).alias("depth"),
@@ -108,20 +119,20 @@ def configuration(roots: DataFrame, occ: DataFrame, rev: DataFrame, part: DataFr
             *pose.compose("", "e_")))
         if level.isEmpty():
             break
-        if depth == max_depth:
-            raise DepthExceeded(f"assembly deeper than {max_depth}")
+        must_end(depth, level, occ)
         levels.append(level)
     meta = rev.select("revision_id", "part_id", "is_assembly", "fingerprint").join(
         part.select("part_id", "part_number", "team_id"), "part_id")
     return union_all(levels).join(meta, "revision_id")
 
 
-def reachable(roots: DataFrame, occ: DataFrame, max_depth: int = DEPTH_GUARD) -> DataFrame:
-    """Distinct (root_rev, revision_id) of every configuration, the root included."""
+def reachable(roots: DataFrame, occ: DataFrame) -> DataFrame:
+    """Distinct (root_rev, revision_id) of every configuration, the root included. Ends on
+    any graph, as a pair is walked from once."""
     edges = occ.select("parent_rev", "child_rev").distinct()
     level = cut(roots.select("root_rev").distinct().withColumn("revision_id", F.col("root_rev")))
     seen = level
-    for _ in range(max_depth):
+    while True:
         step = (level.join(edges, level.revision_id == edges.parent_rev)
                 .select("root_rev", F.col("child_rev").alias("revision_id")).distinct())
         level = cut(step.join(seen, ["root_rev", "revision_id"], "left_anti"))
@@ -131,13 +142,13 @@ def reachable(roots: DataFrame, occ: DataFrame, max_depth: int = DEPTH_GUARD) ->
     return seen
 
 
-def containing(parts: DataFrame, occ: DataFrame, rev: DataFrame, max_depth: int = DEPTH_GUARD) -> DataFrame:
+def containing(parts: DataFrame, occ: DataFrame, rev: DataFrame) -> DataFrame:
     """Upward walk: (part_id, revision_id, depth) of every revision above any
-    revision of a part, at the least depth."""
+    revision of a part, at the least depth. Ends on any graph."""
     edges = occ.select("parent_rev", "child_rev").distinct()
     level = cut(parts.select("part_id").distinct().join(rev.select("part_id", "revision_id"), "part_id"))
     seen = None
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = (level.join(edges, level.revision_id == edges.child_rev)
                 .select("part_id", F.col("parent_rev").alias("revision_id")).distinct())
         if seen is not None:
@@ -151,72 +162,115 @@ def containing(parts: DataFrame, occ: DataFrame, rev: DataFrame, max_depth: int
 
 
 def where_used(parts: DataFrame, occ: DataFrame, rev: DataFrame, part: DataFrame,
-               live: DataFrame | None = None, max_depth: int = DEPTH_GUARD) -> DataFrame:
+               live: DataFrame | None = None) -> DataFrame:
     """Every assembly revision that contains a part, at any depth.
 
     ``live`` (a ``revision_id`` column, e.g. from :func:`reachable`) restricts the
     answer to one configuration; without it every stored revision counts.
     """
-    up = containing(parts, occ, rev, max_depth).withColumnRenamed("part_id", "source_part")
+    up = containing(parts, occ, rev).withColumnRenamed("part_id", "source_part")
     if live is not None:
         up = up.join(live.select("revision_id").distinct(), "revision_id", "left_semi")
     return (up.join(rev.select("revision_id", "part_id", "revision_index"), "revision_id")
             .join(part.select("part_id", "part_number", "team_id"), "part_id"))
 
 
-def cycle_test(proposed: DataFrame, occ: DataFrame, max_depth: int = DEPTH_GUARD) -> DataFrame:
-    """For proposed edges (edge_id, parent_rev, child_rev): would each close a cycle?"""
+def above(nodes: DataFrame, occ: DataFrame) -> DataFrame:
+    """(revision_id): the nodes and everything that contains any of them, as one set."""
+    edges = occ.select("parent_rev", "child_rev").distinct()
+    level = seen = cut(nodes.select("revision_id").distinct())
+    while not level.isEmpty():
+        up = level.join(edges, level.revision_id == edges.child_rev).select(F.col("parent_rev").alias("revision_id")).distinct()
+        level = cut(up.join(seen, "revision_id", "left_anti"))
+        seen = seen.unionByName(level)
+    return seen
+
+
+def cycle_test(proposed: DataFrame, occ: DataFrame) -> DataFrame:
+    """For proposed edges (edge_id, parent_rev, child_rev): would each close a cycle?
+
+    A cycle needs a way from the child down to the parent. All of it lies above some
+    proposed parent, so only edges between such nodes are walked, not all that lies below.
+    """
     asked = proposed.select("edge_id", F.col("parent_rev").alias("goal"), F.col("child_rev").alias("start"))
-    below = reachable(asked.select(F.col("start").alias("root_rev")), occ, max_depth)
-    hit = asked.join(below, (F.col("start") == F.col("root_rev")) & (F.col("goal") == F.col("revision_id")))
+    up = cut(above(asked.select(F.col("goal").alias("revision_id")), occ))
+    between = cut(occ.select("parent_rev", "child_rev").distinct()
+                  .join(up.select(F.col("revision_id").alias("parent_rev")), "parent_rev", "left_semi")
+                  .join(up.select(F.col("revision_id").alias("child_rev")), "child_rev", "left_semi"))
+    starts = asked.select(F.col("start").alias("root_rev")).join(up.select(F.col("revision_id").alias("root_rev")), "root_rev", "left_semi")
+    hit = asked.join(reachable(starts, between), (F.col("start") == F.col("root_rev")) & (F.col("goal") == F.col("revision_id")))
     return proposed.join(hit.select("edge_id").withColumn("closes_cycle", F.lit(True)), "edge_id", "left").select(
         "edge_id", "parent_rev", "child_rev", F.coalesce("closes_cycle", F.lit(False)).alias("closes_cycle"))
 
 
-def cyclic_nodes(occ: DataFrame, max_rounds: int = 4 * DEPTH_GUARD) -> DataFrame:
+def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges that lie on a cycle or between cycles, and their number: an edge whose child has no child or
+    whose parent has no parent is dropped, round by round, until none is."""
+    edges = cut(edges)
+    before, left = None, edges.count()
+    while left and left != before:
+        kept = edges.join(edges.select(F.col("parent_rev").alias("child_rev")).distinct(), "child_rev", "left_semi")
+        kept = kept.join(edges.select(F.col("child_rev").alias("parent_rev")).distinct(), "parent_rev", "left_semi")
+        edges = cut(kept.select("parent_rev", "child_rev"))
+        before, left = left, edges.count()
+    return edges, left
+
+
+def cyclic_nodes(occ: DataFrame) -> DataFrame:
     """Nodes on a cycle of the whole edge set: (revision_id).
 
-    Edges whose child has no child, or whose parent has no parent, cannot lie on
-    a cycle; dropping them round by round empties an acyclic graph. What is left
-    (cycles and the paths between them) is tested for self-reachability.
+    What trimming leaves is coloured: every node takes the least name that reaches it. A
+    node that keeps its own name and those of its colour that lead back to it go round in
+    circles; they are set aside and the rest is trimmed and coloured again. A step holds
+    a row per node or edge, never a row per pair of nodes.
     """
-    edges = cut(occ.select("parent_rev", "child_rev").distinct())
-    while not edges.isEmpty():
-        kept = edges.join(edges.select(F.col("parent_rev").alias("child_rev")).distinct(), "child_rev", "left_semi")
-        kept = kept.join(edges.select(F.col("child_rev").alias("parent_rev")).distinct(), "parent_rev", "left_semi")
-        kept = cut(kept.select("parent_rev", "child_rev"))
-        if kept.count() == edges.count():
-            break
-        edges = kept
-    step = cut(edges.select(F.col("parent_rev").alias("root_rev"), F.col("child_rev").alias("revision_id")))
-    seen = step
-    while not step.isEmpty():
-        nxt = (step.join(edges, step.revision_id == edges.parent_rev)
-               .select("root_rev", F.col("child_rev").alias("revision_id")).distinct())
-        step = cut(nxt.join(seen, ["root_rev", "revision_id"], "left_anti"))
-        seen = seen.unionByName(step)
-    return seen.filter("root_rev = revision_id").select("revision_id").distinct()
-
-
-def heights(rev: DataFrame, occ: DataFrame, max_depth: int = DEPTH_GUARD) -> DataFrame:
+    found = occ.select(F.col("parent_rev").alias("revision_id")).limit(0)
+    edges, left = _trimmed(occ.select("parent_rev", "child_rev").distinct())
+    while left:
+        colour = cut(edges.select(F.col("parent_rev").alias("revision_id")).unionByName(edges.select(F.col("child_rev").alias("revision_id")))
+                     .distinct().withColumn("colour", F.col("revision_id")))
+        changed = colour
+        while not changed.isEmpty():
+            offer = changed.join(edges, changed.revision_id == edges.parent_rev).groupBy(F.col("child_rev").alias("revision_id")).agg(F.min("colour").alias("offer"))
+            after = cut(colour.join(offer, "revision_id", "left").select(
+                "revision_id", F.least("colour", F.coalesce("offer", "colour")).alias("colour"), (F.col("offer") < F.col("colour")).alias("new")))
+            colour, changed = after.select("revision_id", "colour"), after.filter("new").select("revision_id", "colour")
+        inside = cut(edges.join(colour.select(F.col("revision_id").alias("parent_rev"), F.col("colour").alias("c")), "parent_rev")
+                     .join(colour.select(F.col("revision_id").alias("child_rev"), F.col("colour").alias("d")), "child_rev")
+                     .filter("c = d").select("parent_rev", "child_rev", "c"))
+        level = rounds = cut(colour.filter("revision_id = colour").select("revision_id"))
+        while not level.isEmpty():
+            back = level.join(inside, level.revision_id == inside.child_rev).select(F.col("parent_rev").alias("revision_id")).distinct()
+            level = cut(back.join(rounds, "revision_id", "left_anti"))
+            rounds = rounds.unionByName(level)
+        rounds = cut(rounds)
+        # a set of one node is a cycle only with an edge to itself
+        own = inside.join(rounds.select(F.col("revision_id").alias("parent_rev")), "parent_rev", "left_semi").join(
+            rounds.select(F.col("revision_id").alias("child_rev")), "child_rev", "left_semi")
+        found = found.unionByName(cut(own.select(F.col("parent_rev").alias("revision_id")).distinct()))
+        gone = rounds.select(F.col("revision_id").alias("parent_rev"))
+        edges, left = _trimmed(edges.join(gone, "parent_rev", "left_anti").join(gone.withColumnRenamed("parent_rev", "child_rev"), "child_rev", "left_anti"))
+    return found
+
+
+def heights(rev: DataFrame, occ: DataFrame) -> DataFrame:
     """Longest distance to a leaf, per revision: (revision_id, height)."""
     edges = occ.select("parent_rev", "child_rev").distinct()
     level = cut(rev.select("revision_id").join(
         edges.select(F.col("parent_rev").alias("revision_id")), "revision_id", "left_anti"))
     levels = [level.withColumn("height", F.lit(0))]
-    for h in range(1, max_depth + 2):
+    for h in count(1):
         level = cut(level.join(edges, level.revision_id == edges.child_rev)
                     .select(F.col("parent_rev").alias("revision_id")).distinct())
         if level.isEmpty():
             break
-        if h > max_depth:
-            raise DepthExceeded(f"assembly deeper than {max_depth}; look for a cycle")
+        must_end(h, level, occ)
         levels.append(level.withColumn("height", F.lit(h)))
     return union_all(levels).groupBy("revision_id").agg(F.max("height").alias("height"))
 
 
 def is_acyclic(occ: DataFrame) -> bool:
-    return cyclic_nodes(occ).isEmpty()
+    return not _trimmed(occ.select("parent_rev", "child_rev").distinct())[1]
 
 
 def usable_volume() -> Column:

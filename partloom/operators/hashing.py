@@ -112,7 +112,7 @@ def with_hashes(rev: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def hashed_tree(roots: DataFrame, occ: DataFrame, rev: DataFrame, part: DataFrame, shape: DataFrame,
-                hashes: DataFrame, max_depth: int = graph.DEPTH_GUARD) -> DataFrame:
+                hashes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Flat rows of the hashed tree below each root (path, hash, part, quantity along the path, team)."""
     tree = graph.explode_structure(roots, occ, rev, part, shape, max_depth)
     return tree.join(hashes.select("revision_id", "node_hash"), "revision_id").join(

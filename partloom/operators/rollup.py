@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import pose
@@ -15,10 +17,9 @@ def unit_mass(rev: DataFrame, shape: DataFrame) -> DataFrame:
         "revision_id", (graph.usable_volume() * F.col("density")).alias("unit_mass_g"))
 
 
-def bill_of_materials(roots: DataFrame, occ: DataFrame, rev: DataFrame, part: DataFrame, shape: DataFrame,
-                      max_depth: int = graph.DEPTH_GUARD) -> DataFrame:
+def bill_of_materials(roots: DataFrame, occ: DataFrame, rev: DataFrame, part: DataFrame, shape: DataFrame) -> DataFrame:
     """Leaf revisions below each root with total quantity and mass (null without density)."""
-    total = graph.quantities(roots, occ, max_depth)
+    total = graph.quantities(roots, occ)
     leaf = (rev.filter("is_assembly = 0").select("revision_id", "part_id", "revision_index", "fingerprint", "density")
             .join(shape.select("fingerprint", "volume", "volume_exact"), "fingerprint", "left")
             .join(part.select("part_id", "part_number", "team_id"), "part_id")
@@ -62,8 +63,7 @@ def leaf_state(rev: DataFrame, shape: DataFrame, contract: DataFrame) -> DataFra
                     (graph.usable_volume().isNull() | F.col("density").isNull()).alias("massless")))
 
 
-def rollup(occ: DataFrame, rev: DataFrame, shape: DataFrame, contract: DataFrame,
-           max_depth: int = graph.DEPTH_GUARD) -> DataFrame:
+def rollup(occ: DataFrame, rev: DataFrame, shape: DataFrame, contract: DataFrame) -> DataFrame:
     """Mass, power, heat and centre of gravity of every revision's subtree, in its own frame.
 
     Bottom-up and linear: each step carries the totals one edge up, summed per
@@ -73,7 +73,7 @@ def rollup(occ: DataFrame, rev: DataFrame, shape: DataFrame, contract: DataFrame
     edges = occ.select("parent_rev", "child_rev", F.col("quantity").cast("double").alias("q"), *pose.COLUMNS)
     level = cut(leaf_state(rev, shape, contract).select("revision_id", *_STATE))
     levels = [level]
-    for depth in range(1, max_depth + 2):
+    for depth in count(1):
         turned = [sum((F.col(f"m{r}{k}") * F.col(f"s{'xyz'[k]}") for k in range(1, 3)),
                       F.col(f"m{r}0") * F.col("sx")) + F.col("mass") * F.col(f"m{r}3") for r in range(3)]
         moved = level.join(edges, level.revision_id == edges.child_rev).select(
@@ -83,8 +83,7 @@ def rollup(occ: DataFrame, rev: DataFrame, shape: DataFrame, contract: DataFrame
         level = cut(moved.groupBy("revision_id").agg(*[F.sum(c).alias(c) for c in _STATE]))
         if level.isEmpty():
             break
-        if depth > max_depth:
-            raise graph.DepthExceeded(f"assembly deeper than {max_depth}")
+        graph.must_end(depth, level, occ)
         levels.append(level)
     total = union_all(levels).groupBy("revision_id").agg(*[F.sum(c).alias(c) for c in _STATE])
     cg = [F.when(F.col("mass") > 0, F.col(f"s{a}") / F.col("mass")).alias(f"cg_{a}") for a in "xyz"]
@@ -94,7 +93,7 @@ def rollup(occ: DataFrame, rev: DataFrame, shape: DataFrame, contract: DataFrame
         F.col("thermal").alias("thermal_w"), *cg)
 
 
-def rollup_changes(delta: DataFrame, occ: DataFrame, live: DataFrame, max_depth: int = graph.DEPTH_GUARD) -> DataFrame:
+def rollup_changes(delta: DataFrame, occ: DataFrame, live: DataFrame) -> DataFrame:
     """Carry state changes of replaced revisions up the live configuration, per commit.
 
     delta(commit_id, revision_id, mass, sx, sy, sz, power, thermal) -> the change of every
@@ -105,7 +104,7 @@ def rollup_changes(delta: DataFrame, occ: DataFrame, live: DataFrame, max_depth:
         "parent_rev", "child_rev", F.col("quantity").cast("double").alias("q"), *pose.COLUMNS))
     level = cut(delta.select("commit_id", "revision_id", *_STATE))
     levels = [level]
-    for depth in range(1, max_depth + 2):
+    for depth in count(1):
         turned = [sum((F.col(f"m{r}{k}") * F.col(f"s{'xyz'[k]}") for k in range(1, 3)),
                       F.col(f"m{r}0") * F.col("sx")) + F.col("mass") * F.col(f"m{r}3") for r in range(3)]
         moved = level.join(edges, level.revision_id == edges.child_rev).select(
@@ -115,8 +114,7 @@ def rollup_changes(delta: DataFrame, occ: DataFrame, live: DataFrame, max_depth:
         level = cut(moved.groupBy("commit_id", "revision_id").agg(*[F.sum(c).alias(c) for c in _STATE]))
         if level.isEmpty():
             break
-        if depth > max_depth:
-            raise graph.DepthExceeded(f"assembly deeper than {max_depth}")
+        graph.must_end(depth, level, occ)
         levels.append(level)
     return union_all(levels).groupBy("commit_id", "revision_id").agg(*[F.sum(c).alias(c) for c in _STATE])
 

@@ -13,7 +13,6 @@ BAND_PERCENTILES = (0.00135, 0.99865)
 PASS_SLACK = 1e-12
 SAMPLES = 20_000
 # A chain with more members than this is not drawn in one task.
-HOT_CHAIN = 10_000
 
 
 def half_band() -> Column:
@@ -100,27 +99,22 @@ def draw(u: Column, v: Column) -> Column:
             .otherwise(bell))
 
 
-def sampled_totals(member: DataFrame, samples: int = SAMPLES, source: str = "xxhash64", hot: int = HOT_CHAIN) -> DataFrame:
+def sampled_totals(member: DataFrame, samples: int = SAMPLES, source: str = "xxhash64", spread: bool = False) -> DataFrame:
     """(chain_id, sample, total). Draws are a hash of (chain, seq, sample), so a retried
     task repeats them.
 
     Members are placed by chain first and drawn there: the shuffle carries members, not
-    members times samples. Chains of more than ``hot`` members are drawn where their
-    members lie, added up per (chain, sample) on the map side, and spread over samples.
+    members times samples. A caller with chains of very many members passes ``spread``:
+    they are then drawn where they lie and added up per (chain, sample) on the map side.
 
     ``source`` is ``xxhash64`` (fast) or ``md5`` (portable to other engines).
     """
-    need = ["chain_id", "seq", "nominal", "tol_plus", "tol_minus", "direction", "sigma_span", "distribution"]
-    m = member.select(*need)
+    m = member.select("chain_id", "seq", "nominal", "tol_plus", "tol_minus", "direction", "sigma_span", "distribution")
+    if spread:
+        return _draw_and_add(m, samples, source)
     # A fixed number of pieces: the placed rows are few, but each becomes many draws.
     pieces = int(member.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    large = m.groupBy("chain_id").count().filter(F.col("count") > hot).select("chain_id")
-    if large.isEmpty():
-        return _draw_and_add(m.repartition(pieces, "chain_id"), samples, source)
-    large = cut(large)
-    small = m.join(large, "chain_id", "left_anti").repartition(pieces, "chain_id")
-    return _draw_and_add(small, samples, source).unionByName(
-        _draw_and_add(m.join(large, "chain_id", "left_semi"), samples, source))
+    return _draw_and_add(m.repartition(pieces, "chain_id"), samples, source)
 
 
 def _draw_and_add(member: DataFrame, samples: int, source: str) -> DataFrame:

@@ -51,7 +51,7 @@ def rebuild_ancestors(prepared: DataFrame, product: Product) -> tuple[DataFrame,
     edges = cut(product.occ.join(inside, "parent_rev", "left_semi").select("parent_rev", "child_rev").distinct())
     start = cut(prepared.filter("old_rev IS NOT NULL").select("commit_id", F.col("old_rev").alias("revision_id")))
     level = seen = start
-    for _ in range(graph.DEPTH_GUARD):
+    while True:  # a pair is walked from once
         nxt = (level.join(edges, level.revision_id == edges.child_rev).select("commit_id", F.col("parent_rev").alias("revision_id")).distinct())
         level = cut(nxt.join(seen, ["commit_id", "revision_id"], "left_anti"))
         if level.isEmpty():

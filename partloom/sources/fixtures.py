@@ -160,7 +160,7 @@ class Fixtures:
     def numbered_lines(self, out: str) -> DataFrame:
         """Line items numbered within their order, also when one order holds very many."""
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-        return rank_within(self.raw("lineitem"), ["l_orderkey"], order, out)
+        return rank_within(self.raw("lineitem"), ["l_orderkey"], order, out, split=False)
 
     @cached_property
     @_stored

@@ -76,18 +76,39 @@ def test_assignment_and_registration():
     for n in (1, 2, 4, 6):
         cost = rng.random((n, n))
         best = min(sum(cost[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
-        assert abs(cost[np.arange(n), registration.assign(cost)].sum() - best) < 1e-12
+        assert abs(cost[np.arange(n), registration.assign(cost)].sum() - best) < 1e-6
     p = rng.random((5, 3)) * 40
     q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
     q *= np.sign(np.linalg.det(q))
     moved = (p @ q.T + 3)[rng.permutation(5)]
     assert registration.register(p, moved)[0] < 1e-9 and not registration.register(p, moved)[1]
     rmsd, mirrored = registration.register(p, p * [1, 1, -1])
-    assert rmsd > 1e-3 or mirrored
-    # A full circle of holes has too many orderings to list; anchors find the fit.
-    a = np.array([[30 * math.cos(t), 30 * math.sin(t), 0] for t in np.arange(12) * math.pi / 6])
-    assert registration._orderings(a, a[::-1] + 5) is None
-    assert registration.register(a, (a @ q.T)[rng.permutation(12)])[0] < 1e-9
+    assert rmsd > 1e-3 and mirrored
+    for n in (6, 12, 48, 96):
+        a = np.array([[30 * math.cos(t), 30 * math.sin(t), 0] for t in np.arange(n) * 2 * math.pi / n])
+        assert registration.register(a, (a @ q.T)[rng.permutation(n)])[0] < 1e-9
+        assert abs(registration.register(a, a * 1.01)[0] - 0.3) < 1e-9
+
+
+def test_registration_equals_all_orderings():
+    rng = np.random.default_rng(1)
+    for k in range(120):
+        n = int(rng.integers(2, 7))
+        p = rng.normal(size=(n, 3)) * 20 * ([1, 1, 0] if k % 3 == 0 else [1, 1, 1])
+        q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        moved = (p @ q.T + rng.normal(size=3))[rng.permutation(n)] + rng.normal(size=(n, 3)) * [0, 0.01, 0.3][k % 3]
+        orders = np.array(list(itertools.permutations(range(n))))
+        rmsd, mirrored = registration.residuals(p - p.mean(0), (moved - moved.mean(0))[orders])
+        got = registration.register(p, moved)
+        assert abs(got[0] - rmsd.min()) < 1e-7
+        assert got[1] == mirrored[rmsd < rmsd.min() + 1e-9].all()
+
+
+def test_rows_of_patterns_are_compared_together():
+    a, b = [0.0, 0, 0, 10, 0, 0, 0, 20, 0], [5.0, 5, 5]
+    rmsd, mirrored, miss = registration.compare([a, a, None, b, []], [a, [x + 1.0 for x in a], None, b, []], [a, a, a, b, []])
+    assert rmsd[:2].max() < 1e-9 and np.isnan(rmsd[[2, 4]]).all() and rmsd[3] == 0
+    assert miss[0] == 0 and abs(miss[1] - math.sqrt(3)) < 1e-12 and not mirrored.any()
 
 
 def test_first_come_groups_equal_the_sequential_rule(spark):

@@ -43,7 +43,7 @@ def test_sampled_totals_do_not_depend_on_partitions(spark):
     a = tolerance.monte_carlo(chain, member, 500).first()
     b = tolerance.monte_carlo(chain, member.repartition(3, "seq"), 500).first()
     assert abs(a.mc_low - b.mc_low) < 1e-12 and a.mc_failure_rate == b.mc_failure_rate
-    hot = tolerance.sampled_totals(member, 500, hot=2).groupBy().agg(F.sum("total")).first()[0]
+    hot = tolerance.sampled_totals(member, 500, spread=True).groupBy().agg(F.sum("total")).first()[0]
     assert abs(hot - tolerance.sampled_totals(member, 500).groupBy().agg(F.sum("total")).first()[0]) < 1e-6
 
 

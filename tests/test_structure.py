@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from partloom.functions.ranking import rank_within
@@ -40,17 +41,34 @@ def test_rollup_equals_bom_and_counts_power_once(spark):
     assert pairs(rollup.without_density(root, occ, rev, part, shape, contract), "part_number") == [("FOAM",)]
 
 
-def test_explosion_stops_at_the_guard_and_configuration_raises(spark):
-    occ, part = chain_of_three(spark), small.part(spark, "abc")
-    rev = small.rev(spark, [("a1", "a", None, None), ("b1", "b", None, None), ("c1", "c", "f", 1.0)])
-    shape = spark.createDataFrame([("f", 1.0, None, 0.0, 0.0, 0.0)], small.SHAPE)
-    root = spark.createDataFrame([("a1",)], "root_rev string")
-    assert graph.explode_structure(root, occ, rev, part, shape, 1).count() == 2
-    try:
-        graph.configuration(root, occ, rev, part, 1)
-        raise AssertionError("expected the guard to raise")
-    except graph.DepthExceeded:
-        pass
+def chain(spark, n, extra=()):
+    """A chain of n edges r00 > r01 > ..., two pieces at every 30th, and further edges."""
+    names = [f"r{k:02d}" for k in range(n + 1)]
+    return small.occ(spark, [(a, b, dict(qty=2 if k % 30 == 0 else 1)) for k, (a, b) in enumerate(zip(names, names[1:]))] + list(extra))
+
+
+def test_walks_have_no_depth_limit(spark):
+    root = spark.createDataFrame([("r00",)], "root_rev string")
+    assert {r.revision_id: r.quantity for r in graph.quantities(root, chain(spark, 66)).collect()}["r66"] == 8
+
+
+def test_walks_into_a_cycle_raise(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LOOK_AT", 4)
+    occ = chain(spark, 3, [("r03", "r01", {})])
+    root = spark.createDataFrame([("r00",)], "root_rev string")
+    with pytest.raises(graph.CycleFound):
+        graph.quantities(root, occ)
+    assert graph.reachable(root, occ).count() == 4
+    ask = spark.createDataFrame([("1", "r03", "r00"), ("2", "r00", "r03"), ("3", "r03", "zz")], "edge_id string, parent_rev string, child_rev string")
+    assert pairs(graph.cycle_test(ask, chain(spark, 3)), "edge_id", "closes_cycle") == [("1", True), ("2", False), ("3", False)]
+
+
+def test_cyclic_nodes_are_those_on_a_cycle(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "e"), ("x", "a"), ("f", "z"), ("s", "s"), ("d", "s"), ("m", "n")]
+    ring = [(f"k{k}", f"k{(k + 1) % 6}") for k in range(6)]
+    got = graph.cyclic_nodes(small.occ(spark, edges + ring))
+    assert {r.revision_id for r in got.collect()} == set("abcefs") | {a for a, _ in ring}
+    assert not graph.is_acyclic(small.occ(spark, edges)) and graph.is_acyclic(small.occ(spark, [("a", "b"), ("a", "c"), ("b", "c")]))
 
 
 def build(spark, leaf="thin", moved=0.0, shuffle=False):
@@ -133,18 +151,6 @@ def test_diff_equals_a_recursive_walk(spark):
         assert sorted(pairs(got, "pair_id", "path", "kind")) == sorted(("p", *d) for d in reference_diff(tree, "top_1", "top_2", "TOP"))
 
 
-def test_pairing_is_the_same_when_groups_are_split(spark):
-    rev, occ, part = random_product(spark, 3)
-    contract = spark.createDataFrame([], small.CONTRACT)
-    h = hashing.node_hashes(rev, occ, contract)
-    side = lambda v: occ.filter(F.col("parent_rev") == f"sub0_{v}").join(h.select(F.col("revision_id").alias("child_rev"), "node_hash"), "child_rev").join(
-        rev.select(F.col("revision_id").alias("child_rev"), "part_id"), "child_rev").withColumn("label", F.col("occurrence_id")).withColumn("grp", F.lit(1))
-    plain, hot = (diff.pair_children(side("1"), side("2"), "grp", split) for split in (False, True))
-    for a, b in zip(plain, hot):
-        cols = ["l_label", "r_label"] if "l_label" in a.columns else ["label"]
-        assert pairs(a, *cols) == pairs(b, *cols)
-
-
 def test_ranking_a_hot_group_in_pieces(spark):
     df = spark.range(5000).selectExpr("id % 3 = 0 AS k", "hash(id) AS v", "id")
     whole = rank_within(df, ["k"], ["v", "id"], split=False)
