@@ -102,7 +102,7 @@ def logistic(doc: np.ndarray, col: np.ndarray, value: np.ndarray, label: np.ndar
     return w[:-1], float(w[-1])
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = 20_000, width: int = 4096, sure: float = 4.0, mod: int = 3, held_out: int = 1) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = 20_000, width: int = 1024, sure: float = 4.0, mod: int = 3, held_out: int = 1) -> Model:
     """Learn from at most ``sample`` labelled documents outside the held-out fold.
 
     Features are kept that the classes hold unequally by a likelihood-ratio test of at least
