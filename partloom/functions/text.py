@@ -28,12 +28,12 @@ def safe_file_name(part_number: Column) -> Column:
 def clash_text(kind: Column, path_a: Column, path_b: Column, part_a: Column, part_b: Column,
                team_a: Column, team_b: Column, volume: Column, depth: Column) -> Column:
     return (F.when(kind == "clash", F.format_string(
-                "%s and %s overlap by %.1f mm^3 (%s, team %s / %s, team %s)",
+                "%s and %s share %.1f mm^3 (%s, team %s / %s, team %s)",
                 path_a, path_b, volume, part_a, team_a, part_b, team_b))
             .when(depth < 0, F.format_string(
-                "%s and %s are within the clearance limit (%.2f mm apart)", path_a, path_b, -depth))
+                "%s and %s lie closer than allowed (%.2f mm apart)", path_a, path_b, -depth))
             .otherwise(F.format_string(
-                "%s and %s: bounding boxes overlap by %.2f mm; the solids were not tested exactly",
+                "%s and %s: their boxes reach %.2f mm into each other, the bodies are untested",
                 path_a, path_b, depth)))
 
 
@@ -48,7 +48,7 @@ def step_text(stage: Column, constraint: Column, detail: Column, other_part: Col
 
 def ingest_text(file: Column, c: dict[str, Column]) -> Column:
     return F.format_string(
-        "%s: %d solids read (%d new shapes, %d exact hits, %d bounded hits); %d parts created, "
-        "%d already known; %d revisions created, %d reused; %d occurrences",
+        "%s: solids %d, of them new shapes %d, exact hits %d, near hits %d; parts made %d, "
+        "known %d; revisions made %d, reused %d; occurrences %d",
         file, c["solids"], c["shapes_new"], c["exact_hits"], c["bounded_hits"], c["parts_created"],
         c["parts_known"], c["revisions_created"], c["revisions_reused"], c["occurrences"])

@@ -17,7 +17,6 @@ from . import features
 SELECT_ANGLE = math.radians(2.0)
 SEAT_ANGLE = math.radians(1.0)
 SEAT_SHARE = 0.05
-DRAFT_PATTERNS = 6
 DRAFT_RADIUS_TOL = 0.05
 
 
@@ -81,8 +80,8 @@ def derive_sockets(socket: DataFrame, occ: DataFrame, rev: DataFrame, part: Data
                         g.pairwise_spacings(F.col("points")).alias("spacings"), *[mean(a).alias(f"o{a}") for a in "xyz"],
                         *[normal[k].alias(f"n{'xyz'[k]}") for k in range(3)], F.lit("derived").alias("derivation"))
     number = rev.select(F.col("revision_id").alias("sibling_rev"), "part_id").join(part.select("part_id", "part_number"), "part_id").drop("part_id")
-    why = F.when(F.col("sibling_rev").isNull(), F.format_string("socket '%s': no instance '%s' under this assembly", "name", "from_instance")).otherwise(
-        F.format_string("socket '%s': %s publishes no interface '%s'", "name", F.coalesce("part_number", F.lit("?")), F.coalesce("from_interface", F.lit("?"))))
+    why = F.when(F.col("sibling_rev").isNull(), F.format_string("socket '%s': nothing named '%s' in its parent", "name", "from_instance")).otherwise(
+        F.format_string("socket '%s': %s offers no interface called '%s'", "name", F.coalesce("part_number", F.lit("?")), F.coalesce("from_interface", F.lit("?"))))
     problems = j.filter("_points IS NULL").join(number, "sibling_rev", "left").select("socket_id", "revision_id", why.alias("problem"))
     return derived, problems
 
@@ -135,13 +134,13 @@ def locate_patterns(decl: DataFrame, bore: DataFrame, plane: DataFrame) -> tuple
     located = head.join(centre, "decl_id").select("decl_id", "fingerprint", F.col("n").alias("hole_count"), "hole_radius",
                                                   *[f"o{a}" for a in "xyz"], *[F.col(f"s{a}").alias(f"n{a}") for a in "xyz"])
     none = d.join(head.select("decl_id"), "decl_id", "left_anti").select("decl_id", F.when(
-        F.col("radius").isNotNull(), F.format_string("no holes matching radius %s+-%s mm were found in the geometry", F.col("radius").cast("string"), F.col("radius_tol").cast("string")))
-        .otherwise("no holes matching any radius were found in the geometry").alias("problem"))
+        F.col("radius").isNotNull(), F.format_string("the body has no hole of radius %s (tolerance %s)", F.col("radius").cast("string"), F.col("radius_tol").cast("string")))
+        .otherwise("the body has no hole").alias("problem"))
     issue = F.filter(F.array(
         F.when(F.col("count").isNotNull() & (F.col("n") != F.col("count")), F.format_string(
-            "declared %d holes but the geometry has %d matching holes on the best axis", "count", "n")),
-        F.when(F.col("tilted"), "declared seat direction is not parallel to the hole axes"),
-        F.when(F.col("at").isNull(), "no plane parallel to the pattern found; using hole axes at mid-height")), lambda x: x.isNotNull())
+            "%d holes are declared, %d lie along the body's best axis", "count", "n")),
+        F.when(F.col("tilted"), "the seat's direction differs from that of the holes"),
+        F.when(F.col("at").isNull(), "no plane lies across the holes, so their middles are taken")), lambda x: x.isNotNull())
     problems = none.unionByName(head.select("decl_id", F.explode(issue).alias("problem")))
     return located, points, problems
 
@@ -169,21 +168,21 @@ def derive_contracts(decl: DataFrame, bore: DataFrame, plane: DataFrame, envelop
         e = envelope.join(bounds, "fingerprint")
         over = F.filter(F.array(*[F.when(
             F.col(f"bbox_d{a}") > F.col(f"allow_d{a}") + 1e-6 * F.greatest(F.col(f"allow_d{a}"), F.lit(1.0)),
-            F.format_string(f"envelope: actual {a}-extent %.3f mm exceeds declared %.3f mm", f"bbox_d{a}", f"allow_d{a}")) for a in "xyz"]),
+            F.format_string(f"envelope: measured {a}-size %.3f mm, allowed are %.3f mm", f"bbox_d{a}", f"allow_d{a}")) for a in "xyz"]),
             lambda x: x.isNotNull())
         named = named.unionByName(e.select(F.col("owner_id").cast("string").alias("owner_id"), F.explode(over).alias("problem")))
     return full.join(pack_points(points), "decl_id"), named
 
 
-def draft_contracts(shape: DataFrame, pattern: DataFrame) -> tuple[DataFrame, DataFrame]:
+def draft_contracts(shape: DataFrame, pattern: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Contracts for shapes that came with none: (contracts, interface declarations).
 
-    Envelope from the bounds, up to six patterns as interfaces with a guessed fastener;
+    Envelope from the bounds, patterns (the ``most`` largest where the caller asks) as interfaces with a guessed fastener;
     labelled auto-drafted and unreviewed.
     """
     contracts = shape.select("fingerprint", *[F.bround(F.col(f"bbox_d{a}"), 3).alias(f"envelope_d{a}") for a in "xyz"],
                              F.lit("auto_drafted").alias("provenance"), F.lit(0).alias("reviewed"))
-    p = features.ranked_patterns(pattern, DRAFT_PATTERNS)
+    p = features.ranked_patterns(pattern, most)
     null = F.lit(None).cast("double")
     decl = p.select(F.concat_ws("/", "fingerprint", "rank").alias("decl_id"), "fingerprint", F.concat(F.lit("pattern_"), "rank").alias("name"),
                     fits.guess_fastener(F.col("radius")).alias("fastener"), F.lit("clearance").alias("fit_class"), "radius",

@@ -132,8 +132,8 @@ def mounting_planes(face: DataFrame, min_area: float = 0.0) -> DataFrame:
         "fingerprint", "face_id", "area", *[n[i].alias(f"n{'xyz'[i]}") for i in range(3)], *[F.col(f"o{a}") for a in "xyz"])
 
 
-def largest_planes(plane: DataFrame, k: int = 64) -> DataFrame:
-    """The stored feature rows of a shape: its ``k`` largest planes."""
+def largest_planes(plane: DataFrame, k: int) -> DataFrame:
+    """The ``k`` largest planes of each shape."""
     w = Window.partitionBy("fingerprint").orderBy(F.desc("area"), "face_id")
     return plane.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 

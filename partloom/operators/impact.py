@@ -56,21 +56,21 @@ def impact_reasons(asked: DataFrame, part: DataFrame, rev: DataFrame, occ: DataF
 
     r1 = (subscribers(ask, subscription).withColumnRenamed("part_id", "source_part").join(src, "source_part").select(
         "source_part", "interface_name", "team_id", F.lit(1).alias("route"),
-        F.format_string("subscribes to %s (%s)", "source_number", F.coalesce("subscribed", F.lit("whole contract"))).alias("reason"),
+        F.format_string("follows %s (%s)", "source_number", F.coalesce("subscribed", F.lit("whole contract"))).alias("reason"),
         F.lit(None).cast("string").alias("part_number"), "source_team"))
     used = graph.where_used(ask, occ, rev, part, live)
     r2 = used.select("source_part", "team_id", "part_number").distinct().join(src, "source_part").select(
         "source_part", "team_id", F.lit(2).alias("route"),
-        F.format_string("owns %s, which contains %s", "part_number", "source_number").alias("reason"), "part_number", "source_team")
+        F.format_string("is responsible for %s, which holds %s", "part_number", "source_number").alias("reason"), "part_number", "source_team")
     shared = chain_partners(ask, member).join(chain.select("chain_id", "name"), "chain_id")
     r3 = shared.withColumnRenamed("part_id", "other_part").join(other, "other_part").join(src, "source_part").select(
         "source_part", F.col("other_team").alias("team_id"), F.lit(3).alias("route"),
-        F.format_string("shares tolerance chain '%s' via %s", "name", "other_number").alias("reason"),
+        F.format_string("meets it in chain '%s' via %s", "name", "other_number").alias("reason"),
         F.col("other_number").alias("part_number"), "source_team")
     r4 = filled_sockets(ask, socket, rev, part).withColumnRenamed("part_id", "other_part").join(other, "other_part").join(
         src, "source_part").select(
         "source_part", F.col("other_team").alias("team_id"), F.lit(4).alias("route"),
-        F.format_string("owns socket '%s' on %s", "socket_name", "other_number").alias("reason"),
+        F.format_string("holds it by socket '%s' of %s", "socket_name", "other_number").alias("reason"),
         F.col("other_number").alias("part_number"), "source_team")
     rest = r2.unionByName(r3).unionByName(r4).join(both, "source_part")
     return (r1.unionByName(rest).filter("team_id IS NOT NULL AND team_id <> source_team")
@@ -109,12 +109,12 @@ def dependency_closure(changed: DataFrame, member: DataFrame, chain: DataFrame,
     pairs = member.select("chain_id", "part_id").distinct()
     hit = pairs.join(mine, "part_id").select("commit_id", "chain_id").distinct()
     chains = hit.join(pairs, "chain_id").join(chain.select("chain_id", "name"), "chain_id").groupBy("commit_id", "part_id").agg(
-        F.min(F.struct(F.lit(1).alias("o"), F.format_string("shares tolerance chain '%s'", "name").alias("why"))).alias("r"))
+        F.min(F.struct(F.lit(1).alias("o"), F.format_string("meets it in chain '%s'", "name").alias("why"))).alias("r"))
     budgets = budget_children(mine, socket, occ, rev).join(by_source, "source_part").groupBy("commit_id", "part_id").agg(
         F.min(F.struct(F.lit(2).alias("o"),
-                       F.format_string("competes for the allocation on socket '%s'", "socket_name").alias("why"))).alias("r"))
+                       F.format_string("draws on the budget of socket '%s'", "socket_name").alias("why"))).alias("r"))
     subs = mine.join(subscription.select("part_id", "team_id"), "part_id").groupBy("commit_id", "part_id").agg(
-        F.min(F.struct(F.lit(3).alias("o"), F.format_string("team %s subscribes to it", "team_id").alias("why"))).alias("r"))
+        F.min(F.struct(F.lit(3).alias("o"), F.format_string("team %s follows it", "team_id").alias("why"))).alias("r"))
     own = mine.withColumn("own", F.lit(True))
     wide = chains.unionByName(budgets).groupBy("commit_id", "part_id").agg(F.min("r").alias("r"))
     added = wide.join(mine, ["commit_id", "part_id"], "left_anti").select("commit_id", "part_id", F.lit(False).alias("own"), "r.why")

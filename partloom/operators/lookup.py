@@ -163,22 +163,23 @@ def acknowledged(notification: DataFrame, events: DataFrame) -> DataFrame:
 def gaps() -> Column:
     """What a revision (its contract left-joined) has not declared, as an array of texts."""
     rules = [
-        F.when(F.col("contract_id").isNull(), "no contract declared")
-        .when((F.col("provenance") == "auto_drafted") & (F.col("reviewed") == 0), "contract auto-drafted and not reviewed"),
+        F.when(F.col("contract_id").isNull(), "lacks a contract")
+        .when((F.col("provenance") == "auto_drafted") & (F.col("reviewed") == 0), "its drafted contract awaits review"),
         F.when((F.col("is_assembly") == 0) & F.col("fingerprint").isNotNull() & F.col("density").isNull(),
-               "no material density, so it weighs nothing in the rollup"),
-        F.when(F.col("status") == "draft", "still a draft, not released"),
+               "has no density and counts as weightless"),
+        F.when(F.col("status") == "draft", "is a draft"),
     ]
     return F.filter(F.array(*rules), lambda x: x.isNotNull())
 
 
-def commit_history(commit: DataFrame, limit: int = 20, rev: DataFrame | None = None, part: DataFrame | None = None,
+def commit_history(commit: DataFrame, limit: int | None = None, rev: DataFrame | None = None, part: DataFrame | None = None,
                    part_number: str | None = None) -> DataFrame:
     """The newest commits, of all parts or of one; equal times are ordered by commit id."""
     if part_number is not None:
         of_part = part.filter(F.col("part_number") == part_number).join(rev, "part_id").select("commit_id").distinct()
         commit = commit.join(of_part, "commit_id", "left_semi")
-    return commit.orderBy(F.desc("created_at"), F.desc("commit_id")).limit(limit)
+    newest = commit.orderBy(F.desc("created_at"), F.desc("commit_id"))
+    return newest if limit is None else newest.limit(limit)
 
 
 def latest_author(rev: DataFrame) -> DataFrame:
@@ -186,11 +187,12 @@ def latest_author(rev: DataFrame) -> DataFrame:
 
 
 def classify_changes(rev: DataFrame, contract: DataFrame) -> DataFrame:
-    """Every revision against the one before it.
+    """Every revision against the newest earlier one of its part.
 
-    Indexes count up by one, so the previous revision is found by an equi-join on
+    Indexes mostly count up by one, so the earlier revision is found by an equi-join on
     (part, index - 1); that key spreads a part with very many revisions, where a
-    window over the part would sort them in one task.
+    window over the part would sort them in one task. Only revisions behind a gap are
+    compared with all earlier indexes of their part.
     """
     full = rev.select("revision_id", "part_id", "revision_index", "fingerprint").join(
         contract.select("revision_id", "contract_hash"), "revision_id", "left")
@@ -198,6 +200,12 @@ def classify_changes(rev: DataFrame, contract: DataFrame) -> DataFrame:
                       F.col("contract_hash").alias("old_hash"), F.col("fingerprint").alias("old_fp"),
                       F.lit(True).alias("had"))
     both = full.join(old, ["part_id", "revision_index"], "left")
+    first = full.groupBy("part_id").agg(F.min("revision_index").alias("_first"))
+    gap = both.filter("had IS NULL").join(first, "part_id").filter("revision_index > _first").select("part_id", "revision_index")
+    before = gap.join(old.select("part_id", (F.col("revision_index") - 1).alias("_index")), "part_id").filter("_index < revision_index").groupBy(
+        "part_id", "revision_index").agg(F.max("_index").alias("_index"))
+    moved = before.join(old.withColumn("_index", F.col("revision_index") - 1).drop("revision_index"), ["part_id", "_index"]).drop("_index")
+    both = full.join(old.unionByName(moved.select(*old.columns)), ["part_id", "revision_index"], "left")
     return both.select("revision_id", "part_id", "revision_index", *classification())
 
 

@@ -22,16 +22,19 @@ _WIDE = 16
 
 def _own(df: DataFrame, size_tol: float, shape_tol: float, parts: list[str], prefix: str, exact: list[str]) -> Column:
     width = math.log1p(_WIDE * size_tol)
-    return F.xxhash64(*[F.col(prefix + e) for e in exact], F.floor(F.ln(F.col(f"{prefix}char_length")) / width),
+    return F.xxhash64(*[F.col(prefix + e) for e in exact], F.lit(0).cast("long") if size_tol >= 1 else F.floor(F.ln(F.col(f"{prefix}char_length")) / width),
                       *[F.floor(F.col(prefix + c) / (_WIDE * shape_tol)) for c in parts])
 
 
 def _touched(df: DataFrame, size_tol: float, shape_tol: float, parts: list[str], prefix: str, exact: list[str]) -> DataFrame:
     """One row per bucket that can hold a partner within the tolerances."""
     width = math.log1p(_WIDE * size_tol)
-    reach = math.log1p(2 * size_tol) if size_tol < 0.25 else 60.0
-    l = F.ln(F.col(f"{prefix}char_length"))
-    out = df.withColumn("_s", F.explode(F.sequence(F.floor((l - reach) / width), F.floor((l + reach) / width))))
+    if size_tol >= 1:  # any two sizes agree
+        out = df.withColumn("_s", F.lit(0).cast("long"))
+    else:
+        reach = -math.log1p(-size_tol) + 1e-9
+        l = F.ln(F.col(f"{prefix}char_length"))
+        out = df.withColumn("_s", F.explode(F.sequence(F.floor((l - reach) / width), F.floor((l + reach) / width))))
     names = ["_s"]
     for i, c in enumerate(parts):
         x, w = F.col(prefix + c), _WIDE * shape_tol
@@ -58,9 +61,9 @@ def opposite_hands(a: str = "a_", b: str = "b_") -> Column:
 def compare_reason(size: Column, shape: Column, conflict: Column, size_tol: float = SIZE_TOLERANCE,
                    shape_tol: float = SHAPE_TOLERANCE) -> Column:
     return (F.when((size <= size_tol) & (shape <= shape_tol) & ~conflict, "within tolerance")
-            .when(conflict, "opposite handedness: these are a mirrored pair, not the same part")
-            .when(size > size_tol, F.format_string("size differs by %.2e (limit %.0e)", size, F.lit(size_tol)))
-            .otherwise(F.format_string("shape differs by %.2e (limit %.0e)", shape, F.lit(shape_tol))))
+            .when(conflict, "mirror images of each other")
+            .when(size > size_tol, F.format_string("sizes are apart by %.2e (limit %.0e)", size, F.lit(size_tol)))
+            .otherwise(F.format_string("shapes are apart by %.2e (limit %.0e)", shape, F.lit(shape_tol))))
 
 
 def near_pairs(probe: DataFrame, shape: DataFrame, size_tol: float, shape_tol: float, exact: list[str] = (),
@@ -173,17 +176,18 @@ def compatible_interfaces(asked: DataFrame, interface: DataFrame, rev: DataFrame
         & (F.col("fastener").isNull() | (F.upper("fastener") == F.upper("their_fastener"))) & fits_spacing & fits_box)
 
 
-def rank_candidates(candidate: DataFrame, like: DataFrame, shape: DataFrame, limit: int = 20,
+def rank_candidates(candidate: DataFrame, like: DataFrame, shape: DataFrame, limit: int | None = None,
                     components: list[str] = COMPONENTS) -> DataFrame:
     """Candidates of each query by shape distance to like(query_id, like_fingerprint), then part
-    number; the first ``limit``. Queries without a like shape rank at distance zero."""
+    number; the first ``limit`` where the caller asks for so many. Queries without a like shape rank at distance zero."""
     cols = ["char_length", *components]
     a = like.join(shape.select(F.col("fingerprint").alias("like_fingerprint"), *[F.col(c).alias(f"a_{c}") for c in cols]), "like_fingerprint").drop("like_fingerprint")
     b = shape.select("fingerprint", *[F.col(c).alias(f"b_{c}") for c in cols])
     d = candidate.join(a, "query_id", "left").join(b, "fingerprint", "left").withColumn(
         "shape_distance", F.coalesce(proximity(components=components), F.lit(0.0)))
     rn = F.row_number().over(Window.partitionBy("query_id").orderBy("shape_distance", "part_number", "revision_id", "interface"))
-    return d.withColumn("rank", rn).filter(F.col("rank") <= limit).select(
+    ranked = d.withColumn("rank", rn)
+    return (ranked if limit is None else ranked.filter(F.col("rank") <= limit)).select(
         "query_id", "rank", "part_number", "team_id", "interface", "revision_id", "shape_distance")
 
 
@@ -193,12 +197,23 @@ def best_partner(solid: DataFrame, components: list[str] = COMPONENTS) -> DataFr
 
     Exact without all pairs: the search radius grows, and a solid is settled once its
     best partner lies within the radius, as any better one would have been met too.
+    Solids without a positive size or with an unknown component, and those for which no
+    such solid of the other variant exists, come first, with no partner.
     """
     keep = ["case_id", "variant", "solid_id", "strict", "char_length", "chirality", *components]
     s = cut(solid.select(*keep))
     variants = s.select("case_id", "variant").distinct()
-    want = cut(s.join(variants.select("case_id", F.col("variant").alias("other")), "case_id").filter("variant < other"))
-    radius, settled = SIZE_TOLERANCE, []
+    asked = s.join(variants.select("case_id", F.col("variant").alias("other")), "case_id").filter("variant < other")
+    known = F.coalesce(F.col("char_length") > 0, F.lit(False)) & (F.col("char_length") < float("inf"))
+    for c in components:
+        known = known & F.coalesce(F.abs(c) < float("inf"), F.lit(False))
+    s = cut(s.withColumn("_known", known))
+    there = s.filter("_known").select("case_id", F.col("variant").alias("other")).distinct().withColumn("_there", F.lit(True))
+    asked = cut(asked.withColumn("_known", known).join(there, ["case_id", "other"], "left").withColumn("_ok", F.col("_known") & F.col("_there").isNotNull()))
+    null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    settled = [asked.filter("NOT _ok").select("case_id", "variant", "solid_id", "other", null("partner", s.schema["solid_id"].dataType), null("size_error", "double"),
+                                              null("shape_error", "double"), null("same_strict", "boolean"))]
+    want, s, radius = asked.filter("_ok").drop("_known", "_there", "_ok"), s.filter("_known").drop("_known"), SIZE_TOLERANCE
     while not want.isEmpty():
         shape_b = s.withColumnRenamed("variant", "other")
         pairs = near_pairs(want, shape_b, min(radius, 1.0), radius, ["case_id", "other"], components)
@@ -206,13 +221,13 @@ def best_partner(solid: DataFrame, components: list[str] = COMPONENTS) -> DataFr
         best = pairs.groupBy(*[F.col(f"a_{k}").alias(k) for k in ("case_id", "variant", "solid_id", "other")], F.col("a_strict").alias("strict")).agg(
             F.min(F.struct(score.alias("score"), F.col("b_solid_id").alias("partner"), "size_error", "shape_error",
                            F.col("b_strict").alias("their_strict"))).alias("m"))
-        done = cut(best.filter((F.col("m.score") <= radius) | F.lit(radius > 1e6)).select(
+        done = cut(best.filter(F.col("m.score") <= radius).select(
             "case_id", "variant", "solid_id", "other", F.col("m.partner").alias("partner"), F.col("m.size_error").alias("size_error"),
             F.col("m.shape_error").alias("shape_error"), (F.col("strict") == F.col("m.their_strict")).alias("same_strict")))
         settled.append(done)
         want = cut(want.join(done, ["case_id", "variant", "solid_id", "other"], "left_anti"))
         radius *= 8
-    return union_all(settled) if settled else None
+    return union_all(settled)
 
 
 def error_summary(pairs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def bill_of_materials(roots: DataFrame, occ: DataFrame, rev: DataFrame, part: Da
         (F.col("quantity") * F.col("unit_mass_g")).alias("total_mass_g"))
 
 
-def bom_totals(bom: DataFrame, most: int = 4) -> tuple[DataFrame, DataFrame]:
+def bom_totals(bom: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Total mass and number of parts per root, and the most numerous parts of each root."""
     total = bom.groupBy("root_rev").agg(F.count(F.lit(1)).alias("parts"), F.sum("total_qty").alias("pieces"),
                                         F.coalesce(F.sum("total_mass_g"), F.lit(0.0)).alias("mass_g"))

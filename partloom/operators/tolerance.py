@@ -69,12 +69,12 @@ def totals(chain: DataFrame, member: DataFrame) -> DataFrame:
     t = chain.join(agg, "chain_id", "left").withColumn("sigma_total", F.sqrt(F.coalesce("_var", F.lit(0.0))))
     n, s, b = F.coalesce("nominal", F.lit(0.0)), F.col("sigma_total"), F.coalesce("bias", F.lit(0.0))
     band = F.coalesce("span", F.lit(0.0)) * s
-    mixed_units = (F.when(F.size("_units") > 1, F.concat(F.lit("chain mixes units "), F.array_join(F.array_sort("_units"), ", ")))
+    mixed_units = (F.when(F.size("_units") > 1, F.concat(F.lit("units differ: "), F.array_join(F.array_sort("_units"), ", ")))
                    if units else F.lit(None).cast("string"))
     warnings = F.filter(F.array(
-        F.when(F.col("members").isNull(), "chain has no members; nothing to total"), mixed_units,
+        F.when(F.col("members").isNull(), "is empty, all totals are zero"), mixed_units,
         F.when(F.col("_least") != F.col("span"), F.concat(
-            F.lit("contributors declare different sigma conventions: "), F.array_join("_conv", ", ")))),
+            F.lit("spans differ between members: "), F.array_join("_conv", ", ")))),
         lambda x: x.isNotNull())
     return t.select(
         "chain_id", "name", "method", "target_low", "target_high", F.coalesce("members", F.lit(0)).alias("members"),
@@ -167,11 +167,11 @@ def explanation() -> Column:
     bounded = F.col("target_low").isNotNull() | F.col("target_high").isNotNull()
     short, over = F.col("target_low") - F.col("band_low"), F.col("band_high") - F.col("target_high")
     return F.concat(
-        text("chain '%s' (%s): nominal %.3f, accumulated %.3f to %.3f mm", "name", "method", "nominal", "band_low", "band_high"),
-        F.when(bounded, F.concat(F.lit("; requirement "), F.when(F.col("target_low").isNull(), "-inf").otherwise(lo),
+        text("chain '%s' (%s): nominal %.3f, band from %.3f to %.3f mm", "name", "method", "nominal", "band_low", "band_high"),
+        F.when(bounded, F.concat(F.lit("; wanted "), F.when(F.col("target_low").isNull(), "-inf").otherwise(lo),
                                  F.lit(" to "), F.when(F.col("target_high").isNull(), "+inf").otherwise(hi))).otherwise(""),
-        F.when(~F.col("passes") & F.coalesce(short > 0, F.lit(False)), text(" -- short by %.3f mm at the low end", short)).otherwise(""),
-        F.when(~F.col("passes") & F.coalesce(over > 0, F.lit(False)), text(" -- over by %.3f mm at the high end", over)).otherwise(""))
+        F.when(~F.col("passes") & F.coalesce(short > 0, F.lit(False)), text(" (%.3f mm too low)", short)).otherwise(""),
+        F.when(~F.col("passes") & F.coalesce(over > 0, F.lit(False)), text(" (%.3f mm too high)", over)).otherwise(""))
 
 
 def evaluate(chain: DataFrame, member: DataFrame, part: DataFrame | None = None, samples: int | None = None,
@@ -188,7 +188,7 @@ def evaluate(chain: DataFrame, member: DataFrame, part: DataFrame | None = None,
     if part is not None:
         t = t.join(teams_per_chain(member, part), "chain_id", "left").withColumn(
             "cross_team", F.coalesce(F.col("team_count") > 1, F.lit(False)))
-        sentence = F.concat(sentence, F.when(F.col("cross_team"), F.concat(F.lit("; crosses teams "), "teams")).otherwise(""))
+        sentence = F.concat(sentence, F.when(F.col("cross_team"), F.concat(F.lit("; teams involved: "), "teams")).otherwise(""))
         return t.withColumn("explanation", sentence).orderBy(F.desc("cross_team"), "passes", "name")
     return t.withColumn("explanation", sentence).orderBy("passes", "name")
 

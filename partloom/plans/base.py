@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 
 @dataclass
 class Product:
-    """A product at one point in time; ``root`` has one row (root_rev), ``live`` the revisions below it."""
+    """A product at one point in time; ``root`` has one row (root_rev), ``live`` the revisions below it.
+
+    Contracts carry ``envelope_dx``, ``envelope_dy``, ``envelope_dz`` and ``cg_window``, null where not declared."""
 
     part: DataFrame
     rev: DataFrame

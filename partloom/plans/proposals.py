@@ -102,17 +102,22 @@ def budget_steps(prepared: DataFrame, product: Product, rollups: DataFrame, targ
     owner = product.rev.select("revision_id", "part_id").join(product.part.select("part_id", "part_number", "team_id"), "part_id")
     a = now.join(product.contract.select("revision_id", "mass_max"), "revision_id").filter("mass_max IS NOT NULL").join(owner, "revision_id").select(
         "commit_id", F.lit("mass_max").alias("constraint_name"), (F.col("mass_g") <= F.col("mass_max") + sockets.BUDGET_SLACK).alias("passed"),
-        F.format_string("%s rolls up to %.1f g against its declared limit of %.1f g", "part_number", "mass_g", "mass_max").alias("detail"), "part_number", "team_id")
+        F.format_string("%s weighs %.1f g, its limit is %.1f g", "part_number", "mass_g", "mass_max").alias("detail"), "part_number", "team_id")
     s = product.socket.select("socket_id", "revision_id", "name", "mass_budget").filter("mass_budget IS NOT NULL").join(
         target.select("socket_id", "target_rev"), "socket_id").join(owner, "revision_id")
     b = now.withColumnRenamed("revision_id", "target_rev").join(s, "target_rev").select(
         "commit_id", F.format_string("socket.%s.mass_budget", "name").alias("constraint_name"), (F.col("mass_g") <= F.col("mass_budget") + sockets.BUDGET_SLACK).alias("passed"),
-        F.format_string("draws %.1f g against the mass allocation of %.1f g that %s set for socket '%s'", "mass_g", "mass_budget", "part_number", "name").alias("detail"), "part_number", "team_id")
+        F.format_string("takes %.1f g of the %.1f g that %s grants at socket '%s'", "mass_g", "mass_budget", "part_number", "name").alias("detail"), "part_number", "team_id")
     return a.unionByName(b)
 
 
-def socket_steps(prepared: DataFrame, product: Product, target: DataFrame) -> DataFrame:
-    """Sockets that a changed part fills, checked with its proposed geometry."""
+def socket_steps(prepared: DataFrame, product: Product, target: DataFrame, interfaces: DataFrame | None = None) -> DataFrame:
+    """Sockets that a changed part fills, checked with its proposed geometry.
+
+    interfaces(commit_id, part_id, and the columns of the interface table but its revision):
+    what a changed body offers, as derived from it (:func:`contracts.locate_patterns`). They replace all
+    interfaces of the part; a part without any there keeps its current ones.
+    """
     swap = prepared.filter("old_rev IS NOT NULL").select("commit_id", F.col("old_rev").alias("target_rev"), F.col("new_rev"), "part_id", "fingerprint")
     t = cut(target.join(swap, "target_rev"))
     key = F.concat_ws("/", F.col("commit_id").cast("string"), "socket_id")
@@ -121,6 +126,10 @@ def socket_steps(prepared: DataFrame, product: Product, target: DataFrame) -> Da
     at = t.withColumn("socket_id", key).select("socket_id", F.col("new_rev").alias("target_rev"), *[c for c in target.columns if c not in ("socket_id", "target_rev")])
     iface = t.select("target_rev", "new_rev").distinct().join(product.interface, F.col("target_rev") == F.col("revision_id")).withColumn(
         "revision_id", F.col("new_rev")).drop("target_rev", "new_rev")
+    if interfaces is not None:
+        new = interfaces.join(swap.select("commit_id", "part_id", "new_rev"), ["commit_id", "part_id"]).withColumn("revision_id", F.col("new_rev"))
+        kept = iface.join(new.select("revision_id").distinct(), "revision_id", "left_anti")
+        iface = kept.unionByName(new.select(*kept.columns))
     revs = product.rev.select(F.col("revision_id").cast("string").alias("revision_id"), "part_id", "fingerprint").unionByName(
         swap.select(F.col("new_rev").alias("revision_id"), "part_id", "fingerprint").distinct())
     s = s.withColumn("revision_id", F.col("revision_id").cast("string"))
@@ -130,27 +139,46 @@ def socket_steps(prepared: DataFrame, product: Product, target: DataFrame) -> Da
                                                  F.col("other_part").alias("part_number"), F.col("other_team").alias("team_id"))
 
 
-def chain_steps(prepared: DataFrame, product: Product) -> DataFrame:
-    """Chains a changed part takes part in, totalled on the current dimensions."""
+def chain_steps(prepared: DataFrame, product: Product, dimensions: DataFrame | None = None) -> DataFrame:
+    """Chains a changed part takes part in, totalled for every commit on the dimensions it proposes.
+
+    dimensions(commit_id, chain_id, seq, nominal, tol_plus, tol_minus): members that a commit
+    changes; all others keep their current values. A chain that crosses teams names all of them.
+    """
     pairs = product.member.select("chain_id", "part_id").distinct().join(prepared.select("commit_id", "part_id").distinct(), "part_id")
-    hit = cut(pairs.select("commit_id", "chain_id").distinct())
-    asked = hit.select("chain_id").distinct()
-    chain = product.chain.join(asked, "chain_id", "left_semi")
-    member = product.member.join(asked, "chain_id", "left_semi")
+    hit = pairs.select("commit_id", "chain_id")
+    if dimensions is not None:
+        hit = hit.unionByName(dimensions.select("commit_id", "chain_id"))
+    # every commit sees a copy of its chains
+    key = F.concat_ws("/", F.col("commit_id").cast("string"), F.col("chain_id").cast("string"))
+    hit = cut(hit.distinct().withColumn("_key", key))
+    member = product.member.join(hit, "chain_id")
+    if dimensions is not None:
+        values = ["nominal", "tol_plus", "tol_minus"]
+        new = dimensions.select("commit_id", "chain_id", "seq", *[F.col(c).alias(f"_{c}") for c in values], F.lit(True).alias("_new"))
+        member = member.join(new, ["commit_id", "chain_id", "seq"], "left")
+        for c in values:
+            member = member.withColumn(c, F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)))
+    member = cut(member.withColumn("chain_id", F.col("_key")).select(*product.member.columns))
+    chain = product.chain.join(hit, "chain_id").withColumn("chain_id", F.col("_key")).select(*product.chain.columns)
     t = tolerance.with_verdict(tolerance.totals(chain, member))
-    worst = tolerance.worst_contributor(member).join(product.part.select("part_id", "part_number", "team_id"), "part_id").select("chain_id", "part_number", "team_id")
-    return hit.join(t, "chain_id").join(worst, "chain_id", "left").select(
+    owner = product.part.select("part_id", "part_number", "team_id")
+    worst = tolerance.worst_contributor(member).join(owner, "part_id").select("chain_id", "part_number")
+    teams = member.select("chain_id", "part_id").join(owner, "part_id").groupBy("chain_id").agg(
+        F.array_join(F.array_sort(F.collect_set("team_id")), ", ").alias("team_id"))  # as many as there are teams
+    return hit.select("commit_id", F.col("_key").alias("chain_id")).join(t, "chain_id").join(worst, "chain_id", "left").join(teams, "chain_id", "left").select(
         "commit_id", F.concat(F.lit("chain."), "name").alias("constraint_name"), "passes", tolerance.explanation().alias("detail"), "part_number", "team_id").withColumnRenamed("passes", "passed")
 
 
 def validate(proposal: DataFrame, product: Product, hashes: DataFrame, height: DataFrame, rollups: DataFrame,
              target: DataFrame, concurrency: DataFrame | None = None, problems: DataFrame | None = None,
-             inherited: DataFrame | None = None) -> dict[str, DataFrame]:
+             inherited: DataFrame | None = None, interfaces: DataFrame | None = None, dimensions: DataFrame | None = None) -> dict[str, DataFrame]:
     """Run all stages: tables ``steps``, ``verdicts``, ``classifications``, ``notifications``.
 
     concurrency: result of the conflict analysis. problems(commit_id, problem): declarations
     that do not match their geometry. inherited(stage, failures): failures the base itself
-    has, which fail every commit. Nothing is written: a dry run is this result, landing is
+    has, which fail every commit. interfaces and dimensions: what the commits propose, as
+    :func:`socket_steps` and :func:`chain_steps` take them. Nothing is written: a dry run is this result, landing is
     appending its tables.
     """
     p = cut(prepare(proposal, product))
@@ -165,20 +193,19 @@ def validate(proposal: DataFrame, product: Product, hashes: DataFrame, height: D
         steps.append(step(concurrency, "concurrency", F.col("can_rebase"), F.col("detail"), F.lit("compare-and-swap"), F.col("other_part"), F.col("other_team")))
     bare = F.col("contract_hash").isNull()
     steps.append(step(p, "declaration", ~bare & F.col("part_number").isNotNull(), F.when(
-        F.col("part_number").isNull(), "a new part names no owning team").when(bare, F.format_string(
-            "%s arrived as bare geometry with no declared contract", "part_number")).otherwise("carries a contract declaration"),
+        F.col("part_number").isNull(), "new part without a team").when(bare, F.format_string(
+            "%s has a body but no contract", "part_number")).otherwise("carries a contract declaration"),
         F.when(F.col("part_number").isNull(), "ownership required").when(bare, "declaration required")))
     if problems is not None:
         steps.append(step(problems, "contract", F.lit(False), F.col("problem"), F.lit("declaration does not match the geometry")))
     classes = cut(p.select("commit_id", "part_id", "part_number", "had", *lookup.classification()))
     steps.append(step(classes, "classification", F.lit(True), F.concat_ws("=", "part_number", "classification")))
-    if "envelope_dx" in product.contract.columns:
-        e = p.join(product.contract.select(F.col("revision_id").alias("old_rev"), *[f"envelope_d{a}" for a in "xyz"]), "old_rev").join(
-            product.shape.select("fingerprint", *[f"bbox_d{a}" for a in "xyz"]), "fingerprint").filter("envelope_dx IS NOT NULL")
-        for a in "xyz":
-            steps.append(step(e, "envelope", F.col(f"bbox_d{a}") <= F.col(f"envelope_d{a}") + sockets.EXTENT_SLACK, F.format_string(
-                f"%s {a}-extent %.2f mm against its declared envelope %.2f mm", "part_number", f"bbox_d{a}", f"envelope_d{a}"), F.lit(f"envelope.{a}")))
-    for stage, df in (("socket", socket_steps(p, product, target)), ("budget", budget_steps(p, product, rollups, target)), ("chain", chain_steps(p, product))):
+    e = p.join(product.contract.select(F.col("revision_id").alias("old_rev"), *[f"envelope_d{a}" for a in "xyz"]), "old_rev").join(
+        product.shape.select("fingerprint", *[f"bbox_d{a}" for a in "xyz"]), "fingerprint").filter("envelope_dx IS NOT NULL")
+    for a in "xyz":
+        steps.append(step(e, "envelope", F.col(f"bbox_d{a}") <= F.col(f"envelope_d{a}") + sockets.EXTENT_SLACK, F.format_string(
+            f"%s {a}-size %.2f mm against its declared envelope %.2f mm", "part_number", f"bbox_d{a}", f"envelope_d{a}"), F.lit(f"envelope.{a}")))
+    for stage, df in (("socket", socket_steps(p, product, target, interfaces)), ("budget", budget_steps(p, product, rollups, target)), ("chain", chain_steps(p, product, dimensions))):
         steps.append(step(df, stage, F.col("passed"), F.col("detail"), F.col("constraint_name"), F.col("part_number"), F.col("team_id")))
     if inherited is not None:
         known = p.select("commit_id").distinct()

@@ -152,7 +152,7 @@ def test_clash_sentences(spark):
     df = spark.createDataFrame([("clearance", 3.5), ("clearance", -1.25), ("clash", 0.0)], "kind string, depth double").select(
         "*", *[F.lit(x).alias(x) for x in ("path_a", "path_b", "part_a", "part_b", "team_a", "team_b")], F.lit(12.0).alias("volume"))
     a, b, c = [r.description for r in interference.describe(df).collect()]
-    assert "overlap by 3.50" in a and "1.25 mm apart" in b and "12.0 mm^3" in c
+    assert "reach 3.50" in a and "1.25 mm apart" in b and "12.0 mm^3" in c
 
 
 def test_best_partner_equals_brute_force(spark):
@@ -165,6 +165,13 @@ def test_best_partner_equals_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_solids_without_a_size_have_no_partner(spark):
+    rows = [("c", "a", "s1", "h", 1.0, 0, 0.5, 0.5, 0.5, None), ("c", "a", "s2", "h", -1.0, 0, 0.5, 0.5, 0.5, 0.5), ("c", "a", "s3", "h", 1.0, 0, 0.5, 0.5, 0.5, 0.5),
+            ("c", "b", "t1", "h", 1e30, 0, 0.5, 0.5, 9e6, 0.5), ("c", "b", "t2", "h", None, 0, 0.5, 0.5, 0.5, 0.5), ("d", "a", "u1", "h", 1.0, 0, 0.5, 0.5, 0.5, 0.5), ("d", "b", "u2", "h", 0.0, 0, 0.5, 0.5, 0.5, 0.5)]
+    df = spark.createDataFrame(rows, "case_id string, variant string, solid_id string, strict string, char_length double, chirality int, sphericity double, j1 double, j2 double, j3 double")
+    assert {r.solid_id: r.partner for r in matching.best_partner(df).collect()} == {"s1": None, "s2": None, "s3": "t1", "u1": None}
+
+
 def test_fit_classes(spark):
     rows = [("M6", "clearance", 3.3, True), ("M6", "clearance", 3.7, False), ("M6", "close", 3.3, True), ("M6", "press", 3.0, True),
             ("M6", "tapped", 2.5, True), ("M6", "tapped", 3.0, False), ("X9", "clearance", 9.0, True)]

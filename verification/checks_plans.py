@@ -26,7 +26,7 @@ from .registry import extra, grid, grid_sql, query, shared
 
 def product(fx) -> Product:
     return shared(fx, "product", lambda: Product(
-        part=fx.part, rev=fx.revision, occ=fx.occurrence, shape=fx.shape, contract=fx.contract, interface=fx.full_interface, socket=full_sockets(fx),
+        part=fx.part, rev=fx.revision, occ=fx.occurrence, shape=fx.shape, contract=fx.contract.select("*", *[F.lit(None).cast("double").alias(f"envelope_d{a}") for a in "xyz"], F.lit(None).cast("string").alias("cg_window")), interface=fx.full_interface, socket=full_sockets(fx),
         chain=fx.chain, member=fx.dimension, subscription=fx.subscription, root=fx.top_root, live=fx.live))
 
 
@@ -251,9 +251,10 @@ def _(fx):
 
 
 @query("s03_pruned_nodes", """
-SELECT n.file_id, n.node_id FROM fx_source_node n WHERE (n.solid_id IS NOT NULL AND NOT starts_with(n.solid_id, 'SMALL'))
-OR EXISTS (SELECT 1 FROM fx_source_node c WHERE c.file_id = n.file_id AND c.parent_id = n.node_id AND c.solid_id IS NOT NULL AND NOT starts_with(c.solid_id, 'SMALL'))
-OR (n.parent_id IS NULL AND EXISTS (SELECT 1 FROM fx_source_node c WHERE c.file_id = n.file_id AND c.solid_id IS NOT NULL AND NOT starts_with(c.solid_id, 'SMALL')))""")
+WITH n AS (SELECT *, COALESCE(solid_id IS NOT NULL AND NOT starts_with(solid_id, 'SMALL'), FALSE) AS solid FROM fx_source_node),
+p AS (SELECT DISTINCT file_id, parent_id FROM n WHERE solid), f AS (SELECT DISTINCT file_id FROM n WHERE solid)
+SELECT n.file_id, n.node_id FROM n LEFT JOIN p ON p.file_id = n.file_id AND p.parent_id = n.node_id LEFT JOIN f ON f.file_id = n.file_id
+WHERE n.solid OR p.parent_id IS NOT NULL OR (n.parent_id IS NULL AND f.file_id IS NOT NULL)""")
 def _(fx):
     n = source_nodes(fx)
     solid = n.filter("solid_id IS NOT NULL").select("file_id", "solid_id").distinct().withColumn("n_solids", F.lit(1)).withColumn("checks", F.lit(True)).withColumn(
@@ -384,7 +385,7 @@ SELECT p.part_number, CAST(SUM(w.qty) AS BIGINT) AS total_qty FROM walk w JOIN f
 WHERE r.is_assembly = 0 GROUP BY p.part_number, r.revision_id ORDER BY total_qty DESC, p.part_number, r.revision_id LIMIT 4""")
 def _(fx):
     bom = rollup.bill_of_materials(fx.top_root, fx.occurrence, fx.revision, fx.part, fx.shape)
-    return rollup.bom_totals(bom)[1].select("part_number", "total_qty")
+    return rollup.bom_totals(bom, 4)[1].select("part_number", "total_qty")
 
 
 @query("u05_missing_leaves", _REACH + """
@@ -442,7 +443,7 @@ def _state(fx, df, mode):
 @query("x03_redelivery", "SELECT topic, COUNT(*) AS rows FROM fx_outbox GROUP BY topic")
 def _(fx):
     twice = _stream(fx).withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
-    return _state(fx, outbox.without_repeats(twice), "append").groupBy("topic").agg(F.count(F.lit(1)).alias("rows"))
+    return _state(fx, outbox.without_repeats(twice, "1 day"), "append").groupBy("topic").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("x04_latest_documents", f"SELECT collection, key, payload FROM {_DOCS} d")

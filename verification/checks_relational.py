@@ -147,9 +147,9 @@ SELECT r.revision_id,
   (CASE WHEN c.revision_id IS NULL OR (c.provenance = 'auto_drafted' AND c.reviewed = 0) THEN 1 ELSE 0 END
    + CASE WHEN r.is_assembly = 0 AND r.fingerprint IS NOT NULL AND r.density IS NULL THEN 1 ELSE 0 END
    + CASE WHEN r.status = 'draft' THEN 1 ELSE 0 END) AS gaps,
-  CASE WHEN c.revision_id IS NULL THEN 'no contract declared' WHEN c.provenance = 'auto_drafted' AND c.reviewed = 0 THEN 'contract auto-drafted and not reviewed'
-       WHEN r.is_assembly = 0 AND r.fingerprint IS NOT NULL AND r.density IS NULL THEN 'no material density, so it weighs nothing in the rollup'
-       WHEN r.status = 'draft' THEN 'still a draft, not released' END AS first_gap
+  CASE WHEN c.revision_id IS NULL THEN 'lacks a contract' WHEN c.provenance = 'auto_drafted' AND c.reviewed = 0 THEN 'its drafted contract awaits review'
+       WHEN r.is_assembly = 0 AND r.fingerprint IS NOT NULL AND r.density IS NULL THEN 'has no density and counts as weightless'
+       WHEN r.status = 'draft' THEN 'is a draft' END AS first_gap
 FROM fx_revision r LEFT JOIN fx_contract c ON c.revision_id = r.revision_id""")
 def _(fx):
     df = fx.revision.join(fx.contract.select("revision_id", "contract_id", "provenance", "reviewed"), "revision_id", "left")
@@ -262,7 +262,7 @@ WITH agg AS (
 @query("a04_chain_totals", _TOTAL + f"""
 SELECT chain_id, members, {grid_sql('nominal')} AS nominal, {grid_sql('worst_low')} AS worst_low, {grid_sql('worst_high')} AS worst_high,
        {grid_sql('sigma_total')} AS sigma_total, {grid_sql('rss_low')} AS rss_low, {grid_sql('rss_high')} AS rss_high, conv AS sigma_conventions,
-       CASE WHEN members = 0 THEN 'chain has no members; nothing to total' WHEN mixed THEN 'contributors declare different sigma conventions: ' || conv ELSE '' END AS warnings,
+       CASE WHEN members = 0 THEN 'is empty, all totals are zero' WHEN mixed THEN 'spans differ between members: ' || conv ELSE '' END AS warnings,
        (target_low IS NULL OR (CASE WHEN method = 'worst_case' THEN worst_low ELSE rss_low END) >= target_low - 1e-12)
        AND (target_high IS NULL OR (CASE WHEN method = 'worst_case' THEN worst_high ELSE rss_high END) <= target_high + 1e-12) AS passes
 FROM t""")
@@ -307,9 +307,9 @@ def _(fx):
        (target_low IS NULL OR (CASE WHEN method = 'worst_case' THEN worst_low ELSE rss_low END) >= target_low - 1e-12)
        AND (target_high IS NULL OR (CASE WHEN method = 'worst_case' THEN worst_high ELSE rss_high END) <= target_high + 1e-12) AS passes
   FROM t LEFT JOIN (SELECT d.chain_id, COUNT(DISTINCT p.team_id) AS n FROM fx_dimension d JOIN fx_part p ON p.part_id = d.part_id GROUP BY d.chain_id) x ON x.chain_id = t.chain_id)
-SELECT chain_id, cross_team, passes FROM v ORDER BY cross_team DESC, passes, 'chain' || CAST(chain_id AS VARCHAR) LIMIT 500""")
+SELECT chain_id, cross_team, passes FROM v""")
 def _(fx):
-    return tolerance.evaluate(fx.chain, fx.member, fx.part).select("chain_id", "cross_team", "passes").limit(500)
+    return tolerance.evaluate(fx.chain, fx.member, fx.part).select("chain_id", "cross_team", "passes")
 
 
 @query("j14_chains_touching", "SELECT DISTINCT chain_id FROM fx_dimension d JOIN fx_part p ON p.part_id = d.part_id WHERE p.is_assembly = 1")
@@ -393,17 +393,17 @@ WITH RECURSIVE down(rev) AS (
   SELECT r.part_id, r.revision_id, 0 FROM fx_revision r JOIN fx_proposal q ON q.part_id = r.part_id
   UNION SELECT u.src, o.parent_rev, u.depth + 1 FROM up u JOIN fx_occurrence o ON o.child_rev = u.rev
 ), reason AS (
-  SELECT a.part_id AS source_part, s.team_id, 1 AS route, 'subscribes to ' || p.part_number || ' (' || COALESCE(s.interface_name, 'whole contract') || ')' AS reason,
+  SELECT a.part_id AS source_part, s.team_id, 1 AS route, 'follows ' || p.part_number || ' (' || COALESCE(s.interface_name, 'whole contract') || ')' AS reason,
          CAST(NULL AS VARCHAR) AS part_number
   FROM {_ASK} a JOIN fx_subscription s ON s.part_id = a.part_id JOIN fx_part p ON p.part_id = a.part_id
   WHERE a.interface_name IS NULL OR s.interface_name IS NULL OR a.interface_name = s.interface_name
-  UNION SELECT u.src, w.team_id, 2, 'owns ' || w.part_number || ', which contains ' || p.part_number, w.part_number
+  UNION SELECT u.src, w.team_id, 2, 'is responsible for ' || w.part_number || ', which holds ' || p.part_number, w.part_number
   FROM up u JOIN down d ON d.rev = u.rev JOIN fx_revision r ON r.revision_id = u.rev JOIN fx_part w ON w.part_id = r.part_id JOIN fx_part p ON p.part_id = u.src
   WHERE u.depth > 0
-  UNION SELECT a.part_id, w.team_id, 3, 'shares tolerance chain ''' || c.name || ''' via ' || w.part_number, w.part_number
+  UNION SELECT a.part_id, w.team_id, 3, 'meets it in chain ''' || c.name || ''' via ' || w.part_number, w.part_number
   FROM fx_proposal a JOIN fx_dimension d ON d.part_id = a.part_id JOIN fx_chain c ON c.chain_id = d.chain_id JOIN fx_dimension e ON e.chain_id = c.chain_id
   JOIN fx_part w ON w.part_id = e.part_id
-  UNION SELECT p.part_id, w.team_id, 4, 'owns socket ''' || s.name || ''' on ' || w.part_number, w.part_number
+  UNION SELECT p.part_id, w.team_id, 4, 'holds it by socket ''' || s.name || ''' of ' || w.part_number, w.part_number
   FROM fx_socket s JOIN fx_part p ON s.fills = p.part_number OR s.fills LIKE '%/' || p.part_number JOIN fx_proposal q ON q.part_id = p.part_id
   JOIN fx_revision r ON r.revision_id = s.revision_id JOIN fx_part w ON w.part_id = r.part_id
 ), kept AS (SELECT r.* FROM reason r JOIN fx_part p ON p.part_id = r.source_part WHERE r.team_id <> p.team_id)"""
@@ -433,14 +433,14 @@ def _(fx):
 
 _CLOSURE = """
 WITH changed AS (SELECT DISTINCT commit_id % 5 AS commit_id, part_id FROM fx_proposal UNION SELECT commit_id % 5, CAST(FLOOR((part_id - 1) / 4) AS BIGINT) FROM fx_proposal),
-c1 AS (SELECT g.commit_id, b.part_id, MIN('shares tolerance chain ''' || c.name || '''') AS why
+c1 AS (SELECT g.commit_id, b.part_id, MIN('meets it in chain ''' || c.name || '''') AS why
        FROM changed g JOIN fx_dimension a ON a.part_id = g.part_id JOIN fx_dimension b ON b.chain_id = a.chain_id JOIN fx_chain c ON c.chain_id = a.chain_id
        GROUP BY g.commit_id, b.part_id),
-c2 AS (SELECT g.commit_id, cr.part_id, MIN('competes for the allocation on socket ''' || s.name || '''') AS why
+c2 AS (SELECT g.commit_id, cr.part_id, MIN('draws on the budget of socket ''' || s.name || '''') AS why
        FROM changed g JOIN fx_revision r ON r.part_id = g.part_id JOIN fx_socket s ON s.revision_id = r.revision_id JOIN fx_occurrence o ON o.parent_rev = r.revision_id
        JOIN fx_revision cr ON cr.revision_id = o.child_rev WHERE s.mass_budget IS NOT NULL OR s.power_budget IS NOT NULL OR s.thermal_budget IS NOT NULL
        GROUP BY g.commit_id, cr.part_id),
-c3 AS (SELECT g.commit_id, g.part_id, MIN('team ' || s.team_id || ' subscribes to it') AS why FROM changed g JOIN fx_subscription s ON s.part_id = g.part_id GROUP BY g.commit_id, g.part_id)"""
+c3 AS (SELECT g.commit_id, g.part_id, MIN('team ' || s.team_id || ' follows it') AS why FROM changed g JOIN fx_subscription s ON s.part_id = g.part_id GROUP BY g.commit_id, g.part_id)"""
 
 
 def changed_parts(fx):
@@ -499,7 +499,7 @@ SELECT chain_id, method, CASE WHEN target_low IS NULL AND target_high IS NULL TH
        contains(CAST(COALESCE(target_low, -1) AS VARCHAR), '.') AS has_text FROM t""")
 def _(fx):
     t = tolerance.evaluate(fx.chain, fx.member)
-    return t.select("chain_id", "method", F.col("explanation").contains("; requirement ").alias("bounded"),
+    return t.select("chain_id", "method", F.col("explanation").contains("; wanted ").alias("bounded"),
                     F.col("explanation").startswith(F.concat(F.lit("chain '"), F.col("name"), F.lit("' ("))).alias("has_text"))
 
 

@@ -181,7 +181,7 @@ def _(fx):
 
 
 @query("f21_compare_reason", """
-SELECT p.probe_id, CASE WHEN p.chirality <> 0 AND s.chirality <> 0 AND p.chirality <> s.chirality THEN 'opposite handedness: these are a mirrored pair, not the same part' ELSE 'within tolerance' END AS reason
+SELECT p.probe_id, CASE WHEN p.chirality <> 0 AND s.chirality <> 0 AND p.chirality <> s.chirality THEN 'mirror images of each other' ELSE 'within tolerance' END AS reason
 FROM fx_probe p JOIN fx_shape s ON s.fingerprint = p.truth""")
 def _(fx):
     p, s = extra(fx, "fx_probe"), extra(fx, "fx_invariant")
