@@ -34,6 +34,15 @@ def _(fx):
     return graph.quantities(fx.top_root, fx.occurrence).drop("root_rev")
 
 
+@query("g02_quantities_of_all", """
+WITH RECURSIVE way(root_rev, revision_id, n) AS (
+  SELECT revision_id, revision_id, CAST(1 AS BIGINT) FROM fx_revision WHERE is_assembly = 1
+  UNION ALL SELECT w.root_rev, o.child_rev, w.n * o.quantity FROM fx_occurrence o JOIN way w ON w.revision_id = o.parent_rev
+) SELECT root_rev, revision_id, CAST(SUM(n) AS BIGINT) AS quantity FROM way GROUP BY root_rev, revision_id""")
+def _(fx):
+    return graph.quantities(fx.revision.filter("is_assembly = 1").select(F.col("revision_id").alias("root_rev")), fx.occurrence)
+
+
 @query("a01_bill_of_materials", _DOWN + """
 SELECT p.part_number, p.team_id, r.revision_id, r.revision_index, CAST(SUM(w.qty) AS BIGINT) AS total_qty,
        COALESCE(s.volume_exact, s.volume) * r.density AS unit_mass_g,
@@ -69,44 +78,35 @@ def _(fx):
                     F.col("m03").cast("bigint").alias("x"), F.col("m13").cast("bigint").alias("y"), turn.alias("turn"))
 
 
+# Every pair of a holder and what it holds at any depth; then the top's own pieces and the top itself.
 _REACH = """
-WITH RECURSIVE down(rev) AS (
-  SELECT MAX(revision_id) FROM fx_revision WHERE part_id = 0
-  UNION
-  SELECT o.child_rev FROM down d JOIN fx_occurrence o ON o.parent_rev = d.rev
-)"""
+WITH RECURSIVE held(holder, piece) AS (
+  SELECT parent_rev, child_rev FROM fx_occurrence
+  UNION SELECT h.holder, o.child_rev FROM fx_occurrence o JOIN held h ON h.piece = o.parent_rev
+), top AS (SELECT MAX(revision_id) AS id FROM fx_revision WHERE part_id = 0),
+inside AS (SELECT id AS rev FROM top UNION SELECT piece FROM held JOIN top ON holder = id)"""
 
 
-@query("g04_reachable", _REACH + " SELECT rev AS revision_id FROM down")
+@query("g04_reachable", _REACH + " SELECT rev AS revision_id FROM inside")
 def _(fx):
     return graph.reachable(fx.top_root, fx.occurrence).select("revision_id")
 
 
-_USED = """
-WITH RECURSIVE up(part_id, rev, depth) AS (
-  SELECT r.part_id, r.revision_id, 0 FROM fx_revision r
-  UNION
-  SELECT u.part_id, o.parent_rev, u.depth + 1 FROM up u JOIN fx_occurrence o ON o.child_rev = u.rev
-)"""
+# Every holder of a revision with each distance at which it holds it.
+_HOLDERS = """far(holder, piece, steps) AS (
+  SELECT parent_rev, child_rev, 1 FROM fx_occurrence
+  UNION SELECT o.parent_rev, f.piece, f.steps + 1 FROM fx_occurrence o JOIN far f ON f.holder = o.child_rev
+), users AS (SELECT s.part_id AS source_part, holder AS revision_id, MIN(steps) AS depth FROM far JOIN fx_revision s ON s.revision_id = piece GROUP BY ALL)"""
 
 
-@query("g05_where_used", _USED + """
-SELECT u.part_id AS source_part, u.rev AS revision_id, MIN(u.depth) AS depth, r.revision_index,
-       p.part_id, p.part_number, p.team_id
-FROM up u JOIN fx_revision r ON r.revision_id = u.rev JOIN fx_part p ON p.part_id = r.part_id
-WHERE u.depth > 0 GROUP BY u.part_id, u.rev, r.revision_index, p.part_id, p.part_number, p.team_id""")
+@query("g05_where_used", f"""WITH RECURSIVE {_HOLDERS}
+SELECT source_part, revision_id, depth, r.revision_index, r.part_id, p.part_number, p.team_id
+FROM users JOIN fx_revision r USING (revision_id) JOIN fx_part p ON p.part_id = r.part_id""")
 def _(fx):
     return graph.where_used(fx.part, fx.occurrence, fx.revision, fx.part)
 
 
-@query("g05_where_used_live", _USED.replace("WITH RECURSIVE", """
-WITH RECURSIVE down(rev) AS (
-  SELECT MAX(revision_id) FROM fx_revision WHERE part_id = 0
-  UNION
-  SELECT o.child_rev FROM down d JOIN fx_occurrence o ON o.parent_rev = d.rev
-),""") + """
-SELECT u.part_id AS source_part, u.rev AS revision_id, MIN(u.depth) AS depth
-FROM up u JOIN down d ON d.rev = u.rev WHERE u.depth > 0 GROUP BY u.part_id, u.rev""")
+@query("g05_where_used_live", f"{_REACH}, {_HOLDERS} SELECT source_part, revision_id, depth FROM users WHERE revision_id IN (SELECT rev FROM inside)")
 def _(fx):
     return graph.where_used(fx.part, fx.occurrence, fx.revision, fx.part, fx.live).select(
         "source_part", "revision_id", "depth")
@@ -182,7 +182,7 @@ def _(fx):
 
 
 @query("a02_without_density", _REACH + """
-SELECT DISTINCT p.part_number FROM down d JOIN fx_revision r ON r.revision_id = d.rev JOIN fx_part p ON p.part_id = r.part_id
+SELECT DISTINCT p.part_number FROM inside d JOIN fx_revision r ON r.revision_id = d.rev JOIN fx_part p ON p.part_id = r.part_id
 WHERE r.is_assembly = 0 AND r.density IS NULL""")
 def _(fx):
     return rollup.without_density(fx.top_root, fx.occurrence, fx.revision, fx.part, fx.shape, fx.contract).drop("root_rev")

@@ -78,7 +78,7 @@ def _(fx):
 _UPWARD = _REACH + """, cur AS (SELECT part_id, MAX(revision_index) AS top FROM fx_revision GROUP BY part_id),
 up(commit_id, rev) AS (
   SELECT q.commit_id, q.part_id * 10 + c.top FROM fx_proposal q JOIN cur c ON c.part_id = q.part_id
-  UNION SELECT u.commit_id, o.parent_rev FROM up u JOIN fx_occurrence o ON o.child_rev = u.rev JOIN down d ON d.rev = o.parent_rev)"""
+  UNION SELECT u.commit_id, o.parent_rev FROM up u JOIN fx_occurrence o ON o.child_rev = u.rev JOIN inside d ON d.rev = o.parent_rev)"""
 
 
 @query("g07_rebuilt_revisions", _UPWARD + """
@@ -113,7 +113,7 @@ def _(fx):
 
 
 _OPEN = _REACH + """, rv AS (SELECT r.*, p.part_number, p.team_id, c.provenance, c.reviewed, c.revision_id IS NULL AS bare
-  FROM down d JOIN fx_revision r ON r.revision_id = d.rev JOIN fx_part p ON p.part_id = r.part_id LEFT JOIN fx_contract c ON c.revision_id = r.revision_id),
+  FROM inside d JOIN fx_revision r ON r.revision_id = d.rev JOIN fx_part p ON p.part_id = r.part_id LEFT JOIN fx_contract c ON c.revision_id = r.revision_id),
 st AS (SELECT *, NOT (bare OR COALESCE(provenance = 'auto_drafted' AND reviewed = 0, FALSE) OR (is_assembly = 0 AND fingerprint IS NOT NULL AND density IS NULL) OR status = 'draft') AS done FROM rv),
 """
 _TEAMS = _OPEN + _TOTAL.strip()[len("WITH "):] + f""", bad AS (SELECT chain_id FROM t WHERE NOT (
@@ -372,7 +372,7 @@ def _(fx):
 @query("s15_export_structure", _REACH + """, keep(rev) AS (
   SELECT r.revision_id FROM fx_revision r WHERE r.is_assembly = 0 AND r.density IS NOT NULL
   UNION SELECT o.parent_rev FROM keep k JOIN fx_occurrence o ON o.child_rev = k.rev)
-SELECT d.rev AS revision_id, p.part_number FROM down d JOIN keep k ON k.rev = d.rev JOIN fx_revision r ON r.revision_id = d.rev JOIN fx_part p ON p.part_id = r.part_id
+SELECT d.rev AS revision_id, p.part_number FROM inside d JOIN keep k ON k.rev = d.rev JOIN fx_revision r ON r.revision_id = d.rev JOIN fx_part p ON p.part_id = r.part_id
 WHERE r.is_assembly = 1 OR r.fingerprint IN (SELECT r2.fingerprint FROM fx_revision r2 WHERE r2.density IS NOT NULL)""")
 def _(fx):
     # Leaves without a density have no stored geometry here: their shapes get a name nobody stored.
@@ -389,7 +389,7 @@ def _(fx):
 
 
 @query("u05_missing_leaves", _REACH + """
-SELECT p.part_number FROM fx_part p WHERE p.is_assembly = 0 EXCEPT SELECT p.part_number FROM down d JOIN fx_revision r ON r.revision_id = d.rev JOIN fx_part p ON p.part_id = r.part_id""")
+SELECT p.part_number FROM fx_part p WHERE p.is_assembly = 0 EXCEPT SELECT p.part_number FROM inside d JOIN fx_revision r ON r.revision_id = d.rev JOIN fx_part p ON p.part_id = r.part_id""")
 def _(fx):
     bom = rollup.bill_of_materials(fx.top_root, fx.occurrence, fx.revision, fx.part, fx.shape)
     return diff.missing_names(fx.part.filter("is_assembly = 0"), bom, "part_number")

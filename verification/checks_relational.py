@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from partloom.functions import digest, fits, geometry, text
 from partloom.operators import graph, impact, lookup, shapes, tolerance
 
+from .checks_graph import _HOLDERS, _REACH
 from .registry import extra, grid, grid_sql, query
 
 _CURRENT = "(SELECT r.* FROM fx_revision r JOIN (SELECT part_id, MAX(revision_index) AS top FROM fx_revision GROUP BY part_id) x ON x.part_id = r.part_id AND x.top = r.revision_index)"
@@ -385,21 +386,14 @@ def _(fx):
     return impact.filled_sockets(fx.part, extra(fx, "fx_socket"), fx.revision, fx.part)
 
 
-_IMPACT = f"""
-WITH RECURSIVE down(rev) AS (
-  SELECT MAX(revision_id) FROM fx_revision WHERE part_id = 0
-  UNION SELECT o.child_rev FROM down d JOIN fx_occurrence o ON o.parent_rev = d.rev
-), up(src, rev, depth) AS (
-  SELECT r.part_id, r.revision_id, 0 FROM fx_revision r JOIN fx_proposal q ON q.part_id = r.part_id
-  UNION SELECT u.src, o.parent_rev, u.depth + 1 FROM up u JOIN fx_occurrence o ON o.child_rev = u.rev
-), reason AS (
+_IMPACT = f"""{_REACH}, {_HOLDERS}, reason AS (
   SELECT a.part_id AS source_part, s.team_id, 1 AS route, 'follows ' || p.part_number || ' (' || COALESCE(s.interface_name, 'whole contract') || ')' AS reason,
          CAST(NULL AS VARCHAR) AS part_number
   FROM {_ASK} a JOIN fx_subscription s ON s.part_id = a.part_id JOIN fx_part p ON p.part_id = a.part_id
   WHERE a.interface_name IS NULL OR s.interface_name IS NULL OR a.interface_name = s.interface_name
-  UNION SELECT u.src, w.team_id, 2, 'is responsible for ' || w.part_number || ', which holds ' || p.part_number, w.part_number
-  FROM up u JOIN down d ON d.rev = u.rev JOIN fx_revision r ON r.revision_id = u.rev JOIN fx_part w ON w.part_id = r.part_id JOIN fx_part p ON p.part_id = u.src
-  WHERE u.depth > 0
+  UNION SELECT q.part_id, w.team_id, 2, 'is responsible for ' || w.part_number || ', which holds ' || p.part_number, w.part_number
+  FROM fx_proposal q JOIN users ON source_part = q.part_id JOIN inside ON rev = users.revision_id JOIN fx_revision r ON r.revision_id = rev
+  JOIN fx_part w ON w.part_id = r.part_id JOIN fx_part p ON p.part_id = q.part_id
   UNION SELECT a.part_id, w.team_id, 3, 'meets it in chain ''' || c.name || ''' via ' || w.part_number, w.part_number
   FROM fx_proposal a JOIN fx_dimension d ON d.part_id = a.part_id JOIN fx_chain c ON c.chain_id = d.chain_id JOIN fx_dimension e ON e.chain_id = c.chain_id
   JOIN fx_part w ON w.part_id = e.part_id

@@ -11,8 +11,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.ranking import rank_within
-from ..session import cut
+from partloom.functions.ranking import rank_within
+from partloom.session import cut
 
 _BOX_CORNERS = "array(struct(0,0,0), struct(1,0,0), struct(1,1,0), struct(0,1,0), " \
                "struct(0,0,1), struct(1,0,1), struct(1,1,1), struct(0,1,1))"
@@ -269,5 +269,5 @@ class Fixtures:
     @cached_property
     def live(self) -> DataFrame:
         """Revisions of the live configuration (below the product root)."""
-        from ..operators import graph
+        from partloom.operators import graph
         return cut(graph.reachable(self.top_root, self.occurrence))

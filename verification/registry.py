@@ -8,7 +8,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from partloom.sources.fixtures import Fixtures
+from .fixtures import Fixtures
 
 from .extra_views import VIEWS
 from .fixture_sql import with_views
