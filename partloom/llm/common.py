@@ -74,17 +74,24 @@ def label_sample(documents: DataFrame, labels: DataFrame, label: str, mod: int,
     return cut(joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")))
 
 
+def spread_join(rows: DataFrame, single: DataFrame, key: str, pieces: int = 16) -> DataFrame:
+    """``rows`` joined with a table that has one row per ``key``. A hot key's rows are dealt to
+    ``pieces`` tasks by a hash of the whole row, and the table's row goes to each of them."""
+    dealt = rows.withColumn("_piece", F.pmod(F.xxhash64(*rows.columns), F.lit(pieces)).cast("int"))
+    return dealt.join(single.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))), [key, "_piece"]).drop("_piece")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the undirected ``edges``: the least node that is
     reachable. Large-star and small-star rounds; each round is written, so a lost executor
     costs one round, and no neighbourhood is ever gathered: a node's edges meet only in a
-    minimum, which is combined before the shuffle."""
+    minimum, which is combined before the shuffle and dealt back to pieces of them."""
     links = cut(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).distinct())
     while True:
         # large star: every larger neighbour of a node points at the least of its neighbourhood
         both = links.select(F.col("v").alias("n"), F.col("u").alias("m")).unionByName(links.select(F.col("u").alias("n"), F.col("v").alias("m")))
         least = both.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("low"))
-        large = cut(both.filter("m > n").join(least, "n").select(F.col("m").alias("v"), F.col("low").alias("u")).distinct())
+        large = cut(spread_join(both.filter("m > n"), least, "n").select(F.col("m").alias("v"), F.col("low").alias("u")).distinct())
         # small star: a node and its smaller neighbours point at the least of them
         low = large.groupBy("v").agg(F.min("u").alias("low"))
         small = large.join(low, "v")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from partloom.session import cut
 
-from .common import blocks as dealt, components, groups, roots, small_batches
+from .common import blocks as dealt, components, groups, roots, small_batches, spread_join
 
 CODE = 64  # codewords of a part: CODE^2 filters
 CAP = 2.55  # threshold in standard deviations of a random direction's inner product
@@ -146,10 +146,12 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.98) -> DataFrame:
     found = cut(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(least, stored), "key string, root string, links long"))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    named = classes.select("key", "low", "n").join(links, "key", "left").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn(
-        "component", F.coalesce("component", "key"))
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    done = named.join(lowest, "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    named = cut(classes.select("key", "low", "n").join(links, "key", "left").join(comps.withColumnRenamed("node", "key"), "key", "left"))
+    several = named.filter("component IS NOT NULL")
+    lowest = several.groupBy("component").agg(F.min("low").alias("component_id"))
+    done = named.filter("component IS NULL").withColumn("component_id", F.col("low")).unionByName(
+        spread_join(several, lowest, "component"), allowMissingColumns=True)
+    done = done.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     out = rows.join(done, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from partloom.session import cut
 
-from .common import blocks as dealt, components, groups, roots, small_batches, text_column
+from .common import blocks as dealt, components, groups, roots, small_batches, spread_join, text_column
 
 BITS = 64
 WORDS = 4
@@ -166,9 +166,11 @@ def grouped(rows: DataFrame, most: int = 4, blocks: int = 4) -> DataFrame:
     has none; where ids are repeated, several components may have the same."""
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
     found = components(linked(classes, most, blocks))
-    named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    return named.join(least, "component").select("fp", "component", "component_id")
+    named = cut(classes.join(found.withColumnRenamed("node", "fp"), "fp", "left"))
+    alone, several = named.filter("component IS NULL"), named.filter("component IS NOT NULL")
+    least = several.groupBy("component").agg(F.min("low").alias("component_id"))
+    return alone.select("fp", F.col("fp").alias("component"), F.col("low").alias("component_id")).unionByName(
+        spread_join(several, least, "component").select("fp", "component", "component_id"))
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, most: int = 4, blocks: int = 4) -> DataFrame:
