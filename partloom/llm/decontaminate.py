@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import by_bytes, text_column
 
 Q = 10
-WINDOW = 72
-STEP = 24
-RATE = 5 / 72  # edits a character
+WINDOW = 48
+STEP = 16
+RATE = 3 / 48  # edits a character
 BAND = 16
 BLOCK = 2_000_000  # characters of the benchmark in one index
 _FILTER = 22
