@@ -223,7 +223,7 @@ def _(fx):
   SELECT h.query_id, h.part_number, h.revision_id, sqrt(POWER((a.char_length - b.char_length) / GREATEST(a.char_length, b.char_length), 2) + POWER(a.sphericity - b.sphericity, 2)
          + POWER(a.j1 - b.j1, 2) + POWER(a.j2 - b.j2, 2) + POWER(a.j3 - b.j3, 2)) AS dist
   FROM hit h JOIN fx_part q ON q.part_id = h.query_id JOIN fx_invariant a ON a.fingerprint = q.fingerprint JOIN fx_invariant b ON b.fingerprint = h.fingerprint)
-SELECT query_id, rn AS rank, {grid_sql('dist')} AS shape_distance FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY dist, part_number, revision_id) AS rn FROM d) t WHERE rn <= 20""")
+SELECT query_id, rn AS rank, {grid_sql('dist')} AS shape_distance FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY dist, part_number, revision_id) AS rn FROM d) t""")
 def _(fx):
     like = fx.proposal.select(F.col("part_id").alias("query_id"), "part_id").join(fx.part.select("part_id", "fingerprint"), "part_id").select(
         "query_id", F.col("fingerprint").alias("like_fingerprint"))
