@@ -59,7 +59,7 @@ def test_gaps_are_named_one_by_one(spark):
             ("c", "declared", 1, 0, "f", 1.0, "draft"), ("c", "declared", 1, 1, None, None, "released")]
     got = [r.g for r in spark.createDataFrame(rows, cols).select(lookup.gaps().alias("g")).collect()]
     assert [len(g) for g in got] == [1, 1, 1, 1, 0]
-    assert [k in g[0] for k, g in zip(("no contract", "not reviewed", "density", "draft"), got)] == [True] * 4
+    assert [k in g[0] for k, g in zip(("lacks a contract", "awaits review", "density", "draft"), got)] == [True] * 4
 
 
 def test_rules_take_the_first_match(spark):
