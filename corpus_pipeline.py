@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from partloom.llm import decontaminate, mixing, secrets, simhash, toxicity
+from partloom.llm import copies, decontaminate, mixing, secrets, toxicity
 from partloom.llm.common import table
 from partloom.session import cut
 
@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, by the parameters of the registered near-duplicate query."""
-    return simhash.deduplicated(docs)
+    """One document of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return copies.deduplicated(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

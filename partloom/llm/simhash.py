@@ -166,7 +166,11 @@ def grouped(rows: DataFrame, most: int = 4, blocks: int = 4) -> DataFrame:
     has none; where ids are repeated, several components may have the same."""
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
     found = components(linked(classes, most, blocks))
-    named = cut(classes.join(found.withColumnRenamed("node", "fp"), "fp", "left"))
+    return named_components(cut(classes.join(found.withColumnRenamed("node", "fp"), "fp", "left")))
+
+
+def named_components(named: DataFrame) -> DataFrame:
+    """(fp, component, component_id) of (fp, low, component); without component a fingerprint is alone."""
     alone, several = named.filter("component IS NULL"), named.filter("component IS NOT NULL")
     least = several.groupBy("component").agg(F.min("low").alias("component_id"))
     return alone.select("fp", F.col("fp").alias("component"), F.col("low").alias("component_id")).unionByName(
@@ -195,7 +199,12 @@ def deduplicated(documents: DataFrame, words: int = WORDS, most: int = 4, blocks
     small_batches(spark)
     mark = fingerprint_column(spark, words)
     rows = cut(documents.select("doc_id", mark("text")["fp"].alias("fp")))
-    of = rows.join(grouped(rows, most, blocks), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return kept(documents, rows, grouped(rows, most, blocks), mark)
+
+
+def kept(documents: DataFrame, rows: DataFrame, found: DataFrame, mark) -> DataFrame:
+    """The rows of ``documents`` that stay by the components ``found`` of ``rows`` (doc_id, fp)."""
+    of = rows.join(found, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = of.groupBy("component", "doc_id").agg(F.min("fp").alias("_first"))
     # an id that only one row has names the row; other rows are named by id and fingerprint
     times = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
