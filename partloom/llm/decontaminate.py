@@ -30,6 +30,7 @@ RATE = 3 / 48  # edits a character
 BAND = 16
 BLOCK = 2_000_000  # characters of the benchmark in one index
 _FILTER = 22
+_NEVER = 1 << 20  # edits * 256 of what can't be
 _PRIME = 0x9E3779B97F4A7C15
 
 
@@ -141,31 +142,38 @@ def index(items: list[tuple[int, str]]) -> Index:
                  np.append(first, len(flat)).astype(np.int64), join(window), join(place))
 
 
-def _align(text: np.ndarray, begin: np.ndarray, ix: Index, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least edits between each window ``w`` and any stretch of ``text`` on the diagonals from
-    ``begin`` to ``begin`` + BAND + 3 budgets, and that stretch. All pairs go through the
-    table of the window's characters together; a cell holds edits * 256 + start."""
+def _align(text: np.ndarray, begin: np.ndarray, ix: Index, w: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, edits, start, end): least edits between each window ``w`` and any stretch of ``text`` on the
+    diagonals from ``begin`` to ``begin`` + BAND + 3 budgets, and that stretch, once for each text that
+    ``owner`` numbers, if the window's budget allows it. No stretch reaches across U+0001. All pairs go
+    through the table of the window's characters together; a cell holds edits * 256 + start."""
     reach = int(ix.edits.max())
     width = BAND + 3 * reach + 1
     lanes = np.arange(width)
     begin = begin - reach
     cost = np.broadcast_to(lanes, (len(w), width)).astype(np.int32)
-    end_cost = cost.copy()
     for i in range(int(ix.size[w].max())):
         where = begin[:, None] + i + lanes
         inside = (where >= 0) & (where < len(text))
-        letter = np.where(inside, text[np.clip(where, 0, len(text) - 1)], 0)
-        step = cost + 256 * ((letter != ix.chars[w, i][:, None]) | ~inside)
-        skip = np.full_like(cost, 1 << 20)
+        letter = np.where(inside, text[np.clip(where, 0, len(text) - 1)], 1)
+        wall = letter == 1
+        step = np.where(wall, _NEVER, cost + 256 * (letter != ix.chars[w, i][:, None]))
+        skip = np.full_like(cost, _NEVER)
         skip[:, :-1] = cost[:, 1:] + 256  # a character of the window is missing in the text
         step = np.minimum(step, skip)
-        step = np.minimum.accumulate(step - 256 * lanes, axis=1) + 256 * lanes  # characters of the text too many
-        live = (i < ix.size[w])[:, None]
-        cost = np.where(live, step, cost)
-        end_cost = cost
-    best = end_cost.argmin(1)
-    value = end_cost[np.arange(len(w)), best]
-    return value >> 8, begin + (value & 255), begin + ix.size[w] + best
+        # characters of the text too many: each stretch of lanes behind a wall lies lower than all before it
+        slope = 256 * lanes + 4 * _NEVER * np.cumsum(wall, axis=1)
+        step = np.minimum.accumulate(step - slope, axis=1) + slope
+        cost = np.where((i < ix.size[w])[:, None], step, cost).astype(np.int32)
+    pair, lane = np.nonzero(cost >> 8 <= ix.edits[w][:, None])
+    value = cost[pair, lane]
+    end = begin[pair] + ix.size[w[pair]] + lane
+    of = owner[end - 1]
+    order = np.lexsort((lane, value, of, pair))
+    pair, value, end, of = pair[order], value[order], end[order], of[order]
+    best = np.concatenate([[True], (pair[1:] != pair[:-1]) | (of[1:] != of[:-1])])[:len(pair)]
+    pair, value, end = pair[best], value[best], end[best]
+    return pair, value >> 8, begin[pair] + (value & 255), end
 
 
 def search(texts: list[str], ix: Index, seen: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
@@ -203,13 +211,13 @@ def search(texts: list[str], ix: Index, seen: np.ndarray) -> list[list[tuple[int
         key, count = np.unique(key, return_counts=True)
         key = key[count >= ix.shared[key >> 40]]
         starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])])
+        owner = np.cumsum(c == 1)
         for a in range(0, len(key), 4096):
             w = key[a:a + 4096] >> 40
-            edits, s, e = _align(c, (key[a:a + 4096] & ((1 << 40) - 1)) * BAND - WINDOW, ix, w)
-            for k in np.flatnonzero(edits <= ix.edits[w]):
-                s0, e0 = place[max(s[k], 0)], place[min(e[k], len(place)) - 1] + 1
+            for k, edits, s, e in zip(*_align(c, (key[a:a + 4096] & ((1 << 40) - 1)) * BAND - WINDOW, ix, w, owner)):
+                s0, e0 = place[s], place[e - 1] + 1
                 doc = int(np.searchsorted(starts, s0, side="right")) - 1
-                out[lo + doc].append((int(ix.item[w[k]]), int(s0 - starts[doc]), int(min(e0, starts[doc + 1] - 1) - starts[doc]), int(edits[k])))
+                out[lo + doc].append((int(ix.item[w[k]]), int(s0 - starts[doc]), int(e0 - starts[doc]), int(edits)))
     return [sorted(set(x)) for x in out]
 
 
