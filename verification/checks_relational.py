@@ -472,15 +472,23 @@ def _(fx):
     return fx.interface.select("interface_id", fits.diameter(F.lower("fastener")).alias("diameter"))
 
 
-@query("f06_significant_digits", """
-SELECT l_orderkey, l_linenumber, l_extendedprice, CASE WHEN l_extendedprice = 0 THEN 0 ELSE CAST(FLOOR(l_extendedprice / POWER(10, FLOOR(log10(l_extendedprice)) - 2) + 0.5) AS BIGINT) END AS lead
-FROM lineitem WHERE ABS(l_extendedprice / POWER(10, FLOOR(log10(l_extendedprice)) - 2) - FLOOR(l_extendedprice / POWER(10, FLOOR(log10(l_extendedprice)) - 2)) - 0.5) > 1e-6""")
+def _lead_sql(digits: int) -> str:
+    y = f"(l_extendedprice * POWER(10, {digits - 1} - FLOOR(LOG10(l_extendedprice))))"
+    part = f"({y} - FLOOR({y}))"
+    return f"""CASE WHEN l_extendedprice = 0 THEN 0 ELSE CAST(FLOOR({y}) + CASE WHEN {part} > 0.5 THEN 1 WHEN {part} = 0.5 THEN FLOOR({y}) % 2 ELSE 0 END AS BIGINT) END"""
+
+
+@query("f06_significant_digits", f"""
+SELECT l_orderkey, l_linenumber, l_extendedprice, {_lead_sql(9)} AS lead, {_lead_sql(3)} AS lead3 FROM lineitem""")
 def _(fx):
     x = F.col("l_extendedprice")
-    unit = F.pow(F.lit(10.0), F.floor(F.log10(x)) - 2)
-    tie = F.abs(x / unit - F.floor(x / unit) - 0.5) > 1e-6
-    return fx.raw("lineitem").filter(tie).select("l_orderkey", "l_linenumber", "l_extendedprice",
-                                                 F.round(digest.significant(x, 3) / unit).cast("bigint").alias("lead"))
+
+    def lead(rounded, digits):
+        whole = F.round(rounded * F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(x)))).cast("bigint")
+        return F.when(x == 0, F.lit(0).cast("bigint")).otherwise(whole)
+
+    return fx.raw("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", lead(digest.significant(x), 9).alias("lead"),
+                                     lead(digest.significant(x, 3), 3).alias("lead3"))
 
 
 @query("f18_member_terms", f"SELECT chain_id, seq, {grid_sql('(tol_plus + tol_minus) / 2')} AS half, {grid_sql('(tol_plus - tol_minus) / 2')} AS bias, {grid_sql(_SIGMA)} AS sigma FROM fx_dimension")
