@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, language, licenses, mixing, quality, secrets, simhash, tokens, toxicity
+from . import decontaminate, embeddings, language, licenses, mixing, nearest, prefix_trie, quality, secrets, simhash, spelling, tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,18 @@ def op9(spark, sf_dir):
 @query("op10_token_counts")
 def op10(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op11_spelling_variants", spelling.ORACLE)
+def op11(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie", prefix_trie.ORACLE)
+def op12(spark, sf_dir):
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_nearest_neighbours")
+def op13(spark, sf_dir):
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
