@@ -1,13 +1,14 @@
 """Near copies: five-word shingle sets with a Jaccard similarity of ``LEAST`` or more.
 
-A set's SimHash has 256 bits: at similarity 0.8 two of them differ in about 15 of 100 bits, so
-some of the sixteen 16-bit blocks differs in at most one bit for 99.5 % of such pairs, and
-for more of closer ones. The blocks are searched by the vantage-point trees of ``simhash``.
-What meets there and differs in at most ``MOST`` of the first 128 bits is a candidate; a
-candidate becomes a link only by the exact similarity of the two sets.
-
-Of a dense group not all pairs are compared: first each set and the nearest set before
-it, then all candidates that these links have left in different groups.
+A set's SimHash has 128 bits: at similarity 0.8 two of them differ in about 15 of 100 bits, so
+some of ten 12-bit blocks differs in at most one bit for 99.7 % of such pairs, and for more of
+closer ones. The blocks are searched by the vantage-point trees of ``simhash``. What meets there, differs in at
+most ``MOST`` bits and is similar in size is a candidate. Sets of up to ``FEW`` shingles are found exactly: of
+two similar ones some shingle is among the first fifth of both, in the order of their hashes.
+
+Candidates are never listed as pairs. A shard names its members that have any candidate, their sets
+travel to it, and there all its candidates are counted out at once, each pair in one shard only.
+What leaves a shard are links, one a member, of sets that are similar enough.
 """
 
 from __future__ import annotations
@@ -23,16 +24,17 @@ from pyspark.sql import DataFrame, functions as F
 from partloom.session import cut
 
 from . import simhash
-from .common import blocks as dealt, components, groups, small_batches, spread_join, text_column
+from .common import blocks as dealt, components, groups, roots, small_batches, text_column
 
 WORDS = 5
 LEAST = (4, 5)  # the similarity as a fraction, so that it is compared in whole numbers
-BLOCKS, WIDTH = 16, 16
+BLOCKS, WIDTH, LEAF = 10, 12, 16
 MOST = 36  # of 128 bits
-LEAF = 64  # values of a block in a leaf: larger ones are visited by fewer
-SHARE = 64
+FEW = 32
+SHARD = 1000  # sets of a shard that one task compares at once
+BYTES = 6  # of a shingle's hash that travel
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(WORDS)]
-_SALT = [np.uint64(x) for x in (0, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9)]
+_SALT = [np.uint64(x) for x in (0, 0xD1B54A32D192ED03)]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -42,7 +44,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str) -> np.ndarray:
-    """Sorted distinct 64-bit values of the five-word shingles, A-Z lower-cased; fewer words are one
+    """Sorted distinct 48-bit values of the five-word shingles, A-Z lower-cased; fewer words are one
     shingle, no words none."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
@@ -52,147 +54,197 @@ def shingles(text: str) -> np.ndarray:
     total = np.full(n, size, np.uint64)
     for k in range(size):
         total += _mixed(h[k:k + n]) * _P[k]
-    return np.unique(_mixed(total))
+    return np.unique(_mixed(total) >> np.uint64(64 - 8 * BYTES))
+
+
+def packed(h: np.ndarray) -> bytes:
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    wide = np.zeros((len(b) // BYTES, 8), np.uint8)
+    wide[:, :BYTES] = np.frombuffer(b, np.uint8).reshape(-1, BYTES)
+    return wide.reshape(-1).view("<u8")
 
 
 def name_of(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes(), 42)
 
 
-def signature(h: np.ndarray) -> tuple[int, np.ndarray]:
-    """A set's name and its 256 bits as four words."""
-    counts = np.zeros(256, np.int64)
+def signature(h: np.ndarray) -> np.ndarray:
+    """A set's 128 bits as two words."""
+    counts = np.zeros(128, np.int64)
     for at in range(0, len(h), 1 << 13):
         part = h[at:at + (1 << 13)]
-        words = np.stack([_mixed(part + s) for s in _SALT], axis=1)
-        counts += np.unpackbits(words.view(np.uint8).reshape(-1, 32), axis=1, bitorder="little").sum(0, dtype=np.uint32)
-    return name_of(h), np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)
+        words = np.stack([_mixed(_mixed(part + s)) for s in _SALT], axis=1)
+        counts += np.unpackbits(words.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)
 
 
-_BITS = [f"f{k}" for k in range(4)]
+def first_fifth(h: np.ndarray) -> np.ndarray:
+    """Shingles of which any similar set of at most a quarter more has one among its own."""
+    return h[:len(h) - -(-len(h) * LEAST[0] // LEAST[1]) + 1] if 0 < len(h) <= FEW * LEAST[1] // LEAST[0] else h[:0]
+
+
+_MARK = "fp long, f0 long, f1 long, n int, few binary"
 
 
 def signature_column(spark):
-    """text -> struct<fp, f0 .. f3>: the name of the text's shingle set and its bits."""
+    """text -> struct<fp, f0, f1, n, few>: name, bits and size of the text's shingle set, and its ``first_fifth``."""
     def run(texts: list[str]) -> dict[str, list]:
-        found = [signature(shingles(t)) for t in texts]
-        bits = np.stack([b for _, b in found]).view(np.int64) if found else np.zeros((0, 4), np.int64)
-        return {"fp": np.array([n for n, _ in found], np.uint64).view(np.int64)} | {c: bits[:, k] for k, c in enumerate(_BITS)}
+        sets = [shingles(t) for t in texts]
+        bits = np.stack([signature(h) for h in sets]).view(np.int64) if sets else np.zeros((0, 2), np.int64)
+        return {"fp": np.array([name_of(h) for h in sets], np.uint64).view(np.int64), "f0": bits[:, 0], "f1": bits[:, 1],
+                "n": [len(h) for h in sets], "few": [packed(first_fifth(h)) for h in sets]}
 
-    return text_column(run, [(c, pa.int64()) for c in ("fp", *_BITS)], spark, ", ".join(f"{c} long" for c in ("fp", *_BITS)))
+    return text_column(run, [("fp", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()), ("n", pa.int32()), ("few", pa.binary())], spark, _MARK)
+
+
+def set_column(spark):
+    """text -> struct<fp, h>: name and shingles of the text's set."""
+    def run(texts: list[str]) -> dict[str, list]:
+        sets = [shingles(t) for t in texts]
+        return {"fp": np.array([name_of(h) for h in sets], np.uint64).view(np.int64), "h": [packed(h) for h in sets]}
+
+    return text_column(run, [("fp", pa.int64()), ("h", pa.binary())], spark, "fp long, h binary")
+
+
+_ROW = "shard long, resident byte, fp long, f0 long, f1 long, n int"
+_TASK = ["shard", "b0", "b1"]
 
 
 def _shards(sets: DataFrame) -> DataFrame:
-    """Each set once in its own leaf of every block, and once in every later leaf within reach."""
+    """Each set once in its own leaf of every block and once in every later leaf within reach; a small
+    one in the shards of its first shingles, whose numbers are negative."""
     plan = simhash.tree(WIDTH, 1, LEAF)
 
+    def rows(own: dict, shard, of, resident) -> pd.DataFrame:
+        return pd.DataFrame({"shard": shard, "resident": resident.astype(np.int8), **{c: x[of] for c, x in own.items()}})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = {c: b[c].to_numpy(np.int64) for c in ("fp", "f0", "f1", "root")}
+            own = {c: b[c].to_numpy() for c in ("fp", "f0", "f1", "n")}
+            large = np.flatnonzero(own["n"] > FEW)
             for k in range(BLOCKS):
-                word = b[f"f{k // 4}"].to_numpy(np.int64).view(np.uint64)
-                value = ((word >> np.uint64(k % 4 * WIDTH)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
+                value = _block(own["f0"][large].view(np.uint64), own["f1"][large].view(np.uint64), k).astype(np.int64)
                 n = plan.first[value + 1] - plan.first[value]
                 places = np.repeat(plan.first[value] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                shard = np.concatenate([plan.home[value], plan.visits[places]]) + k * plan.leaves
-                yield pd.DataFrame({"shard": shard.astype(np.int32), "resident": np.repeat([1, 0], [len(b), n.sum()]).astype(np.int8),
-                                    **{c: np.concatenate([x, np.repeat(x, n)]) for c, x in own.items()}})
-
-    rows = sets.mapInPandas(run, "shard int, resident byte, fp long, f0 long, f1 long, root long")
-    keys = ["shard", "b0", "b1"]
-    return dealt(rows, ["shard"], F.xxhash64("fp"), simhash.SHARD).repartition(*keys).sortWithinPartitions(*keys)
-
-
-def _candidates(every: bool):
-    """Rows (a, b, far), a > b, of sets that may be near copies. ``every``: all pairs of different roots.
-    Otherwise each set that has any with the nearest of lower name, and (a, a) for each set that has any."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ["shard", "b0", "b1"]):
-            name, f0, f1, root = g["fp"], g["f0"].view(np.uint64), g["f1"].view(np.uint64), g["root"]
-            same = g["b0"][0] == g["b1"][0]
-            left = np.flatnonzero(g["resident"] == 1) if same else np.flatnonzero(g["side"] == 0)
-            right = np.arange(len(name)) if same else np.flatnonzero(g["side"] == 1)
-            found = []
-            for at in range(0, len(left), 256):
-                own = left[at:at + 256]
-                far = np.bitwise_count(f0[own][:, None] ^ f0[right][None, :])
-                i, j = np.nonzero(far <= MOST)
-                far = far[i, j] + np.bitwise_count(f1[own[i]] ^ f1[right[j]])
-                i, j = own[i], right[j]
-                keep = (far <= MOST) & ((root[i] != root[j]) if every else (name[i] != name[j]))
-                i, j, far = i[keep], j[keep], far[keep].astype(np.int32)
-                if not len(i):
-                    continue
-                a, b = np.maximum(name[i], name[j]), np.minimum(name[i], name[j])
-                if every:
-                    found.append((a, b, far))
-                    continue
-                order = np.lexsort((b, far, a))
-                a, b, far = a[order], b[order], far[order]
-                first = np.concatenate([[True], a[1:] != a[:-1]])
-                found.append((a[first], b[first], far[first]))
-                of = np.unique(np.concatenate([a, b]))
-                found.append((of, of, np.zeros(len(of), np.int32)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b", "far"])
-
-    return run
-
-
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) whose sets are similar enough."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both * LEAST[1] >= (len(x) + len(y) - both) * LEAST[0])
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def with_set(rows: DataFrame, key: str, name: str) -> DataFrame:
-        # a set goes to one task for every ``SHARE`` of its pairs: only hubs travel more than once
-        n = pairs.groupBy(key).agg(F.ceil(F.count("*") / SHARE).cast("int").alias("_n"))
-        single = sets.select(F.col("fp").alias(key), F.col("h").alias(name)).join(n, key).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-        return spread_join(rows, n, key).withColumn("_piece", F.pmod(F.xxhash64("a", "b"), "_n").cast("int")).drop("_n").join(single.drop("_n"), [key, "_piece"]).drop("_piece")
-
-    both = with_set(with_set(pairs.select("a", "b"), "a", "x"), "b", "y")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _sets(documents: DataFrame, classes: DataFrame, names: DataFrame) -> DataFrame:
-    """(fp, h): the shingle sets of ``names``, read once more from the texts of their least ids."""
-    def run(texts: list[str]) -> dict[str, list]:
-        found = [shingles(t) for t in texts]
-        return {"fp": np.array([name_of(h) for h in found], np.uint64).view(np.int64), "h": [h.tobytes() for h in found]}
-
-    made = text_column(run, [("fp", pa.int64()), ("h", pa.binary())], documents.sparkSession, "fp long, h binary")
-    wanted = cut(classes.join(names, "fp", "left_semi").select("fp", "low"))
-    ids = cut(wanted.select(F.col("low").alias("_low")).distinct())
-    # written, so that only texts of these ids are read by Python
-    texts = cut(documents.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_low")), "left_semi").select("text"))
-    return cut(texts.select(made("text").alias("_m")).select("_m.*").join(wanted.select("fp"), "fp", "left_semi")
-               .groupBy("fp").agg(F.min("h").alias("h")))
+                yield rows(own, np.concatenate([plan.home[value], plan.visits[places]]).astype(np.int64) + k * plan.leaves,
+                           np.concatenate([large, np.repeat(large, n)]), np.repeat([1, 0], [len(large), n.sum()]))
+            few = [unpacked(x) for x in b["few"]]
+            if any(map(len, few)):
+                shard = np.concatenate(few).view(np.int64) | np.int64(-1 << 63)
+                yield rows(own, shard, np.repeat(np.arange(len(few)), [len(x) for x in few]), np.ones(len(shard)))
+
+    return dealt(sets.mapInPandas(run, _ROW), ["shard"], F.xxhash64("fp"), SHARD).repartition(*_TASK).sortWithinPartitions(*_TASK)
+
+
+def _block(f0: np.ndarray, f1: np.ndarray, k: int) -> np.ndarray:
+    word, at = (f0, k) if k < BLOCKS // 2 else (f1, k - BLOCKS // 2)
+    return (word >> np.uint64(at * WIDTH)) & np.uint64((1 << WIDTH) - 1)
+
+
+def _candidates(g: dict, leaves: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of a group that may be similar and meet here for the first time."""
+    f0, f1, size, resident, name = g["f0"].view(np.uint64), g["f1"].view(np.uint64), g["n"].astype(np.int64), g["resident"] == 1, g["fp"]
+    shard = int(g["shard"][0])
+    same = g["b0"][0] == g["b1"][0]
+    left = np.arange(len(name)) if same else np.flatnonzero(g["side"] == 0)
+    right = left if same else np.flatnonzero(g["side"] == 1)
+    out_i, out_j = [], []
+    for at in range(0, len(left), 256):
+        own = left[at:at + 256]
+        if shard < 0:
+            i, j = np.nonzero(name[own][:, None] != name[right][None, :])
+        else:
+            i, j = np.nonzero(np.bitwise_count(f0[own][:, None] ^ f0[right][None, :]) <= MOST)
+        i, j = own[i], right[j]
+        keep = (np.minimum(size[i], size[j]) * LEAST[1] >= np.maximum(size[i], size[j]) * LEAST[0]) & (i < j if same else name[i] != name[j])
+        i, j = i[keep], j[keep]
+        if shard >= 0:
+            keep = (np.bitwise_count(f0[i] ^ f0[j]) + np.bitwise_count(f1[i] ^ f1[j]) <= MOST) & (resident[i] | resident[j]) & (name[i] != name[j])
+            i, j = i[keep], j[keep]
+            # in this block they are in reach, in none before it
+            for k in range(shard // leaves + 1):
+                near = np.bitwise_count(_block(f0[i], f1[i], k) ^ _block(f0[j], f1[j], k)) <= 1
+                i, j = (i[near], j[near]) if k == shard // leaves else (i[~near], j[~near])
+        out_i.append(i)
+        out_j.append(j)
+    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of a group that have any candidate there."""
+    leaves = simhash.tree(WIDTH, 1, LEAF).leaves
+    columns = [*_TASK, "side", "resident", "fp", "f0", "f1", "n"]
+    for g in groups(batches, _TASK):
+        if len(g["fp"]) > 1:
+            i, j = _candidates(g, leaves)
+            of = np.unique(np.concatenate([i, j]))
+            if len(of):
+                yield pa.RecordBatch.from_arrays([pa.array(g[c][of]) for c in columns], columns)
+
+
+def shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many values the sets of each pair share: one sort of all values, then bits of those that several have."""
+    out = np.zeros(len(i), np.int64)
+    value = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.zeros(0, bool)
+    column = np.cumsum(new) - 1
+    several = np.bincount(column, minlength=1) > 1
+    keep = several[column]
+    column, owner = (np.cumsum(several) - 1)[column[keep]], owner[keep]
+    total = int(column[-1]) + 1 if len(column) else 0
+    wide = 1 << 13
+    for at in range(0, total, wide):
+        lo, hi = np.searchsorted(column, [at, at + wide])
+        bits = np.zeros((len(sets), min(wide, total - at)), bool)
+        bits[owner[lo:hi], column[lo:hi] - at] = True
+        words = np.packbits(bits, axis=1)
+        words = np.pad(words, ((0, 0), (0, -words.shape[1] % 8))).view(np.uint64)
+        step = max((1 << 21) // words.shape[1], 1)
+        for p in range(0, len(i), step):
+            out[p:p + step] += np.bitwise_count(words[i[p:p + step]] & words[j[p:p + step]]).sum(1, dtype=np.int64)
+    return out
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) whose closure is that of all pairs of a group that are similar enough."""
+    leaves = simhash.tree(WIDTH, 1, LEAF).leaves
+    for g in groups(batches, _TASK):
+        i, j = _candidates(g, leaves)
+        if not len(i):
+            continue
+        both = shared([unpacked(h) for h in g["h"]], i, j)
+        n = g["n"].astype(np.int64)
+        near = both * LEAST[1] >= (n[i] + n[j] - both) * LEAST[0]
+        root = roots(len(n), i[near], j[near])
+        out = np.flatnonzero(root != np.arange(len(n)))
+        if len(out):
+            yield pa.RecordBatch.from_arrays([pa.array(g["fp"][out]), pa.array(g["fp"][root[out]])], ["a", "b"])
+
+
+def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links of the distinct sets ``classes`` (fp, low, f0, f1, n, few), found in shards."""
+    members = cut(_shards(classes).mapInArrow(_members, "shard long, b0 int, b1 int, side int, resident byte, fp long, f0 long, f1 long, n int"))
+    names = cut(members.select("fp").distinct())
+    ids = classes.join(names, "fp", "left_semi").select(F.col("low").alias("_low")).distinct()
+    texts = documents.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_low")), "left_semi").select("text")
+    made = set_column(documents.sparkSession)
+    # the texts are joined before Python reads any
+    sets = cut(cut(texts).select(made("text").alias("_m")).select("_m.*").join(names, "fp", "left_semi").groupBy("fp").agg(F.min("h").alias("h")))
+    return members.join(sets, "fp").repartition(*_TASK).sortWithinPartitions(*_TASK).mapInArrow(_links, "a long, b long")
 
 
 def grouped(documents: DataFrame, rows: DataFrame) -> DataFrame:
-    """(fp, component, component_id) for each distinct set of ``rows`` (doc_id, fp, f0 .. f3), as in
+    """(fp, component, component_id) for each distinct set of ``rows`` (doc_id, fp, f0, f1, n, few), as in
     ``simhash.grouped``."""
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), *[F.min(c).alias(c) for c in _BITS]))
-    met = cut(_shards(classes.withColumn("root", F.col("fp"))).mapInArrow(_candidates(False), "a long, b long, far int"))
-    near = cut(met.filter("a <> b").groupBy("a").agg(F.min(F.struct("far", "b"))["b"].alias("b")))
-    names = cut(met.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
-    sets = _sets(documents, classes, names)
-    links = cut(_links(near, sets))
-    of = cut(components(links)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    more = classes.join(names, "fp", "left_semi").join(of, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    left = cut(_shards(more).mapInArrow(_candidates(True), "a long, b long, far int").select("a", "b").distinct()
-               .join(near, ["a", "b"], "left_anti"))
-    if not left.isEmpty():
-        links = cut(links.unionByName(_links(left, sets)))
-    found = components(links)
-    named = cut(classes.select("fp", "low").join(found.withColumnRenamed("node", "fp"), "fp", "left"))
-    return simhash.named_components(named)
+    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), *[F.min(c).alias(c) for c in ("f0", "f1", "n", "few")]))
+    found = components(links(documents, classes))
+    return simhash.named_components(cut(classes.select("fp", "low").join(found.withColumnRenamed("node", "fp"), "fp", "left")))
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:

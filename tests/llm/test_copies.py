@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from partloom.llm import simhash
+from partloom.llm import copies
 from tests.llm.test_groups import closure
 
 
@@ -20,7 +21,7 @@ def similarity(a, b):
 
 @pytest.mark.parametrize("shard", [4000, 9])
 def test_near_copies_equal_brute_force(spark, documents, prose, monkeypatch, shard):
-    monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(copies, "SHARD", shard)
     draw, texts = random.Random(17), []
     for k in range(40):
         base = prose(120 + 10 * k, 900 + k).split()
@@ -45,3 +46,43 @@ def test_odd_rows_keep_one_of_a_group(spark, documents, odd):
     assert got.columns == docs.columns
     assert sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 1, 4, 5, 6, 7, 8, 70, 73]
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_shared_counts_equal_brute_force():
+    draw = np.random.default_rng(4)
+    sets = [np.unique(draw.integers(0, 40_000, draw.integers(0, 30_000))).astype(np.uint64) for _ in range(12)]
+    i, j = np.triu_indices(12, 1)
+    assert copies.shared(sets, i, j).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]
+    assert copies.unpacked(copies.packed(sets[3])).tolist() == sets[3].tolist()
+
+
+def test_dense_family_below_the_threshold_stays_and_no_pair_row_is_made(spark, documents, prose):
+    draw, base = random.Random(2), prose(300, 77).split()
+    texts = []
+    for k in range(150):
+        copy = list(base)
+        for at in draw.sample(range(300), 6):  # any two differ in some 12 places: a similarity of about 0.65
+            copy[at] = f"own{k}x{at}"
+        texts.append(" ".join(copy))
+    sets = [shingle_set(t) for t in texts]
+    some = [similarity(sets[i], sets[j]) for i in range(0, 150, 7) for j in range(i)]
+    assert 0.55 < sum(some) / len(some) < 0.75 and max(some) < 0.8
+    docs = documents(list(enumerate(texts)))
+    mark = copies.signature_column(spark)
+    rows = docs.select("doc_id", mark("text").alias("_m")).select("doc_id", "_m.*").withColumnRenamed("doc_id", "low")
+    met = copies._shards(rows).mapInArrow(copies._members, "shard long, b0 int, b1 int, side int, resident byte, fp long, f0 long, f1 long, n int").count()
+    plan = copies.simhash.tree(copies.WIDTH, 1, copies.LEAF)
+    assert 150 < met <= 150 * copies.BLOCKS * (1 + int(np.diff(plan.first).max()))  # grows with the texts, not with their pairs
+    assert copies.links(docs, rows).count() == 0
+    assert copies.deduplicated(docs).count() == 150
+
+
+def test_small_sets_are_found_exactly(spark, documents):
+    draw, texts = random.Random(8), []
+    for k in range(60):
+        words = [f"w{draw.randrange(10 ** 6)}" for _ in range(draw.randint(8, 44))]
+        texts += [" ".join(words), " ".join([*words, "more"]), " ".join([*words, "two", "more"]), " ".join(words[1:]), " ".join([*words[:-1], "other"])]
+    sets = [shingle_set(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] & sets[j] and similarity(sets[i], sets[j]) >= 0.8]
+    got = sorted(r["doc_id"] for r in copies.deduplicated(documents(list(enumerate(texts)))).collect())
+    assert got == sorted(set(closure(len(sets), links)))
