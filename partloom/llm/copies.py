@@ -6,8 +6,9 @@ closer ones. The blocks are searched by the vantage-point trees of ``simhash``.
 most ``MOST`` bits and is similar in size is a candidate. Sets of up to ``FEW`` shingles are found exactly: of
 two similar ones some shingle is among the first fifth of both, in the order of their hashes.
 
-Candidates are never listed as pairs. A shard names its members that have any candidate, their sets
-travel to it, and there all its candidates are counted out at once, each pair in one shard only.
+Candidates are never listed as pairs. Bits go to the shards, once for all sets that have the same; a shard names
+its members that have any candidate, their sets travel to it, and there all its candidates are
+counted out at once, each pair in one shard only.
 What leaves a shard are links, one a member, of sets that are similar enough.
 """
 
@@ -28,10 +29,11 @@ from .common import blocks as dealt, components, groups, roots, small_batches, t
 
 WORDS = 5
 LEAST = (4, 5)  # the similarity as a fraction, so that it is compared in whole numbers
-BLOCKS, WIDTH, LEAF = 10, 12, 16
+BLOCKS, WIDTH, LEAF = 10, 12, 2
 MOST = 36  # of 128 bits
 FEW = 32
-SHARD = 1000  # sets of a shard that one task compares at once
+SHARD = 16_000  # marks of a shard that one task compares at once
+PIECE = 1000  # sets of a shard that one task counts out at once
 BYTES = 6  # of a shingle's hash that travel
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(WORDS)]
 _SALT = [np.uint64(x) for x in (0, 0xD1B54A32D192ED03)]
@@ -109,13 +111,16 @@ def set_column(spark):
     return text_column(run, [("fp", pa.int64()), ("h", pa.binary())], spark, "fp long, h binary")
 
 
-_ROW = "shard long, resident byte, fp long, f0 long, f1 long, n int"
-_TASK = ["shard", "b0", "b1"]
+_ROW = "shard long, resident byte, f0 long, f1 long"
+_DEALT = ["shard", "c0", "c1"]
+_MEMBER = "shard long, c0 int, c1 int, cside int, resident byte, f0 long, f1 long"
+_TASK = [*_DEALT, "b0", "b1"]
 
 
-def _shards(sets: DataFrame) -> DataFrame:
-    """Each set once in its own leaf of every block and once in every later leaf within reach; a small
-    one in the shards of its first shingles, whose numbers are negative."""
+def _shards(marks: DataFrame) -> DataFrame:
+    """Each of ``marks`` (f0, f1, large, several, few; distinct f0, f1) once in its own leaf of every block and once in every
+    later leaf within reach, if it stands for a large set; for small sets in the shards of their first shingles, whose numbers
+    are negative. ``resident`` is 0 for a visitor, 2 for what stands for several sets."""
     plan = simhash.tree(WIDTH, 1, LEAF)
 
     def rows(own: dict, shard, of, resident) -> pd.DataFrame:
@@ -123,20 +128,23 @@ def _shards(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = {c: b[c].to_numpy() for c in ("fp", "f0", "f1", "n")}
-            large = np.flatnonzero(own["n"] > FEW)
+            own = {c: b[c].to_numpy() for c in ("f0", "f1")}
+            weight = 1 + b["several"].to_numpy().astype(np.int8)
+            large = np.flatnonzero(b["large"].to_numpy())
             for k in range(BLOCKS):
                 value = _block(own["f0"][large].view(np.uint64), own["f1"][large].view(np.uint64), k).astype(np.int64)
                 n = plan.first[value + 1] - plan.first[value]
                 places = np.repeat(plan.first[value] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 yield rows(own, np.concatenate([plan.home[value], plan.visits[places]]).astype(np.int64) + k * plan.leaves,
-                           np.concatenate([large, np.repeat(large, n)]), np.repeat([1, 0], [len(large), n.sum()]))
-            few = [unpacked(x) for x in b["few"]]
+                           np.concatenate([large, np.repeat(large, n)]), np.concatenate([weight[large], np.zeros(n.sum(), np.int8)]))
+            few = [np.unique(np.concatenate([unpacked(x) for x in sets])) if len(sets) else np.zeros(0, np.uint64) for sets in b["few"]]
             if any(map(len, few)):
-                shard = np.concatenate(few).view(np.int64) | np.int64(-1 << 63)
-                yield rows(own, shard, np.repeat(np.arange(len(few)), [len(x) for x in few]), np.ones(len(shard)))
+                of = np.repeat(np.arange(len(few)), [len(x) for x in few])
+                yield rows(own, np.concatenate(few).view(np.int64) | np.int64(-1 << 63), of, weight[of])
 
-    return dealt(sets.mapInPandas(run, _ROW), ["shard"], F.xxhash64("fp"), SHARD).repartition(*_TASK).sortWithinPartitions(*_TASK)
+    placed = dealt(marks.mapInPandas(run, _ROW), ["shard"], F.xxhash64("f0", "f1"), SHARD)
+    placed = placed.withColumnsRenamed({"b0": "c0", "b1": "c1", "side": "cside"})
+    return placed.repartition(*_DEALT).sortWithinPartitions(*_DEALT)
 
 
 def _block(f0: np.ndarray, f1: np.ndarray, k: int) -> np.ndarray:
@@ -144,45 +152,48 @@ def _block(f0: np.ndarray, f1: np.ndarray, k: int) -> np.ndarray:
     return (word >> np.uint64(at * WIDTH)) & np.uint64((1 << WIDTH) - 1)
 
 
-def _candidates(g: dict, leaves: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of a group that may be similar and meet here for the first time."""
-    f0, f1, size, resident, name = g["f0"].view(np.uint64), g["f1"].view(np.uint64), g["n"].astype(np.int64), g["resident"] == 1, g["fp"]
+def _candidates(g: dict, leaves: int, sides: str, b0: str, b1: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of a group whose marks may belong to similar sets and meet here for the first time."""
+    f0, f1, resident = g["f0"].view(np.uint64), g["f1"].view(np.uint64), g["resident"] > 0
     shard = int(g["shard"][0])
-    same = g["b0"][0] == g["b1"][0]
-    left = np.arange(len(name)) if same else np.flatnonzero(g["side"] == 0)
-    right = left if same else np.flatnonzero(g["side"] == 1)
-    out_i, out_j = [], []
+    apart = g["cside"] if g["c0"][0] != g["c1"][0] else None
+    same = g[b0][0] == g[b1][0]
+    left = np.arange(len(f0)) if same else np.flatnonzero(g[sides] == 0)
+    right = left if same else np.flatnonzero(g[sides] == 1)
     for at in range(0, len(left), 256):
         own = left[at:at + 256]
         if shard < 0:
-            i, j = np.nonzero(name[own][:, None] != name[right][None, :])
+            i, j = (x.ravel() for x in np.broadcast_arrays(own[:, None], right[None, :]))
         else:
             i, j = np.nonzero(np.bitwise_count(f0[own][:, None] ^ f0[right][None, :]) <= MOST)
-        i, j = own[i], right[j]
-        keep = (np.minimum(size[i], size[j]) * LEAST[1] >= np.maximum(size[i], size[j]) * LEAST[0]) & (i < j if same else name[i] != name[j])
-        i, j = i[keep], j[keep]
+            i, j = own[i], right[j]
+        if same:
+            i, j = i[i < j], j[i < j]
+        if apart is not None:
+            i, j = i[apart[i] != apart[j]], j[apart[i] != apart[j]]
         if shard >= 0:
-            keep = (np.bitwise_count(f0[i] ^ f0[j]) + np.bitwise_count(f1[i] ^ f1[j]) <= MOST) & (resident[i] | resident[j]) & (name[i] != name[j])
+            keep = (np.bitwise_count(f0[i] ^ f0[j]) + np.bitwise_count(f1[i] ^ f1[j]) <= MOST) & (resident[i] | resident[j])
             i, j = i[keep], j[keep]
             # in this block they are in reach, in none before it
             for k in range(shard // leaves + 1):
                 near = np.bitwise_count(_block(f0[i], f1[i], k) ^ _block(f0[j], f1[j], k)) <= 1
                 i, j = (i[near], j[near]) if k == shard // leaves else (i[~near], j[~near])
-        out_i.append(i)
-        out_j.append(j)
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, int), np.zeros(0, int))
+        yield i, j
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members of a group that have any candidate there."""
+    """The marks of a group that have any candidate there, or stand for several sets and have met nowhere else."""
     leaves = simhash.tree(WIDTH, 1, LEAF).leaves
-    columns = [*_TASK, "side", "resident", "fp", "f0", "f1", "n"]
-    for g in groups(batches, _TASK):
-        if len(g["fp"]) > 1:
-            i, j = _candidates(g, leaves)
-            of = np.unique(np.concatenate([i, j]))
-            if len(of):
-                yield pa.RecordBatch.from_arrays([pa.array(g[c][of]) for c in columns], columns)
+    columns = [*_DEALT, "cside", "resident", "f0", "f1"]
+    for g in groups(batches, _DEALT):
+        shard = int(g["shard"][0])
+        met = (g["resident"] == 2) & (shard < leaves) & (g["c0"][0] == g["c1"][0])
+        if len(met) > 1:
+            for i, j in _candidates(g, leaves, "cside", "c0", "c1"):
+                met[i] = met[j] = True
+        of = np.flatnonzero(met)
+        if len(of):
+            yield pa.RecordBatch.from_arrays([pa.array(g[c][of]) for c in columns], columns)
 
 
 def shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -215,11 +226,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) whose closure is that of all pairs of a group that are similar enough."""
     leaves = simhash.tree(WIDTH, 1, LEAF).leaves
     for g in groups(batches, _TASK):
-        i, j = _candidates(g, leaves)
+        n = g["n"].astype(np.int64)
+        pairs = [np.zeros((2, 0), np.int64)]
+        for i, j in _candidates(g, leaves, "side", "b0", "b1"):
+            fit = (np.minimum(n[i], n[j]) * LEAST[1] >= np.maximum(n[i], n[j]) * LEAST[0]) & (g["fp"][i] != g["fp"][j])
+            pairs.append(np.stack([i[fit], j[fit]]))
+        i, j = np.concatenate(pairs, axis=1)
         if not len(i):
             continue
         both = shared([unpacked(h) for h in g["h"]], i, j)
-        n = g["n"].astype(np.int64)
         near = both * LEAST[1] >= (n[i] + n[j] - both) * LEAST[0]
         root = roots(len(n), i[near], j[near])
         out = np.flatnonzero(root != np.arange(len(n)))
@@ -227,16 +242,26 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(g["fp"][out]), pa.array(g["fp"][root[out]])], ["a", "b"])
 
 
+def marks(classes: DataFrame) -> DataFrame:
+    """(f0, f1, large, several, few): the distinct bits of sets that have any shingles."""
+    few = F.col("few")
+    return classes.filter("n > 0").groupBy("f0", "f1").agg(F.max(F.col("n") > FEW).alias("large"), (F.count("*") > 1).alias("several"),
+                                                           F.collect_set(F.when(F.octet_length(few) > 0, few)).alias("few"))
+
+
 def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): links of the distinct sets ``classes`` (fp, low, f0, f1, n, few), found in shards."""
-    members = cut(_shards(classes).mapInArrow(_members, "shard long, b0 int, b1 int, side int, resident byte, fp long, f0 long, f1 long, n int"))
+    found = cut(_shards(cut(marks(classes))).mapInArrow(_members, _MEMBER))
+    # a mark's sets; dealt again, as sets are large
+    members = cut(found.join(classes.select("fp", "n", "f0", "f1"), ["f0", "f1"]))
     names = cut(members.select("fp").distinct())
     ids = classes.join(names, "fp", "left_semi").select(F.col("low").alias("_low")).distinct()
     texts = documents.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_low")), "left_semi").select("text")
     made = set_column(documents.sparkSession)
     # the texts are joined before Python reads any
     sets = cut(cut(texts).select(made("text").alias("_m")).select("_m.*").join(names, "fp", "left_semi").groupBy("fp").agg(F.min("h").alias("h")))
-    return members.join(sets, "fp").repartition(*_TASK).sortWithinPartitions(*_TASK).mapInArrow(_links, "a long, b long")
+    met = dealt(members, _DEALT, F.xxhash64("fp"), PIECE)
+    return met.join(sets, "fp").repartition(*_TASK).sortWithinPartitions(*_TASK).mapInArrow(_links, "a long, b long")
 
 
 def grouped(documents: DataFrame, rows: DataFrame) -> DataFrame:

@@ -19,9 +19,10 @@ def similarity(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-@pytest.mark.parametrize("shard", [4000, 9])
-def test_near_copies_equal_brute_force(spark, documents, prose, monkeypatch, shard):
+@pytest.mark.parametrize("shard, piece", [(16_000, 1000), (9, 1000), (16_000, 4), (9, 3)])
+def test_near_copies_equal_brute_force(spark, documents, prose, monkeypatch, shard, piece):
     monkeypatch.setattr(copies, "SHARD", shard)
+    monkeypatch.setattr(copies, "PIECE", piece)
     draw, texts = random.Random(17), []
     for k in range(40):
         base = prose(120 + 10 * k, 900 + k).split()
@@ -70,7 +71,7 @@ def test_dense_family_below_the_threshold_stays_and_no_pair_row_is_made(spark, d
     docs = documents(list(enumerate(texts)))
     mark = copies.signature_column(spark)
     rows = docs.select("doc_id", mark("text").alias("_m")).select("doc_id", "_m.*").withColumnRenamed("doc_id", "low")
-    met = copies._shards(rows).mapInArrow(copies._members, "shard long, b0 int, b1 int, side int, resident byte, fp long, f0 long, f1 long, n int").count()
+    met = copies._shards(copies.marks(rows)).mapInArrow(copies._members, copies._MEMBER).count()
     plan = copies.simhash.tree(copies.WIDTH, 1, copies.LEAF)
     assert 150 < met <= 150 * copies.BLOCKS * (1 + int(np.diff(plan.first).max()))  # grows with the texts, not with their pairs
     assert copies.links(docs, rows).count() == 0
