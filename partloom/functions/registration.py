@@ -3,14 +3,22 @@
 A rigid motion is fixed by where it takes two points, seen from the centroid. So a pattern's
 two anchors (its farthest point, and the point that spans the widest triangle with it) are
 laid on every pair of the other pattern that fits them about as well as the best pair
-does. A ring of n holes has 2 n such motions, an irregular pattern one; each is scored by
-nearest points, all at once, and the correspondences they name are refined by least squares.
+does, or within what the tolerance lets points be off. A ring of n holes has some 2 n such motions, an
+irregular pattern few; each names a correspondence, by nearest points or by assignment,
+and correspondences are refined by least squares until they stay. Of up to ``ALL`` points every
+correspondence is tried.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import permutations
+
 import numpy as np
 
+ALL = 6  # points of which all correspondences are tried: 720
+TOLERANCE = 0.2  # how far points may be off, if a caller doesn't say
+ASSIGNED = 64  # motions without a whole correspondence that get one by assignment
 SLACK = 0.05  # of the pattern's size: how much worse than the best pair an anchor pair may fit
 _FLAT = 1e-9
 _CELLS = 1 << 21  # distances held at once
@@ -30,8 +38,9 @@ def _frames(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([first, second, np.cross(first, second)], axis=2)
 
 
-def motions(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Turns (k, 3, 3), mirror images included, that lay centred ``p`` on centred ``q`` by its anchors."""
+def motions(p: np.ndarray, q: np.ndarray, tolerance: float = TOLERANCE) -> np.ndarray:
+    """Turns (k, 3, 3), mirror images included, that lay centred ``p`` on centred ``q`` by its anchors. Three
+    distances are compared, each of which two points that are off by ``tolerance`` change by twice as much."""
     reach = np.linalg.norm(p, axis=1)
     one = int(reach.argmax())
     two = int(np.linalg.norm(np.cross(p, p[one]), axis=1).argmax())
@@ -41,7 +50,7 @@ def motions(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     apart = np.linalg.norm(q[:, None] - q[None], axis=2)
     misfit = np.abs(far - reach[one])[:, None] + np.abs(far - reach[two])[None] + np.abs(apart - np.linalg.norm(p[one] - p[two]))
     misfit[np.diag_indices(len(q))] = np.inf
-    i, j = np.nonzero(misfit <= misfit.min() + SLACK * max(reach[one], _FLAT))
+    i, j = np.nonzero(misfit <= misfit.min() + max(SLACK * reach[one], 6 * tolerance, _FLAT))
     own = _frames(p[[one]], p[[two]])[0]
     there = _frames(q[i], q[j])
     return np.concatenate([there @ own.T, (there * np.array([1.0, 1.0, -1.0])) @ own.T])
@@ -70,18 +79,40 @@ def residuals(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.sqrt((rest**2).sum((1, 2)) / len(p)), turned & (size[:, 2] > _FLAT * np.maximum(size[:, 0], 1e-300))
 
 
-def register(p: np.ndarray, q: np.ndarray) -> tuple[float, bool]:
+@lru_cache(maxsize=ALL)
+def _orders(n: int) -> np.ndarray:
+    return np.array(list(permutations(range(n))), int).reshape(-1, n)
+
+
+def _refined(p: np.ndarray, q: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Correspondences, each fitted and named anew by nearest points until it stays."""
+    done = []
+    for _ in range(8):
+        left, _, right = np.linalg.svd(np.swapaxes(q[order], 1, 2) @ p)
+        after, _, whole = nearest(p @ np.swapaxes(left @ right, 1, 2), q)
+        moved = whole & (after != order).any(1)
+        done.append(order)
+        if not moved.any():
+            break
+        order = np.unique(after[moved], axis=0)
+    return np.unique(np.concatenate(done), axis=0)
+
+
+def register(p: np.ndarray, q: np.ndarray, tolerance: float = TOLERANCE) -> tuple[float, bool]:
     """Least residual of laying ``p`` on the equally large ``q``, and whether it is a mirror image."""
     if len(p) == 1:
         return 0.0, False
     p, q = p - p.mean(0), q - q.mean(0)
-    placed = np.swapaxes(motions(p, q) @ p.T, 1, 2)
-    order, apart, whole = nearest(placed, q)
-    if whole.any():
-        order = np.unique(order[whole], axis=0)
-    else:  # no motion names a correspondence: the best one's is completed
-        best = int((apart**2).sum(1).argmin())
-        order = assign(np.linalg.norm(placed[best][:, None] - q[None], axis=2))[None]
+    if len(p) <= ALL:
+        order = _orders(len(p))
+    else:
+        placed = np.swapaxes(motions(p, q, tolerance) @ p.T, 1, 2)
+        order, apart, whole = nearest(placed, q)
+        rest = np.flatnonzero(~whole)
+        rest = rest[np.argsort((apart[rest]**2).sum(1), kind="stable")[:ASSIGNED if whole.any() else 4 * ASSIGNED]]
+        # where two points are nearest to one, the motion's correspondence is the least assignment
+        own = [assign(np.linalg.norm(placed[k][:, None] - q[None], axis=2)) for k in rest if not whole.any() or (apart[k]**2).sum() < 4 * (apart[whole]**2).sum(1).min() + len(p) * tolerance**2]
+        order = _refined(p, q, np.unique(np.concatenate([order[whole], np.array(own, int).reshape(-1, len(p))]), axis=0))
     rmsd, mirrored = residuals(p, q[order])
     # of equal residuals one that isn't mirrored
     best = int(np.lexsort((mirrored, np.round(rmsd, 9)))[0])
