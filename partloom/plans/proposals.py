@@ -7,11 +7,11 @@ grows with the changed paths, not with commits times product.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions import digest
-from ..operators import graph, hashing, impact, lookup, rollup, sockets, tolerance
+from ..operators import impact, lookup, sockets, tolerance
 from ..session import cut, union_all
+from . import overlay
 from .base import Product
 
 # Fixed order of the stages; the first failure ends a trace.
@@ -72,43 +72,41 @@ def rebuild_ancestors(prepared: DataFrame, product: Product) -> tuple[DataFrame,
     return revisions, occ
 
 
-def new_roots(prepared: DataFrame, product: Product, hashes: DataFrame, height: DataFrame) -> DataFrame:
-    """(commit_id, new_root): the hash the product would have after each commit alone."""
-    attrs = digest.attributes(F.col("contract_hash"), F.col("material"), F.col("density"))
-    changed = prepared.filter("old_rev IS NOT NULL").select(
-        "commit_id", F.col("old_rev").alias("revision_id"),
-        F.when(F.col("is_assembly") == 0, digest.leaf(F.col("fingerprint"), attrs)).alias("new_hash"), attrs.alias("new_attrs"))
-    top = hashing.rehash_changes(changed, product.occ, product.rev, product.contract, hashes, height, product.live)
-    return top.join(product.root.select(F.col("root_rev").alias("revision_id")), "revision_id").select(
-        "commit_id", F.col("new_hash").alias("new_root"))
+def new_roots(prepared: DataFrame, found: DataFrame, product: Product, hashes: DataFrame) -> DataFrame:
+    """(commit_id, new_root): the hash the product would have after each commit alone, its present one
+    where nothing below the root changes. ``found``: :func:`overlay.totals`."""
+    top = product.root.select(F.col("root_rev").cast("string").alias("node"))
+    now = hashes.select(F.col("revision_id").cast("string").alias("node"), "node_hash").join(top, "node").select("node_hash").scalar()
+    moved = found.join(top, "node").select("commit_id", "new_hash")
+    return prepared.select("commit_id").distinct().join(moved, "commit_id", "left").select("commit_id", F.coalesce("new_hash", now).alias("new_root"))
 
 
-def budget_steps(prepared: DataFrame, product: Product, rollups: DataFrame, target: DataFrame) -> DataFrame:
-    """Mass limits and socket allocations that a commit moves: (commit_id, constraint_name, passed, detail, part, team)."""
-    def state(fp: str, density: str) -> DataFrame:
-        r = prepared.filter("old_rev IS NOT NULL AND is_assembly = 0").select("commit_id", F.col("old_rev").alias("revision_id"), F.col(fp).alias("fingerprint"), F.col(density).alias("density"))
-        s = product.shape.select("fingerprint", "volume", "volume_exact", "com_x", "com_y", "com_z")
-        j = r.join(s, "fingerprint", "left")
-        m = F.coalesce(graph.usable_volume() * F.col("density"), F.lit(0.0))
-        return j.withColumn("mass", m).select("commit_id", "revision_id", "mass", *[(F.col("mass") * F.coalesce(f"com_{a}", F.lit(0.0))).alias(f"s{a}") for a in "xyz"],
-                                              F.lit(0.0).alias("power"), F.lit(0.0).alias("thermal"))
-    old_density = product.rev.select(F.col("revision_id").alias("old_rev"), F.col("density").alias("was"))
-    prepared = cut(prepared.join(old_density, "old_rev", "left"))
-    cols = ["mass", "sx", "sy", "sz", "power", "thermal"]
-    delta = state("fingerprint", "density").unionByName(state("old_fp", "was").select("commit_id", "revision_id", *[(-F.col(c)).alias(c) for c in cols])).groupBy(
-        "commit_id", "revision_id").agg(*[F.sum(c).alias(c) for c in cols])
-    moved = cut(rollup.rollup_changes(delta, product.occ, product.live))
-    now = moved.join(rollups, "revision_id").select("commit_id", "revision_id", (F.col("mass_g") + F.col("mass")).alias("mass_g"), "power_w", "thermal_w")
+def budget_steps(found: DataFrame, product: Product, target: DataFrame) -> DataFrame:
+    """Mass limits, centre-of-gravity windows and socket allocations that a commit moves:
+    (commit_id, constraint_name, passed, detail, part_number, team_id). ``found``: :func:`overlay.totals`.
+    """
+    cg = [F.when(F.col("mass") > 0, F.col(f"s{a}") / F.col("mass")).alias(f"cg_{a}") for a in "xyz"]
+    now = found.select("commit_id", F.col("node").alias("_node"), F.col("mass").alias("mass_g"), F.col("power").alias("power_w"), F.col("thermal").alias("thermal_w"), *cg)
     owner = product.rev.select("revision_id", "part_id").join(product.part.select("part_id", "part_number", "team_id"), "part_id")
-    a = now.join(product.contract.select("revision_id", "mass_max"), "revision_id").filter("mass_max IS NOT NULL").join(owner, "revision_id").select(
+    limits = product.contract.select("revision_id", "mass_max", F.from_json("cg_window", "min array<double>, max array<double>").alias("_w")).filter("mass_max IS NOT NULL OR _w IS NOT NULL")
+    c = now.join(limits, F.col("_node") == F.col("revision_id").cast("string")).join(owner, "revision_id")
+    mass = c.filter("mass_max IS NOT NULL").select(
         "commit_id", F.lit("mass_max").alias("constraint_name"), (F.col("mass_g") <= F.col("mass_max") + sockets.BUDGET_SLACK).alias("passed"),
         F.format_string("%s weighs %.1f g, its limit is %.1f g", "part_number", "mass_g", "mass_max").alias("detail"), "part_number", "team_id")
-    s = product.socket.select("socket_id", "revision_id", "name", "mass_budget").filter("mass_budget IS NOT NULL").join(
-        target.select("socket_id", "target_rev"), "socket_id").join(owner, "revision_id")
-    b = now.withColumnRenamed("revision_id", "target_rev").join(s, "target_rev").select(
-        "commit_id", F.format_string("socket.%s.mass_budget", "name").alias("constraint_name"), (F.col("mass_g") <= F.col("mass_budget") + sockets.BUDGET_SLACK).alias("passed"),
-        F.format_string("takes %.1f g of the %.1f g that %s grants at socket '%s'", "mass_g", "mass_budget", "part_number", "name").alias("detail"), "part_number", "team_id")
-    return a.unionByName(b)
+    inside = F.lit(True)
+    for k, a in enumerate("xyz"):
+        inside = inside & F.col(f"cg_{a}").between(F.col("_w.min")[k] - sockets.BUDGET_SLACK, F.col("_w.max")[k] + sockets.BUDGET_SLACK)
+    window = c.filter("cg_x IS NOT NULL AND size(_w.min) = 3 AND size(_w.max) = 3").select(
+        "commit_id", F.lit("cg_window").alias("constraint_name"), inside.alias("passed"),
+        F.format_string("%s would balance at (%.1f, %.1f, %.1f) mm, which its window must hold", "part_number", "cg_x", "cg_y", "cg_z").alias("detail"), "part_number", "team_id")
+    s = product.socket.join(target.select("socket_id", "target_rev"), "socket_id").join(owner, "revision_id")
+    s = now.join(s, F.col("_node") == F.col("target_rev").cast("string"))
+    frames = [mass, window]
+    for key, actual, unit in (("mass_budget", "mass_g", "g"), ("power_budget", "power_w", "W"), ("thermal_budget", "thermal_w", "W")):
+        frames.append(s.filter(F.col(key).isNotNull()).select(
+            "commit_id", F.format_string(f"socket.%s.{key}", "name").alias("constraint_name"), (F.col(actual) <= F.col(key) + sockets.BUDGET_SLACK).alias("passed"),
+            F.format_string(f"takes %.1f {unit} of the %.1f {unit} that %s grants at socket '%s'", actual, key, "part_number", "name").alias("detail"), "part_number", "team_id"))
+    return union_all(frames)
 
 
 def socket_steps(prepared: DataFrame, product: Product, target: DataFrame, interfaces: DataFrame | None = None) -> DataFrame:
@@ -170,18 +168,33 @@ def chain_steps(prepared: DataFrame, product: Product, dimensions: DataFrame | N
         "commit_id", F.concat(F.lit("chain."), "name").alias("constraint_name"), "passes", tolerance.explanation().alias("detail"), "part_number", "team_id").withColumnRenamed("passes", "passed")
 
 
-def validate(proposal: DataFrame, product: Product, hashes: DataFrame, height: DataFrame, rollups: DataFrame,
-             target: DataFrame, concurrency: DataFrame | None = None, problems: DataFrame | None = None,
+def validate(proposal: DataFrame, product: Product, hashes: DataFrame, rollups: DataFrame,
+             target: DataFrame, children: DataFrame | None = None, concurrency: DataFrame | None = None, problems: DataFrame | None = None,
              inherited: DataFrame | None = None, interfaces: DataFrame | None = None, dimensions: DataFrame | None = None) -> dict[str, DataFrame]:
     """Run all stages: tables ``steps``, ``verdicts``, ``classifications``, ``notifications``.
 
+    children: new child lists, as :func:`overlay.proposed_edges` takes them; without any, structure stays. A commit whose
+    lists name unknown parts or close a cycle is rejected at its declaration.
     concurrency: result of the conflict analysis. problems(commit_id, problem): declarations
     that do not match their geometry. inherited(stage, failures): failures the base itself
     has, which fail every commit. interfaces and dimensions: what the commits propose, as
     :func:`socket_steps` and :func:`chain_steps` take them. Nothing is written: a dry run is this result, landing is
     appending its tables.
     """
-    p = cut(prepare(proposal, product))
+    p = prepare(proposal, product)
+    if children is None:
+        shape = T.StructType([p.schema["commit_id"], p.schema["part_id"], T.StructField("child_part_id", p.schema["part_id"].dataType),
+                              T.StructField("instance_name", T.StringType()), *[product.occ.schema[c] for c in overlay.EDGE]])
+        children = proposal.sparkSession.createDataFrame([], shape)
+    filled = children.filter("child_part_id IS NOT NULL").select("commit_id", "part_id").distinct().withColumn("_holds", F.lit(1))
+    p = p.join(filled, ["commit_id", "part_id"], "left").withColumn("is_assembly", F.coalesce("_holds", "is_assembly")).drop("_holds")
+    p = cut(overlay.with_own_state(p, product))
+    edges, unknown = overlay.proposed_edges(p, children, product)
+    edges = cut(edges)
+    loops = overlay.cycles(edges, overlay.base_edges(product))
+    amiss = cut(unknown.unionByName(loops.select("commit_id", F.format_string("%s can't hold %s, which holds it", "parent", "child").alias("problem"))))
+    sound = cut(p.join(amiss, "commit_id", "left_anti"))
+    found = cut(overlay.totals(sound, edges.join(amiss, "commit_id", "left_anti"), product, hashes, rollups))
     no_text = F.lit(None).cast("string")
 
     def step(df: DataFrame, stage: str, passed: Column, detail: Column, name: Column = no_text, part: Column = no_text, team: Column = no_text) -> DataFrame:
@@ -196,6 +209,7 @@ def validate(proposal: DataFrame, product: Product, hashes: DataFrame, height: D
         F.col("part_number").isNull(), "new part without a team").when(bare, F.format_string(
             "%s has a body but no contract", "part_number")).otherwise("carries a contract declaration"),
         F.when(F.col("part_number").isNull(), "ownership required").when(bare, "declaration required")))
+    steps.append(step(amiss, "declaration", F.lit(False), F.col("problem"), F.lit("structure")))
     if problems is not None:
         steps.append(step(problems, "contract", F.lit(False), F.col("problem"), F.lit("declaration does not match the geometry")))
     classes = cut(p.select("commit_id", "part_id", "part_number", "had", *lookup.classification()))
@@ -205,7 +219,7 @@ def validate(proposal: DataFrame, product: Product, hashes: DataFrame, height: D
     for a in "xyz":
         steps.append(step(e, "envelope", F.col(f"bbox_d{a}") <= F.col(f"envelope_d{a}") + sockets.EXTENT_SLACK, F.format_string(
             f"%s {a}-size %.2f mm against its declared envelope %.2f mm", "part_number", f"bbox_d{a}", f"envelope_d{a}"), F.lit(f"envelope.{a}")))
-    for stage, df in (("socket", socket_steps(p, product, target, interfaces)), ("budget", budget_steps(p, product, rollups, target)), ("chain", chain_steps(p, product, dimensions))):
+    for stage, df in (("socket", socket_steps(p, product, target, interfaces)), ("budget", budget_steps(found, product, target)), ("chain", chain_steps(p, product, dimensions))):
         steps.append(step(df, stage, F.col("passed"), F.col("detail"), F.col("constraint_name"), F.col("part_number"), F.col("team_id")))
     if inherited is not None:
         known = p.select("commit_id").distinct()
@@ -220,7 +234,7 @@ def validate(proposal: DataFrame, product: Product, hashes: DataFrame, height: D
     notes = cut(breaking.join(teams.withColumnRenamed("source_part", "part_id"), "part_id").select("commit_id", "team_id", "part_id", F.col("first_reason").alias("reason")))
     told = notes.groupBy("commit_id").agg(F.count_distinct("team_id").alias("n"))
     steps.append(step(told, "notification", F.lit(True), F.format_string("%d dependent team(s) named", "n")))
-    roots = cut(new_roots(p, product, hashes, height))
+    roots = cut(new_roots(sound, found, product, hashes))
     steps.append(step(roots, "swap", F.lit(True), F.concat(F.lit("the ref would point at "), "new_root")))
     every = cut(union_all(steps))
     first = every.filter("NOT passed").groupBy("commit_id").agg(F.min(F.struct("stage_no", F.coalesce("constraint_name", F.lit("")).alias("n"), "detail", "stage")).alias("f"))

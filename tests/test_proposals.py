@@ -32,13 +32,13 @@ def make(spark):
 
 def test_each_commit_is_judged_alone(spark):
     p = make(spark)
-    h, hh = cut(hashing.node_hashes(p.rev, p.occ, p.contract)), cut(graph.heights(p.rev, p.occ))
+    h = cut(hashing.node_hashes(p.rev, p.occ, p.contract))
     roll, at = cut(rollup.rollup(p.occ, p.rev, p.shape, p.contract)), cut(sockets.targets(p.socket, p.occ, p.rev, p.part))
     ask = spark.createDataFrame([("heavy", "lid", "ann", "fat", None), ("quiet", "nut", "bob", "nut2", None), ("loud", "nut", "bob", "nut2", "hn2"), ("same", "nut", "bob", None, None), ("wide", "nut", "bob", "wide", None),
                                  ("long", "nut", "bob", "nut2", None)],
                                 "commit_id string, part_id string, author string, new_fingerprint string, new_contract_hash string")
     longer = spark.createDataFrame([("long", "k1", 1, 6.0, 0.1, 0.1)], "commit_id string, chain_id string, seq int, nominal double, tol_plus double, tol_minus double")
-    r = proposals.validate(ask, p, h, hh, roll, at, dimensions=longer)
+    r = proposals.validate(ask, p, h, roll, at, dimensions=longer)
     v = {x.commit_id: x for x in r["verdicts"].collect()}
     assert {k: x.verdict for k, x in v.items()} == {"heavy": "rejected", "quiet": "landed", "loud": "landed", "same": "landed", "wide": "rejected", "long": "rejected"}
     assert v["wide"].failed_stage == "envelope" and v["long"].failed_stage == "chain" and "too high" in v["long"].reason

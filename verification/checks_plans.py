@@ -36,7 +36,7 @@ def heights(fx):
 
 def validated(fx) -> dict:
     return shared(fx, "validated", lambda: {k: cut(v) for k, v in proposals.validate(
-        fx.proposal, product(fx), hashes(fx), heights(fx), rollups(fx), filled(fx)).items()})
+        fx.proposal, product(fx), hashes(fx), rollups(fx), filled(fx)).items()})
 
 
 def prepared(fx):
