@@ -211,7 +211,7 @@ def validate(proposal: DataFrame, product: Product, hashes: DataFrame, rollups:
         F.when(F.col("part_number").isNull(), "ownership required").when(bare, "declaration required")))
     steps.append(step(amiss, "declaration", F.lit(False), F.col("problem"), F.lit("structure")))
     if problems is not None:
-        steps.append(step(problems, "contract", F.lit(False), F.col("problem"), F.lit("declaration does not match the geometry")))
+        steps.append(step(problems, "contract", F.lit(False), F.col("problem"), F.lit("faces contradict the declaration")))
     classes = cut(p.select("commit_id", "part_id", "part_number", "had", *lookup.classification()))
     steps.append(step(classes, "classification", F.lit(True), F.concat_ws("=", "part_number", "classification")))
     e = p.join(product.contract.select(F.col("revision_id").alias("old_rev"), *[f"envelope_d{a}" for a in "xyz"]), "old_rev").join(

@@ -151,7 +151,7 @@ def _(fx):
 
 @query("n08_contract_problems", """
 SELECT 'd-' || fingerprint AS owner_id, 'interface ''foot'': 4 holes are declared, 3 lie along the body''s best axis' AS problem FROM fx_shape WHERE dx > 50
-UNION ALL SELECT 'd-' || fingerprint, 'interface ''foot'': hole diameter 6.600 mm does not accept M8 as a clearance fit (allowed 8.10-9.60 mm)' FROM fx_shape WHERE chirality = 0
+UNION ALL SELECT 'd-' || fingerprint, 'interface ''foot'': a 6.600 mm hole is wrong for M8, clearance: 8.10 to 9.60 mm' FROM fx_shape WHERE chirality = 0
 UNION ALL SELECT 'd-' || fingerprint, 'envelope: measured z-size ' || printf('%.3f', dz) || ' mm, allowed are 10.000 mm' FROM fx_shape WHERE dz > 10""")
 def _(fx):
     plane = features.mounting_planes(extra(fx, "fx_face"))

@@ -10,7 +10,7 @@ from partloom.api import Queries
 from partloom.functions import pose
 from partloom.functions import text as texts
 from partloom.operators import diff, features, graph, hashing, interference, landing, lookup, quality, rollup
-from partloom.plans import conflicts, load, proposals, readiness
+from partloom.plans import conflicts, load, overlay, proposals, readiness
 from partloom.plans.base import Product
 from partloom.session import cut, shared_folder
 from partloom.sources import catalogue, documents, exports
@@ -18,10 +18,10 @@ from partloom.streaming import outbox
 
 from .checks_contracts import _OUT, _WALK, filled, full_sockets, placed, rollups, socket_results
 from .checks_graph import _DOWN, _REACH
-from .checks_hash import hashes
+from .checks_hash import _DENS, _LANE, _dig, _merkle_sql, hashes
 from .checks_relational import _TOTAL
 from .checks_shapes import bores
-from .registry import extra, grid, grid_sql, query, shared
+from .registry import ORACLES, extra, grid, grid_sql, query, shared, with_views
 
 
 def product(fx) -> Product:
@@ -450,3 +450,62 @@ def _(fx):
 def _(fx):
     out = _state(fx, outbox.latest_documents(_stream(fx)), "update")
     return documents.latest(out)
+
+
+# -- roots of proposals, recounted commit by commit ----------------------------
+
+_NEWEST = "newest AS (SELECT r.* FROM fx_revision r JOIN (SELECT part_id, MAX(revision_index) AS top FROM fx_revision GROUP BY part_id) x ON x.part_id = r.part_id AND x.top = r.revision_index)"
+_AFFECTED = """goal AS (SELECT MAX(revision_id) AS id FROM fx_revision WHERE part_id = 0),
+under(rev) AS (SELECT id FROM goal UNION SELECT o.child_rev FROM under JOIN fx_occurrence o ON o.parent_rev = under.rev),
+hit(commit_id, rev) AS (SELECT commit_id, rev FROM asked UNION SELECT hit.commit_id, o.parent_rev FROM hit JOIN fx_occurrence o ON o.child_rev = hit.rev JOIN under ON under.rev = o.parent_rev)"""
+
+
+def _recount(asked: str, edges: str, levels: int = 7) -> str:
+    """The product root's hash per commit. ``asked``: CTE bodies of asked(commit_id, rev) and seed(commit_id, rev, attrs,
+    hash), hash null for assemblies; ``edges``: proposed(commit_id, parent_rev, child_rev, pose, quantity) of the parents in relisted."""
+    base = _merkle_sql(levels).replace(f" SELECT revision_id, node_hash FROM u{levels}", "")
+    out = [base, _NEWEST, asked, _AFFECTED, edges,
+           f"""link AS (SELECT hit.commit_id, o.parent_rev, o.child_rev, o.pose, o.quantity FROM hit JOIN occ o ON o.parent_rev = hit.rev
+                WHERE NOT EXISTS (SELECT 1 FROM relisted x WHERE x.commit_id = hit.commit_id AND x.parent_rev = hit.rev)
+              UNION ALL SELECT commit_id, parent_rev, child_rev, pose, quantity FROM proposed)""",
+           "w0 AS (SELECT commit_id, rev, hash FROM seed WHERE hash IS NOT NULL)"]
+    lane = _LANE.replace("h.node_hash", "COALESCE(c.hash, b.node_hash)")
+    for k in range(1, levels + 1):
+        lanes = ", ".join(f"SUM({lane.format(s=1 + 15 * i)}) AS x{i}" for i in range(4))
+        out.append(f"""m{k} AS (SELECT t.commit_id, t.rev, {_dig("'node'", "t.attrs", "t.n", "t.x0", "t.x1", "t.x2", "t.x3")} AS hash FROM (
+            SELECT o.commit_id, o.parent_rev AS rev, COALESCE(s.attrs, a.attrs) AS attrs, COUNT(*) AS n, {lanes}
+            FROM link o JOIN hgt ON hgt.rev = o.parent_rev AND hgt.h = {k} JOIN attr a ON a.revision_id = o.parent_rev JOIN u{levels} b ON b.revision_id = o.child_rev
+            LEFT JOIN w{k - 1} c ON c.commit_id = o.commit_id AND c.rev = o.child_rev LEFT JOIN seed s ON s.commit_id = o.commit_id AND s.rev = o.parent_rev
+            GROUP BY ALL) t)""")
+        out.append(f"w{k} AS MATERIALIZED (SELECT * FROM w{k - 1} UNION ALL SELECT * FROM m{k})")
+    return ", ".join(out) + f""" SELECT q.commit_id, COALESCE(w.hash, b.node_hash) AS new_root FROM (SELECT DISTINCT commit_id FROM asked) q CROSS JOIN goal
+        JOIN u{levels} b ON b.revision_id = goal.id LEFT JOIN w{levels} w ON w.commit_id = q.commit_id AND w.rev = goal.id"""
+
+
+_NEW_ATTRS = _dig("'attributes'", "q.new_contract_hash", "r.material", f"CASE WHEN r.density IS NOT NULL THEN {_DENS.replace('density', 'r.density')} END")
+_BODY_ASKED = f"""asked AS (SELECT q.commit_id, r.revision_id AS rev, r.material, r.density, q.new_fingerprint, {_NEW_ATTRS} AS attrs FROM fx_proposal q JOIN newest r ON r.part_id = q.part_id),
+seed AS (SELECT commit_id, rev, attrs, {_dig("'leaf'", "new_fingerprint", "attrs")} AS hash FROM asked)"""
+_NO_EDGES = "relisted AS (SELECT 0 AS commit_id, 0 AS parent_rev WHERE FALSE), proposed AS (SELECT 0 AS commit_id, 0 AS parent_rev, 0 AS child_rev, '' AS pose, 0 AS quantity WHERE FALSE)"
+ORACLES["c08_new_roots"] = with_views(_recount(_BODY_ASKED, _NO_EDGES))
+
+# Every assembly's own commit drops the children at even places of its list (one child stays as it is) and takes one more of each other.
+_LISTED = """relisted AS (SELECT a.commit_id, a.rev AS parent_rev FROM asked a),
+proposed AS (SELECT a.commit_id, o.parent_rev, n.revision_id AS child_rev, o.pose, o.quantity + 1 AS quantity FROM asked a JOIN occ o ON o.parent_rev = a.rev
+  JOIN fx_revision c ON c.revision_id = o.child_rev JOIN newest n ON n.part_id = c.part_id
+  WHERE o.child_rev % 2 = 0 OR o.child_rev = (SELECT MIN(child_rev) FROM fx_occurrence x WHERE x.parent_rev = a.rev))"""
+_LIST_ASKED = "asked AS (SELECT part_id AS commit_id, revision_id AS rev FROM newest WHERE is_assembly = 1), seed AS (SELECT a.commit_id, a.rev, x.attrs, CAST(NULL AS VARCHAR) AS hash FROM asked a JOIN attr x ON x.revision_id = a.rev)"
+
+
+@query("g07_structure_roots", _recount(_LIST_ASKED, _LISTED))
+def _(fx):
+    p = product(fx)
+    newest = lookup.current_revision(p.rev).filter("is_assembly = 1").select(F.col("part_id").alias("commit_id"), "part_id", F.col("revision_id").alias("parent_rev"))
+    least = p.occ.groupBy("parent_rev").agg(F.min("child_rev").alias("_least"))
+    kept = p.occ.join(newest, "parent_rev").join(least, "parent_rev").filter("child_rev % 2 = 0 OR child_rev = _least")
+    part = p.rev.select(F.col("revision_id").alias("child_rev"), F.col("part_id").alias("child_part_id"))
+    children = kept.join(part, "child_rev").withColumn("quantity", F.col("quantity") + 1).select("commit_id", "part_id", "child_part_id", "instance_name", *overlay.EDGE)
+    prepared = cut(overlay.with_own_state(proposals.prepare(newest.select("commit_id", "part_id", F.lit("ann").alias("author")), p), p))
+    edges, _ = overlay.proposed_edges(prepared, children, p)
+    edges = cut(edges)
+    found = cut(overlay.totals(prepared, edges, p, hashes(fx), rollups(fx)))
+    return proposals.new_roots(prepared, found, p, hashes(fx))
