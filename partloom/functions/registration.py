@@ -68,13 +68,14 @@ def nearest(placed: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order, np.linalg.norm(placed - taken, axis=2), (np.sort(order, axis=1) == np.arange(order.shape[1])).all(1)
 
 
-def residuals(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Root mean square left over by the best proper turn of centred ``p`` onto each centred
-    ``q`` of a stack, and whether a mirror image would fit better. A flat pattern can
+def residuals(p: np.ndarray, q: np.ndarray, mirror: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Root mean square left over by the best proper turn of centred ``p`` onto each centred ``q`` of a
+    stack (``mirror``: or mirror image), and whether a mirror image would fit better. A flat pattern can
     turn over, so it is never mirrored."""
     left, size, right = np.linalg.svd(np.swapaxes(q, 1, 2) @ p)
     turned = np.linalg.det(left @ right) < 0
-    left[:, :, 2] *= np.where(turned, -1.0, 1.0)[:, None]
+    if not mirror:
+        left[:, :, 2] *= np.where(turned, -1.0, 1.0)[:, None]
     rest = q - p @ np.swapaxes(left @ right, 1, 2)
     return np.sqrt((rest**2).sum((1, 2)) / len(p)), turned & (size[:, 2] > _FLAT * np.maximum(size[:, 0], 1e-300))
 
@@ -99,7 +100,7 @@ def _refined(p: np.ndarray, q: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def register(p: np.ndarray, q: np.ndarray, tolerance: float = TOLERANCE) -> tuple[float, bool]:
-    """Least residual of laying ``p`` on the equally large ``q``, and whether it is a mirror image."""
+    """Least residual of laying ``p`` on the equally large ``q`` by a proper turn, and whether a mirror image fits better."""
     if len(p) == 1:
         return 0.0, False
     p, q = p - p.mean(0), q - q.mean(0)
@@ -113,10 +114,8 @@ def register(p: np.ndarray, q: np.ndarray, tolerance: float = TOLERANCE) -> tupl
         # where two points are nearest to one, the motion's correspondence is the least assignment
         own = [assign(np.linalg.norm(placed[k][:, None] - q[None], axis=2)) for k in rest if not whole.any() or (apart[k]**2).sum() < 4 * (apart[whole]**2).sum(1).min() + len(p) * tolerance**2]
         order = _refined(p, q, np.unique(np.concatenate([order[whole], np.array(own, int).reshape(-1, len(p))]), axis=0))
-    rmsd, mirrored = residuals(p, q[order])
-    # of equal residuals one that isn't mirrored
-    best = int(np.lexsort((mirrored, np.round(rmsd, 9)))[0])
-    return float(rmsd[best]), bool(mirrored[best])
+    proper, free = residuals(p, q[order])[0].min(), residuals(p, q[order], mirror=True)[0].min()
+    return float(proper), bool(free < proper - 1e-9)
 
 
 def assign(cost: np.ndarray) -> np.ndarray:
