@@ -137,25 +137,42 @@ def _(fx):
     return diff.directly_changed(differences(fx))
 
 
-_SIB = f"""WITH {_OCC}, e AS (
-  SELECT p.part_id AS grp, r.revision_index AS idx, CONCAT(CAST(o.parent_rev AS STRING), '/', o.instance_name) AS occurrence_id,
-         CAST(o.child_rev AS STRING) || '|' || o.pose AS sort_key, c.part_id, o.instance_name, o.pose, o.quantity, COALESCE(c.fingerprint, 'none') AS h
-  FROM occ o JOIN fx_revision r ON r.revision_id = o.parent_rev JOIN fx_part p ON p.part_id = r.part_id JOIN fx_revision c ON c.revision_id = o.child_rev
-  WHERE p.n_rev = 3 AND r.revision_index IN (1, 2))"""
+# Every revision against the next one of its part. The older list lacks every fifth child, the newer one every
+# seventh; odd children differ in quantity, and in the newer list some moved and some of these have another name.
+_SIB_KEYS = [["h", "pose", "quantity"], ["part_id", "pose"], ["part_id", "instance_name"], ["part_id"]]
+_SIB = f"""WITH {_OCC}, base AS (
+  SELECT p.part_id AS parent, p.n_rev, r.revision_index AS idx, CONCAT(CAST(o.parent_rev AS STRING), '/', o.instance_name) AS id,
+         CAST(o.child_rev AS STRING) || '|' || o.pose AS sort_key, c.part_id, o.instance_name, o.pose, CAST(o.quantity AS BIGINT) AS quantity, COALESCE(c.fingerprint, 'none') AS h
+  FROM occ o JOIN fx_revision r ON r.revision_id = o.parent_rev JOIN fx_part p ON p.part_id = r.part_id JOIN fx_revision c ON c.revision_id = o.child_rev),
+p0 AS (
+  SELECT parent || '/' || idx AS grp, 0 AS side, id, sort_key, part_id, instance_name, pose, quantity + part_id % 2 AS quantity, h FROM base WHERE idx < n_rev AND part_id % 5 > 0
+  UNION ALL SELECT parent || '/' || (idx - 1), 1, id, sort_key, part_id, CASE WHEN part_id % 9 = 0 THEN 'renamed' ELSE instance_name END,
+    CASE WHEN part_id % 3 = 0 THEN 'moved' ELSE pose END, quantity, h FROM base WHERE idx > 1 AND part_id % 7 > 0)"""
+for _n, _key in enumerate(_SIB_KEYS, start=1):
+    _SIB += f""",
+r{_n} AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY grp, side, {', '.join(_key)} ORDER BY sort_key, id) AS rn FROM p{_n - 1}),
+m{_n} AS (SELECT a.grp, a.id AS left_id, b.id AS right_id FROM r{_n} a JOIN r{_n} b ON a.side = 0 AND b.side = 1 AND a.grp = b.grp AND a.rn = b.rn AND {' AND '.join(f'a.{k} = b.{k}' for k in _key)}),
+p{_n} AS (SELECT * EXCLUDE (rn) FROM r{_n} x WHERE NOT EXISTS (SELECT 1 FROM m{_n} m WHERE m.grp = x.grp AND x.id = CASE x.side WHEN 0 THEN m.left_id ELSE m.right_id END))"""
 
 
 @query("j12_pair_children", _SIB + """
-SELECT a.grp, a.occurrence_id AS left_id, b.occurrence_id AS right_id FROM e a JOIN e b ON a.grp = b.grp AND a.idx = 1 AND b.idx = 2
- AND a.part_id = b.part_id AND a.pose = b.pose AND NOT (a.h = b.h AND a.quantity + a.part_id % 2 = b.quantity)""")
+SELECT grp, 'both' AS side, left_id, right_id FROM (SELECT * FROM m2 UNION ALL SELECT * FROM m3 UNION ALL SELECT * FROM m4) m
+UNION ALL SELECT grp, CASE side WHEN 0 THEN 'left' ELSE 'right' END, CASE side WHEN 0 THEN id END, CASE side WHEN 1 THEN id END FROM p4""")
 def _(fx):
-    r = fx.revision.join(fx.part.filter("n_rev = 3").select("part_id"), "part_id", "left_semi")
-    par = r.select(F.col("revision_id").alias("parent_rev"), F.col("part_id").alias("grp"), F.col("revision_index").alias("idx"))
+    r = fx.revision.join(fx.part.select("part_id", "n_rev"), "part_id")
+    par = r.select(F.col("revision_id").alias("parent_rev"), F.col("part_id").alias("parent"), F.col("revision_index").alias("idx"), "n_rev")
     kid = fx.revision.select(F.col("revision_id").alias("child_rev"), "part_id", F.coalesce("fingerprint", F.lit("none")).alias("node_hash"))
-    e = (fx.occurrence.join(par, "parent_rev").join(kid, "child_rev").withColumn("label", F.col("occurrence_id")))
-    # The left side's quantity is bumped for odd parts, so that pass one leaves work for pass two.
-    left = e.filter("idx = 1").withColumn("quantity", F.col("quantity") + F.col("part_id") % 2)
-    both, _, _ = diff.pair_children(left, e.filter("idx = 2"), "grp")
-    return both.select("grp", F.col("l_label").alias("left_id"), F.col("r_label").alias("right_id"))
+    e = fx.occurrence.join(par, "parent_rev").join(kid, "child_rev").withColumn("label", F.col("occurrence_id"))
+    group = lambda back: F.concat_ws("/", F.col("parent").cast("string"), (F.col("idx") - back).cast("string"))
+    left = e.filter("idx < n_rev AND part_id % 5 > 0").withColumn("grp", group(0)).withColumn("quantity", F.col("quantity") + F.col("part_id") % 2)
+    right = e.filter("idx > 1 AND part_id % 7 > 0").withColumn("grp", group(1)).withColumn(
+        "instance_name", F.when(F.expr("part_id % 9 = 0"), "renamed").otherwise(F.col("instance_name"))).withColumn(
+        "transform_key", F.when(F.expr("part_id % 3 = 0"), "moved").otherwise(F.col("transform_key")))
+    both, lost, new = diff.pair_children(left, right, "grp")
+    none = F.lit(None).cast("string")
+    return both.select("grp", F.lit("both").alias("side"), F.col("l_occurrence_id").alias("left_id"), F.col("r_occurrence_id").alias("right_id")).unionByName(
+        lost.select("grp", F.lit("left").alias("side"), F.col("occurrence_id").alias("left_id"), none.alias("right_id"))).unionByName(
+        new.select("grp", F.lit("right").alias("side"), none.alias("left_id"), F.col("occurrence_id").alias("right_id")))
 
 
 @query("f03_nearest_rotation", """

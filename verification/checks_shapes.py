@@ -248,9 +248,20 @@ def _(fx):
         "case_id", "variant", "solid_id", "other", grid(F.col("size_error") + F.col("shape_error"), 100000).alias("score"))
 
 
-@query("a08_error_summary", f"""WITH {_PARTNER} SELECT COUNT(*) AS pairs FROM best""")
+_ERRORS = [f"{name}_{stat}" for name in ("size_error", "shape_error") for stat in ("p50", "p95", "max")]
+_ERROR_SQL = [{"p50": "quantile_cont({e}, 0.5)", "p95": "quantile_cont({e}, 0.95)", "max": "MAX({e})"}[c.rsplit("_", 1)[1]].format(e=c.rsplit("_", 1)[0]) for c in _ERRORS]
+
+
+@query("a08_error_summary", f"""WITH pair AS (
+  SELECT a.case_id, a.variant, a.solid_id, b.variant AS other, b.solid_id AS partner, a.strict = b.strict AS same_strict,
+         ABS(a.char_length - b.char_length) / GREATEST(a.char_length, b.char_length) AS size_error,
+         GREATEST(ABS(a.sphericity - b.sphericity), ABS(a.j1 - b.j1), ABS(a.j2 - b.j2), ABS(a.j3 - b.j3)) AS shape_error
+  FROM fx_solid a JOIN fx_solid b ON a.case_id = b.case_id AND a.variant < b.variant),
+best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY case_id, variant, solid_id, other ORDER BY size_error + shape_error, partner) AS rn FROM pair)
+SELECT COUNT(*) AS pairs, COUNT(*) FILTER (WHERE same_strict) AS strict_agree, {", ".join(f"{grid_sql(e, 100000)} AS {c}" for c, e in zip(_ERRORS, _ERROR_SQL))}
+FROM best WHERE rn = 1""")
 def _(fx):
-    return matching.error_summary(partners(fx)).select("pairs")
+    return matching.error_summary(partners(fx)).select("pairs", "strict_agree", *[grid(c, 100000).alias(c) for c in _ERRORS])
 
 
 @query("j15_reconcile", """
