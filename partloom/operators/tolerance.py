@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
@@ -12,7 +15,8 @@ from ..session import cut
 BAND_PERCENTILES = (0.00135, 0.99865)
 PASS_SLACK = 1e-12
 SAMPLES = 20_000
-# A chain with more members than this is not drawn in one task.
+# Members of a chain that one task draws; of a longer chain, sums of such pieces are added up.
+PIECE = 4096
 
 
 def half_band() -> Column:
@@ -132,16 +136,121 @@ def _draw_and_add(member: DataFrame, samples: int, source: str) -> DataFrame:
     return rows.groupBy("chain_id", "sample").agg(F.sum(F.col("direction") * value).alias("total"))
 
 
-def monte_carlo(chain: DataFrame, member: DataFrame, samples: int = SAMPLES, source: str = "xxhash64") -> DataFrame:
-    """Sampled mean, band and failure rate of every chain (rate null without a target)."""
-    t = chain.select("chain_id", "target_low", "target_high")
-    fail = F.coalesce(F.col("total") < F.col("target_low"), F.lit(False)) | F.coalesce(
-        F.col("total") > F.col("target_high"), F.lit(False))
-    rate = F.when(F.col("target_low").isNotNull() | F.col("target_high").isNotNull(), fail.cast("double"))
-    return sampled_totals(member, samples, source).join(t, "chain_id").groupBy("chain_id").agg(
-        F.count(F.lit(1)).alias("mc_samples"), F.avg("total").alias("mc_mean"),
-        F.percentile("total", F.lit(BAND_PERCENTILES[0])).alias("mc_low"),
-        F.percentile("total", F.lit(BAND_PERCENTILES[1])).alias("mc_high"), F.avg(rate).alias("mc_failure_rate"))
+def _bits(key: np.uint64, samples: np.ndarray) -> np.ndarray:
+    """Sixty-four mixed bits for every sample number of one member (a counter-based generator)."""
+    x = key + samples * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _draws(key: int, distribution: str, centre: float, half: float, sigma: float, numbers: np.ndarray) -> np.ndarray:
+    """Two draws of one member per number, by the formulas of :func:`draw`: the halves of its bits, or the
+    two normal values that Box-Muller makes of them."""
+    bits = _bits(np.uint64(key & 0xFFFFFFFFFFFFFFFF), numbers)
+    n = len(numbers)
+    u = np.empty(2 * n)
+    u[:n], u[n:] = bits >> np.uint64(32), bits & np.uint64(0xFFFFFFFF)
+    u += 0.5
+    u /= 4294967296.0
+    if distribution == "uniform":
+        return centre - half + 2 * half * u
+    if distribution == "triangular":
+        return centre + half * np.where(u < 0.5, np.sqrt(2 * u) - 1, 1 - np.sqrt(2 * (1 - u)))
+    far, turn = sigma * np.sqrt(-2 * np.log(u[:n])), 2 * math.pi * u[n:]
+    np.multiply(far, np.cos(turn), out=u[:n])
+    np.multiply(far, np.sin(turn), out=u[n:])
+    u += centre
+    return u
+
+
+def _running(batches: Iterator[pd.DataFrame], samples: int) -> Iterator[tuple[object, np.ndarray]]:
+    """(group, totals) of rows sorted by ``group``: one vector of totals is held at a time."""
+    numbers = np.arange(1, (samples + 1) // 2 + 1, dtype=np.uint64)
+    group, total = None, None
+    with np.errstate(over="ignore"):
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if total is None or r.group != group:
+                    if total is not None:
+                        yield group, total
+                    group, total = r.group, np.zeros(samples)
+                total += r.direction * _draws(r.key, r.distribution, r.centre, r.half, r.sigma, numbers)[:samples]
+    if total is not None:
+        yield group, total
+
+
+def _band(total: np.ndarray, low: float, high: float) -> tuple:
+    """Size, mean, band and failure rate of one chain's totals; a bound that is not set is NaN."""
+    bounded = not (math.isnan(low) and math.isnan(high))
+    with np.errstate(invalid="ignore"):
+        failed = np.count_nonzero((total < low) | (total > high))
+    q = np.quantile(total, BAND_PERCENTILES)
+    return len(total), float(total.mean()), float(q[0]), float(q[1]), failed / len(total) if bounded else None
+
+
+_BAND = "chain_id string, mc_samples long, mc_mean double, mc_low double, mc_high double, mc_failure_rate double"
+
+
+def monte_carlo(chain: DataFrame, member: DataFrame, samples: int = SAMPLES, piece: int = PIECE) -> DataFrame:
+    """Sampled mean, band and failure rate of every chain that has members (rate null without a target).
+
+    A draw is a hash of (chain, seq, sample), so a retried task and another partitioning repeat it. Members
+    travel once, sorted by chain, and a task holds the totals of one chain: neither draws nor samples are
+    rows. A chain with members numbered ``piece`` and above is dealt to pieces of that many, whose totals
+    are written as one cell each and added up. Members with a null in their numbers make a chain's totals null.
+    """
+    spark = member.sparkSession
+    kind = member.schema["chain_id"].dataType
+    m = member.select(
+        F.col("chain_id").cast("string").alias("chain"), F.coalesce(F.floor(F.col("seq") / piece), F.lit(0)).cast("long").alias("piece"),
+        F.xxhash64("chain_id", "seq").alias("key"), F.coalesce("distribution", F.lit("normal")).alias("distribution"),
+        *[F.col("direction").cast("double").alias("direction"), (F.col("nominal") + bias()).cast("double").alias("centre"),
+          half_band().cast("double").alias("half"), sigma().cast("double").alias("sigma")])
+    long = cut(m.filter("piece > 0").select("chain").distinct())
+    limits = chain.select(F.col("chain_id").cast("string").alias("chain"), *[F.col(c).cast("double").alias(c) for c in ("target_low", "target_high")])
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    inputs = ["key", "distribution", "direction", "centre", "half", "sigma"]
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bounds: dict[str, tuple[float, float]] = {}
+
+        def noted() -> Iterator[pd.DataFrame]:
+            for b in batches:
+                bounds.update({r.group: (r.target_low, r.target_high) for r in b.drop_duplicates("group").itertuples(index=False)})
+                yield b
+
+        for group, total in _running(noted(), samples):
+            yield pd.DataFrame([(group, *_band(total, *bounds.pop(group)))], columns=[c.split()[0] for c in _BAND.split(", ")])
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group, total in _running(batches, samples):
+            yield pd.DataFrame([(group, total.tobytes())], columns=["group", "total"])
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total, at = None, None, None
+        out = [c.split()[0] for c in _BAND.split(", ")]
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if r.chain != now:
+                    if total is not None:
+                        yield pd.DataFrame([(now, *_band(total, *at))], columns=out)
+                    now, total, at = r.chain, np.zeros(samples), (r.target_low, r.target_high)
+                total += np.frombuffer(r.total)
+        if total is not None:
+            yield pd.DataFrame([(now, *_band(total, *at))], columns=out)
+
+    short = (m.join(long, "chain", "left_anti").join(limits, "chain").select(F.col("chain").alias("group"), *inputs, "target_low", "target_high")
+             .repartition(pieces, "group").sortWithinPartitions("group", "key"))
+    done = short.mapInPandas(whole, _BAND)
+    dealt = (m.join(long, "chain", "left_semi").select(F.concat_ws("/", F.col("piece").cast("string"), "chain").alias("group"), *inputs)
+             .repartition(pieces, "group").sortWithinPartitions("group", "key"))
+    sums = cut(dealt.mapInPandas(parts, "group string, total binary").select(
+        F.substring_index("group", "/", 1).cast("long").alias("piece"), F.expr("substring(group, instr(group, '/') + 1)").alias("chain"), "total"))
+    done = done.unionByName(sums.join(limits, "chain").repartition(pieces, "chain").sortWithinPartitions("chain", "piece").mapInPandas(added, _BAND))
+    null = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return done.select(F.col("chain_id").cast(kind).alias("chain_id"), "mc_samples", *[null(c) for c in ("mc_mean", "mc_low", "mc_high")],
+                       F.when(~F.isnan("mc_mean"), F.col("mc_failure_rate")).alias("mc_failure_rate"))
 
 
 def with_verdict(t: DataFrame, method: str | None = None) -> DataFrame:
@@ -175,11 +284,11 @@ def explanation() -> Column:
 
 
 def evaluate(chain: DataFrame, member: DataFrame, part: DataFrame | None = None, samples: int | None = None,
-             source: str = "xxhash64", method: str | None = None) -> DataFrame:
+             method: str | None = None) -> DataFrame:
     """Totals, verdict, teams and sentence of every chain: cross-team first, failing first, by name."""
     t = totals(chain, member)
     if samples:
-        t = t.join(monte_carlo(chain, member, samples, source), "chain_id", "left")
+        t = t.join(monte_carlo(chain, member, samples), "chain_id", "left")
     t = with_verdict(t, method)
     sentence = explanation()
     if samples:

@@ -38,15 +38,42 @@ def test_centreline_chain_passes_statistically_only(spark):
     assert ok("rss") and not ok("worst_case")
 
 
-def test_sampled_totals_do_not_depend_on_partitions(spark):
+def test_sampled_totals_do_not_depend_on_partitions_or_pieces(spark):
     chain, member = grip(spark)
     a = tolerance.monte_carlo(chain, member, 500).first()
     b = tolerance.monte_carlo(chain, member.repartition(3, "seq"), 500).first()
     assert abs(a.mc_low - b.mc_low) < 1e-12 and a.mc_failure_rate == b.mc_failure_rate
+    dealt = tolerance.monte_carlo(chain, member, 500, piece=2).first()
+    assert abs(a.mc_low - dealt.mc_low) < 1e-12 and abs(a.mc_mean - dealt.mc_mean) < 1e-12 and a.mc_failure_rate == dealt.mc_failure_rate
     hot = tolerance.sampled_totals(member, 500, spread=True).groupBy().agg(F.sum("total")).first()[0]
     assert abs(hot - tolerance.sampled_totals(member, 500).groupBy().agg(F.sum("total")).first()[0]) < 1e-6
 
 
+def test_sampled_bands_agree_with_closed_forms(spark):
+    """One member each: the mean, the two outer percentiles and the failure rate of 20,000 draws against the distribution itself."""
+    rows = [("n", "normal", 3.0), ("u", "uniform", 3.0), ("t", "triangular", 3.0)]
+    chain = spark.createDataFrame([(c, c, None, 10.2, "monte_carlo") for c, _, _ in rows] + [("free", "free", None, None, "rss"), ("none", "none", 0.0, 1.0, "rss")], CHAIN)
+    member = spark.createDataFrame([(c, 1, "p", 10.0, 0.5, 0.1, 1, s, d) for c, d, s in rows] + [("free", 1, "p", 10.0, 0.5, 0.1, -1, 3.0, "normal"),
+                                   ("free", 2, "q", 1.0, None, 0.1, 1, 3.0, "normal")], MEMBER)
+    got = {r.chain_id: r for r in tolerance.monte_carlo(chain, member).collect()}
+    assert set(got) == {"n", "u", "t", "free"} and got["n"].mc_samples == 20_000
+    assert got["free"].mc_mean is None and got["free"].mc_failure_rate is None  # a member without its tolerance
+    tail = 0.00135
+    low = {"n": 10.2 - 0.3, "u": 9.9 + 0.6 * tail, "t": 9.9 + 0.3 * (2 * tail) ** 0.5}
+    slack = {"n": 0.02, "u": 0.001, "t": 0.006}
+    for c, r in ((k, got[k]) for k in "nut"):
+        assert abs(r.mc_mean - 10.2) < 0.004 and abs(r.mc_failure_rate - 0.5) < 0.015
+        assert abs(r.mc_low - low[c]) < slack[c] and abs(r.mc_high - (20.4 - low[c])) < slack[c]
+
+
+def test_sums_of_draws_have_the_variance_of_their_members(spark):
+    chain = spark.createDataFrame([("c", "c", None, None, "rss")], CHAIN)
+    member = spark.createDataFrame([("c", i, "p", 1.0, 0.3, 0.3, 1 if i % 2 else -1, 3.0, d) for i, d in enumerate(["normal", "uniform", "triangular"] * 20)], MEMBER)
+    want = (20 * (0.01 + 0.03 + 0.015)) ** 0.5  # squared: 0.3/3, 0.3/sqrt 3, 0.3/sqrt 6
+    r = tolerance.monte_carlo(chain, member).first()
+    assert abs(r.mc_mean) < 4 * want / 20_000 ** 0.5 and abs((r.mc_high - r.mc_low) / 2 - 3 * want) < 0.3 * want
+
+
 def test_an_empty_chain_says_so(spark):
     chain = spark.createDataFrame([("e", "empty", None, None, "rss")], CHAIN)
     r = tolerance.totals(chain, grip(spark)[1]).first()

@@ -12,7 +12,7 @@ from partloom.functions import text as texts
 from partloom.operators import diff, features, graph, hashing, interference, landing, lookup, quality, rollup
 from partloom.plans import conflicts, load, overlay, proposals, readiness
 from partloom.plans.base import Product
-from partloom.session import cut, shared_folder
+from partloom.session import cut, shared_folder, union_all
 from partloom.sources import catalogue, documents, exports
 from partloom.streaming import outbox
 
@@ -164,35 +164,81 @@ def _(fx):
     return Queries(product(fx), extra(fx, "fx_ref")).bill_of_materials("main").select("part_number", "revision_id", "total_qty")
 
 
-@query("s01_table_catalogue", """
-SELECT r.revision_id AS revision_id, p.part_number, r.density, CAST(r.revision_index AS INTEGER) AS revision_index FROM fx_revision r JOIN fx_part p ON p.part_id = r.part_id""")
+def stored_tables(fx) -> dict:
+    """All stored tables with their declared columns, as far as the given data fills them."""
+    def build():
+        text = lambda c, *names: [F.to_json(n).alias(n) if n in names else F.col(n) for n in c.columns]
+        sockets_ = extra(fx, "fx_socket")
+        rows = {
+            "team": fx.part.select("team_id", F.col("team_id").alias("name")).distinct(),
+            "commit_log": fx.commit, "shape": fx.shape, "shape_alias": extra(fx, "fx_alias"),
+            "feature": extra(fx, "fx_face").filter("kind = 'plane'").withColumn("feature_id", F.xxhash64("fingerprint", "face_id")),
+            "part": fx.part, "revision": fx.revision, "ref": extra(fx, "fx_ref"),
+            "occurrence": fx.occurrence.withColumn("occurrence_id", F.xxhash64("occurrence_id")), "contract": fx.contract,
+            "interface": fx.full_interface.select(*text(fx.full_interface, "points")).withColumn("source", F.lit("declared")),
+            "socket": sockets_, "subscription": fx.subscription.withColumn("subscription_id", F.xxhash64("team_id", "part_id", "interface_name")),
+            "dimension": extra(fx, "fx_named_dimension"), "chain": fx.chain, "chain_member": extra(fx, "fx_bound_member"),
+            "validation": fx.validation.withColumn("validation_id", F.xxhash64("commit_id", "validation_id")).drop("part_id"),
+            "change_classification": fx.proposal.select("commit_id", "part_id", F.lit("breaking").alias("classification"), F.lit(1).alias("contract_changed")),
+            "notification": fx.notification,
+            "interference": fx.occurrence.filter("instance_name = 'std'").select(
+                F.xxhash64("occurrence_id").alias("interference_id"), F.col("parent_rev").alias("root_rev"), F.col("instance_name").alias("path_a"), F.lit("clearance").alias("kind")),
+            "outbox": fx.outbox.withColumn("delivered_at", F.when(F.col("outbox_id") % 3 == 0, F.col("created_at"))),
+        }
+        return {name: rows[name].select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows[name].columns else F.lit(None).cast(f.dataType).alias(f.name)
+                                          for f in catalogue.schema(name)]) for name in catalogue.COLUMNS}
+    return shared(fx, "stored_tables", build)
+
+
+# Rows of every stored table in SQL, in the order of the catalogue.
+_STORED = {
+    "team": "SELECT DISTINCT team_id FROM fx_part", "commit_log": "SELECT o_orderkey AS commit_id FROM orders", "shape": "SELECT fingerprint FROM fx_shape",
+    "shape_alias": "SELECT fingerprint FROM fx_shape WHERE chirality > 0", "feature": "SELECT fingerprint FROM fx_face WHERE kind = 'plane'", "part": "SELECT part_id FROM fx_part",
+    "revision": "SELECT revision_id FROM fx_revision", "ref": "SELECT ref_name FROM fx_ref", "occurrence": "SELECT instance_name FROM fx_occurrence", "contract": "SELECT revision_id FROM fx_contract",
+    "interface": "SELECT interface_id FROM fx_interface", "socket": "SELECT socket_id FROM fx_socket", "subscription": "SELECT team_id FROM fx_subscription",
+    "dimension": "SELECT dimension_id FROM fx_named_dimension", "chain": "SELECT chain_id FROM fx_chain", "chain_member": "SELECT chain_id FROM fx_dimension",
+    "validation": "SELECT l_orderkey AS commit_id FROM lineitem", "change_classification": "SELECT commit_id FROM fx_proposal", "notification": "SELECT notification_id FROM fx_notification",
+    "interference": "SELECT instance_name AS path_a FROM fx_occurrence WHERE instance_name = 'std'", "outbox": "SELECT event_id AS outbox_id FROM events",
+}
+
+
+@query("s01_table_catalogue", " UNION ALL ".join(
+    f"SELECT '{name}' AS \"table\", {catalogue.COLUMNS[name].count(",") + 1} AS columns, COUNT(*) AS rows, COUNT(DISTINCT {sql.split(' FROM ')[0].split()[-1]}) AS keys FROM ({sql})" for name, sql in _STORED.items()))
 def _(fx):
     folder = f"{shared_folder(fx.spark)}/tables-{uuid.uuid4().hex}"
-    for name, df in (("part", fx.part), ("revision", fx.revision)):
-        stored = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in catalogue.schema(name)]
-        df.select(*stored).write.parquet(f"{folder}/{name}")
-    t = catalogue.load(fx.spark, folder, ["part", "revision"])
-    return t["revision"].join(t["part"].select("part_id", "part_number"), "part_id").select(
-        F.col("revision_id").cast("bigint").alias("revision_id"), "part_number", "density", "revision_index")
+    for name, df in stored_tables(fx).items():
+        df.write.parquet(f"{folder}/{name}")
+    keys = {name: sql.split(" FROM ")[0].split()[-1] for name, sql in _STORED.items()}
+    out = [df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(keys[name]).alias("keys")).select(
+        F.lit(name).alias("table"), F.lit(len(df.columns)).alias("columns"), "rows", "keys") for name, df in catalogue.load(fx.spark, folder).items()]
+    return union_all(out)
 
 
 # -- quality --------------------------------------------------------------------
 
-@query("c10_quality_audit", """
-SELECT 'part' AS "table", 'unique part_number' AS rule, COUNT(*) - COUNT(DISTINCT part_number) AS broken FROM fx_part HAVING COUNT(*) > COUNT(DISTINCT part_number)
-UNION ALL SELECT 'contract', 'provenance IN (''declared'', ''auto_drafted'')', COUNT(*) FROM fx_contract WHERE reviewed = 0
-UNION ALL SELECT 'notification', 'team_id references team', COUNT(*) FROM fx_notification WHERE team_id NOT IN (SELECT team_id FROM fx_part)  HAVING COUNT(*) > 0
-UNION ALL SELECT 'occurrence', 'quantity > 0', COUNT(*) FROM fx_occurrence WHERE instance_name = 'std'
-UNION ALL SELECT 'revision', 'part_id references part', COUNT(*) FROM fx_revision r WHERE r.part_id IN (SELECT part_id FROM fx_proposal)""")
+_LOST = "(SELECT part_id FROM fx_proposal)"
+
+
+@query("c10_quality_audit", f"""
+SELECT 'revision' AS "table", 'part_id references part' AS rule, COUNT(*) AS broken FROM fx_revision WHERE part_id IN {_LOST} HAVING COUNT(*) > 0
+UNION ALL SELECT 'subscription', 'part_id references part', COUNT(*) FROM fx_subscription WHERE part_id IN {_LOST} HAVING COUNT(*) > 0
+UNION ALL SELECT 'notification', 'part_id references part', COUNT(*) FROM fx_notification WHERE part_id IN {_LOST} HAVING COUNT(*) > 0
+UNION ALL SELECT 'subscription', 'team_id references team', COUNT(*) FROM fx_subscription WHERE team_id NOT IN (SELECT team_id FROM fx_part) HAVING COUNT(*) > 0
+UNION ALL SELECT 'notification', 'team_id references team', COUNT(*) FROM fx_notification WHERE team_id NOT IN (SELECT team_id FROM fx_part) HAVING COUNT(*) > 0
+UNION ALL SELECT 'contract', 'provenance IN (''declared'', ''auto_drafted'')', COUNT(*) FROM fx_contract WHERE reviewed = 0 HAVING COUNT(*) > 0
+UNION ALL SELECT 'occurrence', 'quantity > 0', COUNT(*) FROM fx_occurrence WHERE instance_name = 'std' HAVING COUNT(*) > 0
+UNION ALL SELECT 'chain_member', 'direction IN (-1, 1)', COUNT(*) FROM fx_dimension WHERE seq = 7 HAVING COUNT(*) > 0
+UNION ALL SELECT 'ref', 'unique ref_name', 1""")
 def _(fx):
     # Rows broken on purpose: quantities, provenances, and parts that are gone.
-    t = {
-        "team": fx.part.select("team_id", F.col("team_id").alias("name")).distinct(),
-        "part": fx.part.join(fx.proposal.select("part_id"), "part_id", "left_anti"),
-        "revision": fx.revision, "notification": fx.notification.select("notification_id", "team_id"),
-        "occurrence": fx.occurrence.withColumn("quantity", F.when(F.col("instance_name") == "std", 0).otherwise(F.col("quantity"))),
-        "contract": fx.contract.withColumn("provenance", F.when(F.col("reviewed") == 0, "guessed").otherwise(F.col("provenance"))),
-    }
+    t = dict(stored_tables(fx))
+    gone = fx.proposal.select(F.col("part_id").cast("string").alias("part_id"))
+    t["part"] = t["part"].join(gone, "part_id", "left_anti")
+    t["occurrence"] = t["occurrence"].withColumn("quantity", F.when(F.col("instance_name") == "std", 0).otherwise(F.col("quantity")))
+    t["contract"] = t["contract"].withColumn("provenance", F.when(F.col("reviewed") == 0, "guessed").otherwise(F.col("provenance")))
+    t["chain_member"] = t["chain_member"].withColumn("direction", F.when(F.expr("seq = 7"), 0).otherwise(F.col("direction")))
+    t["ref"] = t["ref"].unionByName(t["ref"].filter("ref_name = 'main'"))
+    t["interference"] = t["interference"].withColumn("kind", F.when(F.expr("interference_id % 2 = 0"), "clearance").otherwise(F.lit("clash")))
     return quality.audit(t).groupBy("table", "rule").agg(F.count(F.lit(1)).alias("broken"))
 
 
@@ -291,12 +337,10 @@ def _(fx):
     return interference.stored(fx.spark, path).groupBy("root_rev", "run").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("s12_table_counts", """
-SELECT 'part' AS "table", COUNT(*) AS rows FROM fx_part UNION ALL SELECT 'revision', COUNT(*) FROM fx_revision UNION ALL SELECT 'occurrence', COUNT(*) FROM fx_occurrence
-UNION ALL SELECT 'outbox', COUNT(*) FROM fx_outbox UNION ALL SELECT 'outbox pending', COUNT(*) FROM fx_outbox WHERE outbox_id % 3 > 0""")
+@query("s12_table_counts", " UNION ALL ".join(f"SELECT '{name}' AS \"table\", COUNT(*) AS rows FROM ({sql})" for name, sql in _STORED.items()) + """
+UNION ALL SELECT 'outbox pending', COUNT(*) FROM fx_outbox WHERE outbox_id % 3 > 0""")
 def _(fx):
-    box = fx.outbox.withColumn("delivered_at", F.when(F.col("outbox_id") % 3 == 0, F.col("created_at")))
-    return catalogue.counts({"part": fx.part, "revision": fx.revision, "occurrence": fx.occurrence, "outbox": box})
+    return catalogue.counts(stored_tables(fx))
 
 
 @query("s05_json_columns", """

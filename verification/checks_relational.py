@@ -273,28 +273,9 @@ def _(fx):
                     "sigma_conventions", "warnings", "passes")
 
 
-_U = "((CAST('0x' || substr({d}, {s}, 8) AS BIGINT) + 0.5) / 4294967296.0)"
-
-
-@query("a05_monte_carlo", f"""
-WITH m AS (
-  SELECT d.*, s.sample, md5(CAST(chain_id AS VARCHAR) || '|' || CAST(seq AS VARCHAR) || '|' || CAST(s.sample AS VARCHAR)) AS h
-  FROM fx_dimension d, (SELECT unnest(range(1, 65)) AS sample) s
-), n AS (
-  SELECT *, {_U.format(d='h', s=1)} AS u, {_U.format(d='h', s=9)} AS v, nominal + (tol_plus - tol_minus) / 2 AS centre, (tol_plus + tol_minus) / 2 AS half FROM m
-), draws AS (
-  SELECT chain_id, sample, SUM(direction * CASE distribution WHEN 'uniform' THEN centre - half + 2 * half * u
-    WHEN 'triangular' THEN CASE WHEN u < 0.5 THEN centre - half + half * sqrt(2 * u) ELSE centre + half - half * sqrt(2 * (1 - u)) END
-    ELSE centre + {_SIGMA} * sqrt(-2 * ln(u)) * cos(2 * pi() * v) END) AS total FROM n GROUP BY chain_id, sample
-)
-SELECT d.chain_id, COUNT(*) AS mc_samples, {grid_sql('AVG(total)', 10000)} AS mc_mean, {grid_sql('quantile_cont(total, 0.00135)', 10000)} AS mc_low,
-       {grid_sql('quantile_cont(total, 0.99865)', 10000)} AS mc_high,
-       CASE WHEN c.target_low IS NULL AND c.target_high IS NULL THEN NULL ELSE COUNT(*) FILTER (WHERE total < c.target_low OR total > c.target_high) END AS failures
-FROM draws d JOIN fx_chain c ON c.chain_id = d.chain_id GROUP BY d.chain_id, c.target_low, c.target_high""")
-def _(fx):
-    mc = tolerance.monte_carlo(fx.chain, fx.dimension, samples=64, source="md5")
-    return mc.select("chain_id", "mc_samples", *[grid(c, 10000).alias(c) for c in ("mc_mean", "mc_low", "mc_high")],
-                     F.round(F.col("mc_failure_rate") * F.col("mc_samples")).cast("bigint").alias("failures"))
+@query("a05_monte_carlo")
+def _(fx):
+    return tolerance.monte_carlo(fx.chain, fx.dimension)
 
 
 @query("a06_worst_contributor", f"""
