@@ -65,9 +65,18 @@ def derive_sockets(socket: DataFrame, occ: DataFrame, rev: DataFrame, part: Data
     again after a child changed re-derives the sockets.
     """
     want = socket.filter("from_instance IS NOT NULL")
+    return read_off(want, socket_origins(want, occ, rev, part), interface, rev, part)
+
+
+def socket_origins(want: DataFrame, occ: DataFrame, rev: DataFrame, part: DataFrame) -> DataFrame:
+    """(socket_id, sibling_rev, pose): the revision each socket is read off, placed in its owner."""
     at = find_instances(want.select(F.col("socket_id").alias("ask_id"), F.col("revision_id").alias("root_rev"),
                                     F.col("from_instance").alias("path")), occ, rev, part)
-    at = at.withColumnRenamed("revision_id", "sibling_rev").withColumnRenamed("ask_id", "socket_id")
+    return at.withColumnRenamed("revision_id", "sibling_rev").withColumnRenamed("ask_id", "socket_id")
+
+
+def read_off(want: DataFrame, at: DataFrame, interface: DataFrame, rev: DataFrame, part: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As :func:`derive_sockets`, the siblings (:func:`socket_origins`) already known."""
     i = interface.select(F.col("revision_id").alias("sibling_rev"), F.col("name").alias("from_interface"), F.col("points").alias("_points"),
                          F.col("hole_radius").alias("_radius"), F.col("fastener").alias("_fastener"), *[F.col(f"n{a}").alias(f"_n{a}") for a in "xyz"])
     j = cut(want.select("socket_id", "revision_id", "name", "from_instance", "from_interface", "hole_radius", "fastener")
@@ -195,7 +204,7 @@ def _rounded(c: str | Column, digits: int) -> Column:
     return F.bround(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
 
 
-def contract_hash(contract: DataFrame, interface: DataFrame, socket: DataFrame, dimension: DataFrame) -> DataFrame:
+def contract_hash(contract: DataFrame, interface: DataFrame, socket: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
     """(revision_id, contract_hash): digest of a revision's public face; metadata is no part of it.
 
     Each interface, socket and dimension is rounded, written as JSON and hashed on its
@@ -216,9 +225,11 @@ def contract_hash(contract: DataFrame, interface: DataFrame, socket: DataFrame,
     s = rows(socket, "socket", [F.col("name"), F.col("kind"), F.col("fills"), F.col("interface_name"), F.col("hole_count"),
                                 _rounded("hole_radius", 3).alias("hole_radius"), F.col("fastener"), F.col("fit_class"), pts("points"),
                                 *have(socket, ["allow_dx", "allow_dy", "allow_dz", "mass_budget", "power_budget", "thermal_budget"])])
-    d = rows(dimension, "dimension", [F.col("name"), *[_rounded(c, 4).alias(c) for c in ("nominal", "tol_plus", "tol_minus")],
-                                      F.col("sigma_span"), F.col("distribution")])
-    lanes = i.unionByName(s).unionByName(d).groupBy("revision_id").agg(F.count(F.lit(1)).alias("children"), *digest.sum_lanes())
+    lanes = i.unionByName(s)
+    if dimension is not None:
+        lanes = lanes.unionByName(rows(dimension, "dimension", [F.col("name"), *[_rounded(c, 4).alias(c) for c in ("nominal", "tol_plus", "tol_minus")],
+                                                         F.col("sigma_span"), F.col("distribution")]))
+    lanes = lanes.groupBy("revision_id").agg(F.count(F.lit(1)).alias("children"), *digest.sum_lanes())
     zero = F.lit(0).cast("decimal(38,0)")
     j = contract.join(lanes, "revision_id", "left").withColumn("children", F.coalesce("children", F.lit(0)))
     for c in digest.LANES:

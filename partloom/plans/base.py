@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 class Product:
     """A product at one point in time; ``root`` has one row (root_rev), ``live`` the revisions below it.
 
-    Contracts carry ``envelope_dx``, ``envelope_dy``, ``envelope_dz`` and ``cg_window``, null where not declared."""
+    Contracts carry ``envelope_dx``, ``envelope_dy``, ``envelope_dz`` and ``cg_window``, null where not declared.
+    ``socket`` may name what a pattern is read off (from_instance, from_interface); ``dimension`` has the declared dimensions of revisions."""
 
     part: DataFrame
     rev: DataFrame
@@ -25,3 +26,4 @@ class Product:
     subscription: DataFrame
     root: DataFrame
     live: DataFrame
+    dimension: DataFrame | None = None

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..operators import impact, lookup, sockets, tolerance
 from ..session import cut, union_all
-from . import overlay
+from . import declared, overlay
 from .base import Product
 
 # Fixed order of the stages; the first failure ends a trace.
@@ -109,18 +109,26 @@ def budget_steps(found: DataFrame, product: Product, target: DataFrame) -> DataF
     return union_all(frames)
 
 
-def socket_steps(prepared: DataFrame, product: Product, target: DataFrame, interfaces: DataFrame | None = None) -> DataFrame:
-    """Sockets that a changed part fills, checked with its proposed geometry.
+def socket_steps(prepared: DataFrame, product: Product, target: DataFrame, interfaces: DataFrame | None = None, derived: DataFrame | None = None) -> DataFrame:
+    """Sockets that a changed part fills or that are read off one, checked with what the commit proposes.
 
     interfaces(commit_id, part_id, and the columns of the interface table but its revision):
-    what a changed body offers, as derived from it (:func:`contracts.locate_patterns`). They replace all
-    interfaces of the part; a part without any there keeps its current ones.
+    what a changed body offers, as derived from it (:func:`declared.proposed_interfaces`). They replace all
+    interfaces of the part; a part without any there keeps its current ones. derived: :func:`declared.proposed_sockets`.
     """
     swap = prepared.filter("old_rev IS NOT NULL").select("commit_id", F.col("old_rev").alias("target_rev"), F.col("new_rev"), "part_id", "fingerprint")
-    t = cut(target.join(swap, "target_rev"))
+    changed = target.join(swap, "target_rev").select("commit_id", *target.columns, "new_rev")
+    if derived is not None:  # whoever fills such a socket, changed or not
+        seen = derived.select("commit_id", "socket_id").distinct().join(target, "socket_id").join(
+            changed.select("commit_id", "socket_id"), ["commit_id", "socket_id"], "left_anti")
+        changed = changed.unionByName(seen.select("commit_id", *target.columns, F.col("target_rev").cast("string").alias("new_rev")))
+    t = cut(changed)
     key = F.concat_ws("/", F.col("commit_id").cast("string"), "socket_id")
     inside = product.live.select("revision_id").distinct()
-    s = product.socket.join(inside, "revision_id", "left_semi").join(t.select("socket_id", "commit_id"), "socket_id").withColumn("socket_id", key).drop("commit_id")
+    s = product.socket.join(inside, "revision_id", "left_semi").join(t.select("socket_id", "commit_id"), "socket_id")
+    if derived is not None:
+        s = declared.with_patterns(s, derived, ["commit_id", "socket_id"])
+    s = s.withColumn("socket_id", key).drop("commit_id")
     at = t.withColumn("socket_id", key).select("socket_id", F.col("new_rev").alias("target_rev"), *[c for c in target.columns if c not in ("socket_id", "target_rev")])
     iface = t.select("target_rev", "new_rev").distinct().join(product.interface, F.col("target_rev") == F.col("revision_id")).withColumn(
         "revision_id", F.col("new_rev")).drop("target_rev", "new_rev")
@@ -170,7 +178,8 @@ def chain_steps(prepared: DataFrame, product: Product, dimensions: DataFrame | N
 
 def validate(proposal: DataFrame, product: Product, hashes: DataFrame, rollups: DataFrame,
              target: DataFrame, children: DataFrame | None = None, concurrency: DataFrame | None = None, problems: DataFrame | None = None,
-             inherited: DataFrame | None = None, interfaces: DataFrame | None = None, dimensions: DataFrame | None = None) -> dict[str, DataFrame]:
+             inherited: DataFrame | None = None, interfaces: DataFrame | None = None, dimensions: DataFrame | None = None,
+             bore: DataFrame | None = None, plane: DataFrame | None = None, selectors: DataFrame | None = None, declarations: DataFrame | None = None) -> dict[str, DataFrame]:
     """Run all stages: tables ``steps``, ``verdicts``, ``classifications``, ``notifications``.
 
     children: new child lists, as :func:`overlay.proposed_edges` takes them; without any, structure stays. A commit whose
@@ -178,7 +187,11 @@ def validate(proposal: DataFrame, product: Product, hashes: DataFrame, rollups:
     concurrency: result of the conflict analysis. problems(commit_id, problem): declarations
     that do not match their geometry. inherited(stage, failures): failures the base itself
     has, which fail every commit. interfaces and dimensions: what the commits propose, as
-    :func:`socket_steps` and :func:`chain_steps` take them. Nothing is written: a dry run is this result, landing is
+    :func:`socket_steps` and :func:`chain_steps` take them.
+    bore and plane, extracted from all bodies: with the ``selectors`` of stored interfaces and the ``declarations`` that commits
+    bring (:func:`declared.proposed_interfaces`), they give the interfaces of changed bodies; a declaration that its
+    body doesn't meet fails the contract stage. Sockets of parents that are read off a changed part follow it, and
+    so do the contract hashes, up to the root. Nothing is written: a dry run is this result, landing is
     appending its tables.
     """
     p = prepare(proposal, product)
@@ -188,13 +201,28 @@ def validate(proposal: DataFrame, product: Product, hashes: DataFrame, rollups:
         children = proposal.sparkSession.createDataFrame([], shape)
     filled = children.filter("child_part_id IS NOT NULL").select("commit_id", "part_id").distinct().withColumn("_holds", F.lit(1))
     p = p.join(filled, ["commit_id", "part_id"], "left").withColumn("is_assembly", F.coalesce("_holds", "is_assembly")).drop("_holds")
+    located = None
+    if selectors is not None or declarations is not None:
+        if bore is None or plane is None:
+            raise ValueError("declarations need the bores and planes of the bodies")
+        if selectors is None:
+            selectors = declarations.withColumn("revision_id", F.lit(None).cast(product.rev.schema["revision_id"].dataType)).limit(0)
+        interfaces, located = declared.proposed_interfaces(p, product, bore, plane, selectors, declarations)
+    derived = unread = faces = None
+    if interfaces is not None:
+        derived, unread = declared.proposed_sockets(p, product, interfaces)
+        faces = declared.proposed_hashes(p, product, interfaces, derived)
+        own = F.concat_ws("/", F.col("commit_id").cast("string"), F.col("old_rev").cast("string"))
+        new = faces.select(F.concat_ws("/", F.col("commit_id").cast("string"), "node").alias("_face"), F.col("contract_hash").alias("_hash"))
+        p = p.join(new, own == F.col("_face"), "left").withColumn("contract_hash", F.when(
+            F.col("contract_hash").eqNullSafe(F.col("old_hash")), F.coalesce("_hash", "contract_hash")).otherwise(F.col("contract_hash"))).drop("_face", "_hash")
     p = cut(overlay.with_own_state(p, product))
     edges, unknown = overlay.proposed_edges(p, children, product)
     edges = cut(edges)
     loops = overlay.cycles(edges, overlay.base_edges(product))
     amiss = cut(unknown.unionByName(loops.select("commit_id", F.format_string("%s can't hold %s, which holds it", "parent", "child").alias("problem"))))
     sound = cut(p.join(amiss, "commit_id", "left_anti"))
-    found = cut(overlay.totals(sound, edges.join(amiss, "commit_id", "left_anti"), product, hashes, rollups))
+    found = cut(overlay.totals(sound, edges.join(amiss, "commit_id", "left_anti"), product, hashes, rollups, faces))
     no_text = F.lit(None).cast("string")
 
     def step(df: DataFrame, stage: str, passed: Column, detail: Column, name: Column = no_text, part: Column = no_text, team: Column = no_text) -> DataFrame:
@@ -210,8 +238,9 @@ def validate(proposal: DataFrame, product: Product, hashes: DataFrame, rollups:
             "%s has a body but no contract", "part_number")).otherwise("carries a contract declaration"),
         F.when(F.col("part_number").isNull(), "ownership required").when(bare, "declaration required")))
     steps.append(step(amiss, "declaration", F.lit(False), F.col("problem"), F.lit("structure")))
-    if problems is not None:
-        steps.append(step(problems, "contract", F.lit(False), F.col("problem"), F.lit("faces contradict the declaration")))
+    for amiss_ in (problems, located, unread):
+        if amiss_ is not None:
+            steps.append(step(amiss_, "contract", F.lit(False), F.col("problem"), F.lit("faces contradict the declaration")))
     classes = cut(p.select("commit_id", "part_id", "part_number", "had", *lookup.classification()))
     steps.append(step(classes, "classification", F.lit(True), F.concat_ws("=", "part_number", "classification")))
     e = p.join(product.contract.select(F.col("revision_id").alias("old_rev"), *[f"envelope_d{a}" for a in "xyz"]), "old_rev").join(
@@ -219,7 +248,7 @@ def validate(proposal: DataFrame, product: Product, hashes: DataFrame, rollups:
     for a in "xyz":
         steps.append(step(e, "envelope", F.col(f"bbox_d{a}") <= F.col(f"envelope_d{a}") + sockets.EXTENT_SLACK, F.format_string(
             f"%s {a}-size %.2f mm against its declared envelope %.2f mm", "part_number", f"bbox_d{a}", f"envelope_d{a}"), F.lit(f"envelope.{a}")))
-    for stage, df in (("socket", socket_steps(p, product, target, interfaces)), ("budget", budget_steps(found, product, target)), ("chain", chain_steps(p, product, dimensions))):
+    for stage, df in (("socket", socket_steps(p, product, target, interfaces, derived)), ("budget", budget_steps(found, product, target)), ("chain", chain_steps(p, product, dimensions))):
         steps.append(step(df, stage, F.col("passed"), F.col("detail"), F.col("constraint_name"), F.col("part_number"), F.col("team_id")))
     if inherited is not None:
         known = p.select("commit_id").distinct()

@@ -10,7 +10,7 @@ from partloom.api import Queries
 from partloom.functions import pose
 from partloom.functions import text as texts
 from partloom.operators import diff, features, graph, hashing, interference, landing, lookup, quality, rollup
-from partloom.plans import conflicts, load, overlay, proposals, readiness
+from partloom.plans import conflicts, declared, load, overlay, proposals, readiness
 from partloom.plans.base import Product
 from partloom.session import cut, shared_folder, union_all
 from partloom.sources import catalogue, documents, exports
@@ -553,3 +553,38 @@ def _(fx):
     edges = cut(edges)
     found = cut(overlay.totals(prepared, edges, p, hashes(fx), rollups(fx)))
     return proposals.new_roots(prepared, found, p, hashes(fx))
+
+
+# -- what proposals publish: holes of proposed bodies, moved apart by a tenth ----------------
+
+_READ_OFF = _REACH + """, cur AS (SELECT part_id, MAX(revision_index) AS top FROM fx_revision GROUP BY part_id),
+seen AS (
+  SELECT q.commit_id, s.socket_id, s.revision_id, i.w * 1.1 AS w, i.h AS h, o.tx, o.ty, o.quarter_turns
+  FROM fx_proposal q JOIN cur c ON c.part_id = q.part_id JOIN fx_interface i ON i.revision_id = q.part_id * 10 + c.top
+  JOIN fx_occurrence o ON o.child_rev = i.revision_id JOIN inside d ON d.rev = o.parent_rev JOIN fx_socket s ON s.revision_id = o.parent_rev AND s.name = 's-' || o.instance_name)"""
+
+
+def offered(fx):
+    """Interfaces, sockets and contract hashes that the proposals bring; every socket is read off what its name says."""
+    def build():
+        p = product(fx)
+        p = Product(**{**p.__dict__, "socket": p.socket.withColumn("from_instance", F.substring("name", 3, 100)).withColumn("from_interface", F.lit("foot"))})
+        wide = F.transform("points", lambda q: F.struct((q["x"] * 1.1).alias("x"), q["y"].alias("y"), q["z"].alias("z")))
+        interfaces = cut(prepared(fx).select("commit_id", "part_id", F.col("old_rev").alias("revision_id")).join(p.interface, "revision_id").withColumn("points", wide).drop("revision_id"))
+        derived, _ = declared.proposed_sockets(prepared(fx), p, interfaces)
+        return derived, declared.proposed_hashes(prepared(fx), p, interfaces, derived)
+    return shared(fx, "offered", build)
+
+
+@query("g07_sockets_read_off", _READ_OFF + f"""
+SELECT commit_id, socket_id, 4 AS hole_count, {grid_sql("tx + CASE quarter_turns WHEN 0 THEN w / 2 WHEN 1 THEN -h / 2 WHEN 2 THEN -w / 2 ELSE h / 2 END", 1000)} AS ox,
+       {grid_sql("ty + CASE quarter_turns WHEN 0 THEN h / 2 WHEN 1 THEN w / 2 WHEN 2 THEN -h / 2 ELSE -w / 2 END", 1000)} AS oy FROM seen""")
+def _(fx):
+    return offered(fx)[0].select("commit_id", "socket_id", "hole_count", grid("ox", 1000).alias("ox"), grid("oy", 1000).alias("oy"))
+
+
+@query("g07_changed_faces", _READ_OFF + """
+SELECT commit_id, CAST(rev AS VARCHAR) AS node FROM (SELECT commit_id, revision_id AS rev FROM seen UNION SELECT q.commit_id, q.part_id * 10 + c.top FROM fx_proposal q JOIN cur c ON c.part_id = q.part_id) t
+WHERE rev IN (SELECT revision_id FROM fx_contract)""")
+def _(fx):
+    return offered(fx)[1].select("commit_id", "node")
