@@ -2,8 +2,8 @@
 
 Every template is a licence's notice as a row of words, with a key phrase that must occur.
 One pass over all texts counts in how many each licence word occurs. A template is indexed
-by its ``RARE`` words of highest inverse document frequency, with their positions; so is each phrase,
-by its rarest word. The second pass looks a text's words up in that index, turns each hit
+by words of highest inverse document frequency among those that occur at all, with their positions: ``MEET`` of its key
+phrase, so that the phrase alone is found, and of its other words as many as make ``RARE``; each base phrase by its rarest word. The second pass looks a text's words up in that index, turns each hit
 into the place where the template would start, and intersects the hits by that place;
 where enough of them meet, the words of the key phrase are compared one by one.
 """
@@ -60,6 +60,17 @@ def rarest(wording: list[str], seen: dict[str, int], n: int) -> list[tuple[str,
     return sorted(((w, p) for p, w in enumerate(wording)), key=lambda x: (seen.get(x[0], 0), x[0], x[1]))[:n]
 
 
+def indexed(wording: list[str], at: int, length: int, seen: dict[str, int]) -> list[tuple[str, int]]:
+    """(word, position) of the template's index: rarest words of the key phrase, then of the rest; none that occur nowhere."""
+    there = [x for x in rarest(wording, seen, len(wording)) if seen.get(x[0], 0) > 0]
+    inside = [x for x in there if at <= x[1] < at + length]
+    return inside[:MEET] + [x for x in there if x not in inside][:RARE - MEET]
+
+
+def key_place(wording: list[str], phrase: list[str]) -> int:
+    return next(i for i in range(len(wording)) if wording[i:i + len(phrase)] == phrase)
+
+
 def _places(words: Column, hits: Column, phrase: list[str], seen: dict[str, int]) -> Column:
     """Where the phrase stands: hits of its rarest word, then all its words in a row."""
     (word, at), = rarest(phrase, seen, 1)
@@ -89,7 +100,9 @@ def scan(documents: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
     give one row each; other columns are not read.
     """
     seen = frequencies(documents, vocabulary(templates, base))
-    index = [rarest(wording.split(), seen, RARE) for _, wording, _ in templates]
+    index = [indexed(w.split(), key_place(w.split(), key.split()), len(key.split()), seen) for _, w, key in templates]
+    # a template of which no word occurs is in no text
+    templates, index = [t for t, row in zip(templates, index) if row], [row for row in index if row]
     looked = sorted({w for row in index for w, _ in row} | {rarest(p.split(), seen, 1)[0][0] for p, _ in base})
     rows = documents.select("doc_id", words_of(F.col("text")).alias("words"))
     found = F.filter(F.transform("words", lambda w, i: F.when(w.isin(looked), F.struct(i.alias("i"), w.alias("w")))), lambda h: h.isNotNull())
@@ -110,10 +123,10 @@ def scan(documents: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
         return F.exists(_met(places, MEET), lambda s: (s + at >= 0) & (F.slice("words", F.greatest(s + at, F.lit(0)) + 1, len(phrase)) == row))
 
     base_labels = [label(F.size(f"b{k}") > 0, name) for k, (_, name) in enumerate(base)]
-    own, shares = [], []
+    own, shares = [], [F.lit(0.0), F.lit(0.0)]
     for k, (name, wording, key) in enumerate(templates):
         want, phrase, places = wording.split(), key.split(), F.col(f"m{k}")
-        at = next(i for i in range(len(want)) if want[i:i + len(phrase)] == phrase)
+        at = key_place(want, phrase)
         own.append(label(stands(places, at, phrase), name))
         n = len(index[k])
         share = F.lit(0.0)
@@ -131,20 +144,22 @@ def scan(documents: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
 def oracle(templates=TEMPLATES, base=BASE) -> str:
     """The same rows in SQL, with the index and its hits as tables."""
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-    tw = ", ".join(f"({t}, {p}, '{w}')" for t, (_, wording, _) in enumerate(templates) for p, w in enumerate(wording.split()))
+    inside = lambda wording, key, p: 0 <= p - key_place(wording.split(), key.split()) < len(key.split())
+    tw = ", ".join(f"({t}, {p}, '{w}', {inside(wording, key, p)})" for t, (_, wording, key) in enumerate(templates) for p, w in enumerate(wording.split()))
     keys = []
     for t, (name, wording, key) in enumerate(templates):
         want, phrase = wording.split(), key.split()
-        keys.append(f"({t}, '{name}', {next(i for i in range(len(want)) if want[i:i + len(phrase)] == phrase)}, {quoted(phrase)})")
+        keys.append(f"({t}, '{name}', {key_place(want, phrase)}, {quoted(phrase)})")
     phrases = ", ".join(f"('{name}', {quoted(p.split())})" for p, name in base)
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
-tw(t, p, w) AS (VALUES {tw}), tk(t, name, kp, phrase) AS (VALUES {", ".join(keys)}), bp(name, phrase) AS (VALUES {phrases}),
+tw(t, p, w, k) AS (VALUES {tw}), tk(t, name, kp, phrase) AS (VALUES {", ".join(keys)}), bp(name, phrase) AS (VALUES {phrases}),
 u AS (SELECT rid, words, unnest(words) AS w, unnest(range(len(words))) AS i FROM d),
 v AS (SELECT rid, w, i FROM u WHERE w IN (SELECT w FROM tw) OR w IN (SELECT unnest(phrase) FROM bp)),
 f AS (SELECT w, count(DISTINCT rid) AS n FROM v GROUP BY w),
-x AS (SELECT * FROM (SELECT t, p, w, row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), w, p) AS place, count(*) OVER (PARTITION BY t) AS size FROM tw LEFT JOIN f USING (w)) WHERE place <= {RARE}),
-m AS (SELECT rid, t, i - p AS o, count(*) AS n, CAST(count(*) AS DOUBLE) / least({RARE}, any_value(size)) AS share FROM v JOIN x USING (w) GROUP BY ALL),
+y AS (SELECT t, p, w, k, row_number() OVER (PARTITION BY t, k ORDER BY n, w, p) AS place FROM tw JOIN f USING (w)),
+x AS (SELECT *, count(*) OVER (PARTITION BY t) AS size FROM y WHERE place <= CASE WHEN k THEN {MEET} ELSE {RARE - MEET} END),
+m AS (SELECT rid, t, i - p AS o, count(*) AS n, CAST(count(*) AS DOUBLE) / any_value(size) AS share FROM v JOIN x USING (w) GROUP BY ALL),
 s AS (SELECT rid, max(share) AS score FROM m GROUP BY rid),
 b AS (SELECT v.rid, bp.name, v.i AS o FROM bp JOIN v ON v.w = bp.phrase[1] JOIN d USING (rid) WHERE d.words[v.i + 1:v.i + len(bp.phrase)] = bp.phrase),
 bb AS (SELECT rid, count(*) AS n, min(o) AS lo, max(o) AS hi, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM b GROUP BY rid),

@@ -90,6 +90,19 @@ def test_licences_equal_a_plain_search(documents, odd):
         assert 0 <= r["score"] <= 1
 
 
+@pytest.mark.parametrize("k", range(len(licenses.TEMPLATES)))
+def test_each_key_phrase_alone_is_labelled(documents, prose, k):
+    """Also where no other word of the notice occurs in any text."""
+    name, _, phrase = licenses.TEMPLATES[k]
+    got = {r.doc_id: r for r in licenses.scan(documents([(1, f"{prose(20, 1)} {phrase.upper()} {prose(20, 2)}"), (2, prose(40, 3)), (3, " ".join(reversed(phrase.split())))])).collect()}
+    assert name in got[1].labels.split(",") and got[2].labels == "" and got[2].score == 0.0 and name not in got[3].labels.split(",")
+
+
+def test_licences_of_texts_without_any_licence_word(documents, prose):
+    got = licenses.scan(documents([(1, prose(10, 1)), (2, None)])).collect()
+    assert [(r.n_base, r.labels, r.score) for r in got] == [(0, "", 0.0)] * 2
+
+
 def test_licence_notices_get_their_labels(documents, prose):
     notices = [(k, f"{prose(50, k)} {wording} {prose(50, 100 + k)}") for k, (_, wording, _) in enumerate(licenses.TEMPLATES)]
     for r in licenses.scan(documents(notices)).collect():
