@@ -18,9 +18,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut, union_all
 from .common import by_bytes, text_column
 
 Q = 10
@@ -263,29 +265,51 @@ def hit_column(spark, ix: Index):
     return text_column(run, fields, spark, "item_ids string, spans string, n_windows long, least_edits long")
 
 
+def _joined(items: list[str], spans: list[str]) -> tuple[str, str]:
+    """Item ids and spans of several blocks as one list each, overlapping spans joined."""
+    ids = sorted({int(i) for x in items for i in x.split(",")})
+    pairs = [tuple(map(int, s.split(":"))) for x in spans for s in x.split(",")]
+    return ",".join(map(str, ids)), ",".join(f"{s}:{e}" for s, e in merged([(0, s, e, 0) for s, e in pairs]))
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_ids, spans, n_windows and least_edits for every row that holds a passage of
     the benchmark, and none for other rows.
 
     ``item_ids`` and ``spans`` (start:end in code points, end exclusive) are comma-joined. Null
     and empty texts hold nothing; items that are null or have fewer than ``Q`` letters and digits
-    are held by nothing; repeated items count once. Repeated rows give a row each. A benchmark
-    of several blocks gives a row for each block that a document has passages of.
+    are held by nothing; repeated items count once. Repeated rows give a row each. Every block of the benchmark is a pass
+    over the documents whose hits are written before the next index is built; the hits of a row
+    in several blocks, few and small, are joined to one row.
     """
     spark, parts = documents.sparkSession, []
     for ix in _blocks(benchmark):
-        found = documents.select("doc_id", hit_column(spark, ix)("text").alias("_r")).select("doc_id", "_r.*")
+        if parts:
+            parts[-1] = cut(parts[-1])
+        found = documents.select("doc_id", F.md5("text").alias("_text"), hit_column(spark, ix)("text").alias("_r")).select("doc_id", "_text", "_r.*")
         parts.append(found.filter("item_ids IS NOT NULL"))
-    out = parts[0] if parts else documents.select("doc_id", *[F.lit(None).cast("string").alias(c) for c in ("item_ids", "spans")],
-                                                  *[F.lit(None).cast("long").alias(c) for c in ("n_windows", "least_edits")]).limit(0)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if not parts:
+        return documents.select("doc_id", *[F.lit(None).cast("string").alias(c) for c in ("item_ids", "spans")],
+                                *[F.lit(None).cast("long").alias(c) for c in ("n_windows", "least_edits")]).limit(0)
+    if len(parts) == 1:
+        return parts[0].drop("_text")
+    # rows of equal id and text have equal hits in a block: counted once, repeated at the end
+    same = union_all([p.groupBy("doc_id", "_text", "item_ids", "spans", "n_windows", "least_edits").agg(F.count("*").alias("_rows")) for p in parts])
+    whole = same.groupBy("doc_id", "_text").agg(F.collect_list("item_ids").alias("i"), F.collect_list("spans").alias("s"),  # as many as there are blocks
+                                                F.sum("n_windows").alias("n_windows"), F.min("least_edits").alias("least_edits"), F.max("_rows").cast("int").alias("_rows"))
+
+    @F.pandas_udf("item_ids string, spans string")
+    def joined(items: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_joined(list(i), list(s)) for i, s in zip(items, spans)], columns=["item_ids", "spans"])
+
+    out = whole.withColumn("_r", joined("i", "s")).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_rows"))))
+    return out.select("doc_id", "_r.item_ids", "_r.spans", "n_windows", "least_edits")
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` that hold no passage of the benchmark, all columns as they are."""
     out = documents
-    for ix in _blocks(benchmark):
+    for k, ix in enumerate(_blocks(benchmark)):
+        out = cut(out) if k else out  # a block's index is done with before the next is built
         out = out.filter(hit_column(documents.sparkSession, ix)("text")["n_windows"] == 0)
     return out

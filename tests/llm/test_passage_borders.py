@@ -39,3 +39,18 @@ def test_a_batch_finds_what_each_text_alone_holds(prose):
         part = "".join(item)[draw.randrange(5):len(item) - draw.randrange(5)]
         texts.append(draw.choice(["", "a ", prose(3, draw.randrange(99))]) + part + draw.choice(["", " z", prose(2, draw.randrange(99))]))
     assert found(texts, ix) == [found([t], ix)[0] for t in texts]
+
+
+def test_a_benchmark_of_several_blocks_gives_one_row_a_document(spark, documents, prose, monkeypatch):
+    items = [(k, prose(20, 700 + k)) for k in range(12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    held = [(1, f"{items[0][1]} and {items[7][1]}"), (2, " ".join(t for _, t in items)), (2, " ".join(t for _, t in items)), (None, items[3][1]),
+            (4, prose(50, 5)), (5, None), (6, items[5][1]), (6, items[6][1])]
+    docs = documents(held)
+    read = lambda: sorted((tuple(r) for r in decontaminate.leaks(docs, bench).collect()), key=str)
+    whole = read()
+    assert len(whole) == 6
+    monkeypatch.setattr(decontaminate, "BLOCK", 400)
+    assert len(list(decontaminate._blocks(bench))) > 2
+    assert read() == whole
+    assert decontaminate.decontaminated(docs, bench).count() == 2
