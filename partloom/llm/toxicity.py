@@ -2,8 +2,8 @@
 
 Every n-gram of 3 to 5 characters (letters lower-cased, all else a blank) is hashed to one
 of 2^18 features and counts once a document. The features' log-count ratios come from the
-labelled sample; those that tell the classes apart best enter a logistic regression whose
-inputs are the ratios themselves.
+labelled sample; all that tell the classes apart enter a logistic regression whose inputs are
+the ratios themselves. Its slopes are summed where the rows lie.
 """
 
 from __future__ import annotations
@@ -16,11 +16,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from partloom.session import cut
+
 from .common import by_bytes, label_sample, remainder, small_batches, text_column
 
 BITS = 18
 ORDERS = (3, 4, 5)
 GAP = "\n" * max(ORDERS)
+TASKS = 16  # sums of slopes that the driver adds up a round, of at most 2 MB each
+GRAIN = 2.0**-30
 
 
 def _folded() -> np.ndarray:
@@ -88,26 +92,56 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"feature": seen, "neg": n[0, seen], "pos": n[1, seen]})
 
 
-def logistic(doc: np.ndarray, col: np.ndarray, value: np.ndarray, label: np.ndarray, width: int, penalty: float = 1e-4,
-             rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression over sparse rows by full-batch Adam."""
-    w, m, v = (np.zeros(width + 1) for _ in range(3))
+class Slope:
+    """Slope of the mean logistic loss with an L2 penalty over a written table of rows (label, cols)
+    at given weights, the intercept last.
+
+    Rows stay in their tasks: a task sends one sum. Every document's share is rounded to ``GRAIN``,
+    so sums are exact in double precision whatever the split or the order.
+    """
+
+    def __init__(self, rows: DataFrame, value: np.ndarray, n: int, penalty: float):
+        self.rows, self.value, self.n, self.penalty = rows, value, n, penalty
+
+    def __call__(self, w: np.ndarray) -> np.ndarray:
+        value, width = self.value, len(self.value)
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            slope = np.zeros(width + 1)
+            for b in batches:
+                cols = [np.frombuffer(x, np.int32) for x in b["cols"]]
+                doc = np.repeat(np.arange(len(cols)), [len(x) for x in cols])
+                col = np.concatenate([np.zeros(0, np.int32), *cols])
+                margin = np.bincount(doc, w[col] * value[col], minlength=len(cols)) + w[-1]
+                miss = 1 / (1 + np.exp(-np.clip(margin, -50, 50))) - b["label"].to_numpy()
+                slope[:-1] += np.bincount(col, np.rint(miss[doc] * value[col] / GRAIN), minlength=width)
+                slope[-1] += np.rint(miss / GRAIN).sum()
+            yield pd.DataFrame({"slope": [slope.tobytes()]})
+
+        parts = self.rows.mapInPandas(sums, "slope binary").collect()  # a row a task, at most ``TASKS``
+        slope = sum(np.frombuffer(r["slope"]) for r in parts) * GRAIN / self.n
+        slope[:-1] += self.penalty * w[:-1]
+        return slope
+
+
+def descend(loss, width: int, rounds: int = 100, rate: float = 0.1) -> np.ndarray:
+    """Weights after ``rounds`` steps of Adam over all rows. Steps are alike in all weights, so a
+    word that is known by many features isn't outweighed by the intercept."""
+    w, m, v = (np.zeros(width) for _ in range(3))
     for t in range(1, rounds + 1):
-        margin = np.bincount(doc, w[col] * value, minlength=len(label)) + w[-1]
-        miss = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - label) / len(label)
-        g = np.append(np.bincount(col, miss[doc] * value, minlength=width), miss.sum())
-        g[:-1] += penalty * w[:-1]
+        g = loss(w)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    return w[:-1], float(w[-1])
+    return w
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = 20_000, width: int = 1024, sure: float = 4.0, mod: int = 3, held_out: int = 1) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = 20_000, sure: float = 4.0, mod: int = 3, held_out: int = 1,
+        penalty: float = 1e-4, rounds: int = 100) -> Model:
     """Learn from at most ``sample`` labelled documents outside the held-out fold.
 
-    Features are kept that the classes hold unequally by a likelihood-ratio test of at least
-    ``sure`` standard deviations, the ``width`` surest of them. Without two classes the score is the share of label 1, or 0 if
-    there is no label at all.
+    All features are kept that the classes hold unequally by a likelihood-ratio test of at least
+    ``sure`` standard deviations. Without two classes the score is the share of label 1, or 0 if
+    there is no label at all; without such a feature it is the share of label 1 in the sample.
     """
     small_batches(documents.sparkSession)
     rows = label_sample(documents, labels.filter("toxic IN (0, 1)"), "toxic", mod, held_out, sample)
@@ -127,8 +161,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 20_000, width: in
     both, none = p + q, F.lit(n0 + n1) - p - q
     test = (part(p, n1) + part(q, n0) + part(F.lit(n1) - p, n1) + part(F.lit(n0) - q, n0)
             - both * F.log(both) - F.when(none > 0, none * F.log(none)).otherwise(0.0))
-    best = counts.filter("neg + pos >= 3").select("feature", ratio.alias("r"), F.sqrt(F.greatest(2 * test, F.lit(0.0))).alias("z")).orderBy(
-        F.desc("z"), "feature").filter(F.col("z") >= sure).limit(width).toPandas()  # ``width`` rows
+    best = counts.filter("neg + pos >= 3").select("feature", ratio.alias("r"), F.sqrt(F.greatest(2 * test, F.lit(0.0))).alias("z")).filter(
+        F.col("z") >= sure).orderBy("feature").toPandas()  # at most 2^18 rows, the number of features
     feature, r = best["feature"].to_numpy(np.int64), best["r"].to_numpy()
     place = np.full(1 << BITS, -1, np.int32)
     place[feature] = np.arange(len(feature))
@@ -137,14 +171,11 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 20_000, width: in
         for b in batches:
             doc, f = once(b["text"].tolist(), place >= 0)
             ends = np.cumsum(np.bincount(doc, minlength=len(b)))[:-1]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "cols": [x.astype(np.int32).tobytes() for x in np.split(place[f], ends)]})
-
-    held = rows.mapInPandas(kept, "doc_id long, label int, cols binary").toPandas().sort_values("doc_id")  # at most ``sample`` rows of at most ``width`` numbers
-    cols = [np.frombuffer(x, np.int32) for x in held["cols"]]
-    doc = np.repeat(np.arange(len(cols)), [len(x) for x in cols])
-    col = np.concatenate(cols) if cols else np.zeros(0, np.int32)
-    w, intercept = logistic(doc, col, r[col], held["label"].to_numpy(), len(feature))
-    return Model(feature, w * r, intercept)
+            yield pd.DataFrame({"label": b["label"], "cols": [x.astype(np.int32).tobytes() for x in np.split(place[f], ends)]})
+
+    held = cut(rows.select("text", "label").mapInPandas(kept, "label int, cols binary").repartition(TASKS))
+    w = descend(Slope(held.coalesce(TASKS), r, n0 + n1, penalty), len(feature) + 1, rounds)
+    return Model(feature, w[:-1] * r, float(w[-1]))
 
 
 def score_column(spark, model: Model):
