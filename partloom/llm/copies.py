@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from partloom.session import cut
+from partloom.session import written as cut
 
 from . import simhash
 from .common import blocks as dealt, components, groups, roots, small_batches, text_column

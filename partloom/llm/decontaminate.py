@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut, union_all
+from ..session import union_all, written as cut
 from .common import by_bytes, text_column
 
 Q = 10

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from partloom.session import cut
+from partloom.session import written as cut
 
 from .common import blocks as dealt, components, groups, roots, small_batches, spread_join
 

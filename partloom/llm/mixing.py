@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partloom.functions.ranking import rank_within
-from partloom.session import cut
+from partloom.session import written as cut
 
 from .common import WORD
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from partloom.session import cut
+from partloom.session import written as cut
 
 from .common import spread_join
 

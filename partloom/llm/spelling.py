@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from partloom.session import cut, union_all
+from partloom.session import union_all, written as cut
 
 from .common import spread_join
 
