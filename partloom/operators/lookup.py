@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ranking import rank_within
+from ..session import cut
 
 
 def current_revision(rev: DataFrame) -> DataFrame:
@@ -135,17 +136,25 @@ def mentioned_part(texts: DataFrame, part: DataFrame) -> DataFrame:
     """texts(text_id, text) -> the longest part number found anywhere in the text, else
     the first word that looks like one.
 
-    The whole text is cut into the substring lengths that part numbers have, so the
-    containment test is an equi-join and never texts times parts.
+    The containment test is an equi-join and never texts times parts: every place of a text
+    is looked up by the first characters that all part numbers have, and only where a part
+    number starts like that is the text cut into the lengths that such part numbers have.
+    Texts are dealt out first, as few files may hold very many.
     """
     spark = texts.sparkSession
     up = texts.select("text_id", F.upper("text").alias("text"))
-    pieces = spark.sql("""
-        SELECT DISTINCT text_id, substring(text, pos, size) AS part_number
-        FROM (SELECT text_id, text, size, explode(sequence(1, length(text) - size + 1)) AS pos
-              FROM (SELECT text_id, text, explode((SELECT collect_set(length(part_number)) FROM {p})) AS size FROM {t})
-              WHERE size <= length(text))""", p=part, t=up)
-    best = pieces.join(part.select("part_number").distinct(), "part_number").groupBy("text_id").agg(
+    number = cut(part.filter("part_number IS NOT NULL").select("part_number", F.length("part_number").alias("size")).distinct())
+    reach = number.agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    head = spark.sql("SELECT substring(part_number, 1, (SELECT least FROM {r})) AS head, collect_set(size) AS sizes FROM {n} GROUP BY 1", n=number, r=reach)
+    place = spark.sql("""
+        SELECT text_id, rest, substring(rest, 1, least) AS head
+        FROM (SELECT text_id, least, substring(text, pos, most) AS rest
+              FROM (SELECT text_id, text, least, most, explode(sequence(1, length(text) - least + 1)) AS pos
+                    FROM (SELECT text_id, text, (SELECT least FROM {r}) AS least, (SELECT most FROM {r}) AS most FROM {t})
+                    WHERE least <= length(text)))""", t=up.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), r=reach)
+    pieces = place.join(head, "head").select("text_id", "rest", F.explode("sizes").alias("size")).filter("size <= length(rest)").select(
+        "text_id", F.expr("substring(rest, 1, size)").alias("part_number"))
+    best = pieces.join(number.select("part_number"), "part_number").groupBy("text_id").agg(
         F.min(F.struct(-F.length("part_number"), "part_number")).getField("part_number").alias("exact"))
     token = F.nullif(F.regexp_extract("text", r"\b([A-Z][A-Z0-9]+(?:-[A-Z0-9]+)+)\b", 1), F.lit(""))
     return up.join(best, "text_id", "left").select("text_id", F.coalesce("exact", token).alias("part_number"))

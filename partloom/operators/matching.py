@@ -197,6 +197,8 @@ def best_partner(solid: DataFrame, components: list[str] = COMPONENTS) -> DataFr
 
     Exact without all pairs: the search radius grows, and a solid is settled once its
     best partner lies within the radius, as any better one would have been met too.
+    Solids of a variant whose figures are equal are compared once, by their least name, so
+    a shape that is stored very often is no hot bucket.
     Solids without a positive size or with an unknown component, and those for which no
     such solid of the other variant exists, come first, with no partner.
     """
@@ -214,13 +216,18 @@ def best_partner(solid: DataFrame, components: list[str] = COMPONENTS) -> DataFr
     settled = [asked.filter("NOT _ok").select("case_id", "variant", "solid_id", "other", null("partner", s.schema["solid_id"].dataType), null("size_error", "double"),
                                               null("shape_error", "double"), null("same_strict", "boolean"))]
     want, s, radius = asked.filter("_ok").drop("_known", "_there", "_ok"), s.filter("_known").drop("_known"), SIZE_TOLERANCE
+    figures = ["char_length", *components]
+    first = F.min(F.struct("solid_id", "strict")).alias("f")
+    shape_b = cut(s.groupBy("case_id", F.col("variant").alias("other"), *figures).agg(first).select(
+        "case_id", "other", *figures, F.col("f.solid_id").alias("solid_id"), F.col("f.strict").alias("strict")))
     while not want.isEmpty():
-        shape_b = s.withColumnRenamed("variant", "other")
-        pairs = near_pairs(want, shape_b, min(radius, 1.0), radius, ["case_id", "other"], components)
+        alike = ["case_id", "variant", "other", *figures]
+        pairs = near_pairs(want.select(*alike).distinct(), shape_b, min(radius, 1.0), radius, ["case_id", "other"], components)
         score = F.col("size_error") + F.col("shape_error")
-        best = pairs.groupBy(*[F.col(f"a_{k}").alias(k) for k in ("case_id", "variant", "solid_id", "other")], F.col("a_strict").alias("strict")).agg(
+        of_alike = pairs.groupBy(*[F.col(f"a_{k}").alias(k) for k in alike]).agg(
             F.min(F.struct(score.alias("score"), F.col("b_solid_id").alias("partner"), "size_error", "shape_error",
                            F.col("b_strict").alias("their_strict"))).alias("m"))
+        best = want.join(of_alike, alike).groupBy("case_id", "variant", "solid_id", "other", "strict").agg(F.min("m").alias("m"))
         done = cut(best.filter(F.col("m.score") <= radius).select(
             "case_id", "variant", "solid_id", "other", F.col("m.partner").alias("partner"), F.col("m.size_error").alias("size_error"),
             F.col("m.shape_error").alias("shape_error"), (F.col("strict") == F.col("m.their_strict")).alias("same_strict")))
