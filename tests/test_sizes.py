@@ -33,3 +33,13 @@ def test_the_owner_of_the_session_decides(spark):
         assert spark.conf.get(PACKED) == "3.0"
     finally:
         spark.conf.set(PACKED, before)
+
+
+def test_a_level_of_some_megabytes_stays_with_the_executors(spark):
+    level = cut(spark.range(100_000).withColumn("v", F.col("id") * 3))
+    other = cut(spark.range(120_000).withColumn("w", F.col("id") * 5))
+    joined = level.join(other, "id").groupBy((F.col("id") % 10).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    assert sum(r.n for r in joined.collect()) == 100_000
+    joined.collect()
+    ran = joined._jdf.queryExecution().executedPlan()
+    assert "BroadcastHashJoin" not in ran.toString()
