@@ -10,7 +10,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cluster, digest, fits, geometry as g, pose
-from ..session import cut
+from ..session import bucketed, cut
 from . import features
 
 # Angles that count as parallel, and the least area share of a seat.
@@ -28,9 +28,9 @@ def find_instances(asked: DataFrame, occ: DataFrame, rev: DataFrame, part: DataF
     One join per path segment for all paths together.
     """
     number = rev.select(F.col("revision_id").alias("child_rev"), "part_id").join(part.select("part_id", "part_number"), "part_id")
-    edges = cut(occ.join(number, "child_rev").select(
+    edges = bucketed(occ.join(number, "child_rev").select(
         F.col("parent_rev").alias("rev"), F.when(F.coalesce("instance_name", F.lit("")) != "", F.col("instance_name"))
-        .otherwise(F.col("part_number")).alias("step"), "occurrence_id", "child_rev", *[F.col(c).alias(f"e_{c}") for c in pose.COLUMNS]))
+        .otherwise(F.col("part_number")).alias("step"), "occurrence_id", "child_rev", *[F.col(c).alias(f"e_{c}") for c in pose.COLUMNS]), "rev", "step")
     steps = F.filter(F.split("path", "/"), lambda s: s != "")
     state = cut(asked.select("ask_id", F.col("root_rev").alias("rev"), steps.alias("steps")).select("*", *pose.identity()))
     found = []
