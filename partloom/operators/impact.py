@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut
 from . import graph
 
 
@@ -26,11 +27,13 @@ def subscribers(asked: DataFrame, subscription: DataFrame) -> DataFrame:
 def chain_partners(asked: DataFrame, member: DataFrame) -> DataFrame:
     """Chains of the asked parts and every part with a dimension in them: (source_part, chain_id, part_id).
 
-    Pairs are made only for the asked parts, from distinct (chain, part) rows.
+    Pairs are made only for the asked parts, from distinct (chain, part) rows. Members travel to the
+    asked parts and to their chains; only what stays is made distinct.
     """
-    pairs = member.select("chain_id", "part_id").distinct()
-    mine = pairs.join(asked.select("part_id").distinct(), "part_id", "left_semi").withColumnRenamed("part_id", "source_part")
-    return mine.join(pairs, "chain_id")
+    pairs = member.select("chain_id", "part_id")
+    mine = cut(pairs.join(asked.select("part_id").distinct(), "part_id", "left_semi").distinct().withColumnRenamed("part_id", "source_part"))
+    near = pairs.join(mine.select("chain_id").distinct(), "chain_id", "left_semi").distinct()
+    return mine.join(near, "chain_id")
 
 
 def filled_sockets(asked: DataFrame, socket: DataFrame, rev: DataFrame, part: DataFrame) -> DataFrame:

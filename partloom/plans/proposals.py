@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..operators import impact, lookup, sockets, tolerance
-from ..session import cut, union_all
+from ..session import bucketed, cut, union_all
 from . import declared, overlay
 from .base import Product
 
@@ -48,7 +48,7 @@ def rebuild_ancestors(prepared: DataFrame, product: Product) -> tuple[DataFrame,
     live configuration that reaches a replaced one is made anew; nothing else changes.
     """
     inside = product.live.select(F.col("revision_id").alias("parent_rev")).distinct()
-    edges = cut(product.occ.join(inside, "parent_rev", "left_semi").select("parent_rev", "child_rev").distinct())
+    edges = bucketed(product.occ.join(inside, "parent_rev", "left_semi").select("parent_rev", "child_rev").distinct(), "child_rev")
     start = cut(prepared.filter("old_rev IS NOT NULL").select("commit_id", F.col("old_rev").alias("revision_id")))
     level = seen = start
     while True:  # a pair is walked from once
