@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from partloom.functions.ranking import numbered
-from partloom.operators import lookup
+from partloom.operators import landing, lookup
 
 from .test_rules import NODE, forty_bolts, land
 
@@ -49,3 +49,30 @@ def test_part_numbers_keep_the_other_columns(spark):
     d = spark.createDataFrame([("f", "k1", "N", 2, "x"), ("f", "k2", "N", 1, "y"), ("g", "k1", "N", 1, "z")], "file_id string, definition_key string, name string, first_seen int, other string")
     assert {(r.file_id, r.definition_key, r.part_number, r.other) for r in lookup.with_part_numbers(d).collect()} == {("f", "k2", "N", "y"), ("f", "k1", "N#2", "x"), ("g", "k1", "N", "z")}
     assert lookup.number_colliding_names(d.union(d)).filter(F.col("part_number") == "N#2").count() == 1
+
+
+def trees(spark):
+    """Nodes of three files: repeated definitions, rows that come twice, nameless, keyless and nodeless ones."""
+    rows = [(None, "x", None, "k", 0, "N", None)]
+    for f, size in (("short", 3), ("long", 40), ("other", 1)):
+        rows += [(f, "r", None, "root", 0, "ROOT", None), (f, None, "r", None, 1, "lost", "s"), (f, None, "r", "dim", 5, None, "s")]
+        for i in range(size):
+            rows += [(f, f"a{i}", "r", f"asm{i % 20}", 9 - i, "ASM" if i % 3 else None, None), (f, f"b{i}", f"a{i}", f"bolt{i % 7}", i, "B", "s"), (f, f"b{i}", f"a{i}", f"bolt{i % 7}", i, "B", "s")]
+    return spark.createDataFrame(rows, "file_id string, node_id string, parent_id string, definition_key string, position int, name string, solid_id string")
+
+
+def test_definitions_of_short_and_long_files_are_found_alike(spark, monkeypatch):
+    n = trees(spark)
+    short = {tuple(r) for r in landing._definitions(n).select("file_id", "definition_key", "first_seen", "node_id", "name", "solid_id", "kids", "part_number", "is_assembly").collect()}
+    assert ("short", "root", 0, "r", "ROOT", None, 5, "ROOT", 1) in short and ("short", "asm1", 8, "a1", "ASM", None, 2, "ASM#2", 1) in short
+    assert ("long", "asm0", -11, "a20", "ASM", None, 2) in {r[:7] for r in short} and ("short", "dim", 5, None, "unnamed", "s", 0, "unnamed", 0) in short
+    assert len(short) == len({r[:2] for r in short}) and None not in {r[0] for r in short}
+    for most in (0, 30):
+        monkeypatch.setattr(landing, "SHORT", most)
+        found = landing._definitions(n).select("file_id", "definition_key", "first_seen", "node_id", "name", "solid_id", "kids", "part_number", "is_assembly").collect()
+        assert {tuple(r) for r in found} == short and len(found) == len(short)
+
+
+def test_nodes_of_short_files_move_once(spark):
+    plan = landing._of_short_files(trees(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
