@@ -2,7 +2,9 @@
 
 from dataclasses import replace
 
-from partloom.operators import hashing
+from pyspark.sql import functions as F
+
+from partloom.operators import hashing, impact
 from partloom.plans import conflicts
 from partloom.session import cut
 
@@ -65,3 +67,29 @@ def test_without_commits(spark):
     none = conflicts.analyse(spark.createDataFrame([], "commit_id string, base_root string, current_root string, current_rev string"),
                              spark.createDataFrame([], "commit_id string, part_id string"), product, h, hashing.with_hashes(product.rev, h))
     assert none.collect() == []
+
+
+def test_a_closure_of_asked_rows_is_that_part_of_the_whole(spark):
+    product = history(spark)
+    chain = spark.createDataFrame([("c1", "gap 1"), ("c2", "gap"), ("c3", None), ("c4", "far")], "chain_id string, name string")
+    member = spark.createDataFrame([("c1", "lid"), ("c1", "nut"), ("c2", "lid"), ("c2", "nut"), ("c2", "nut"), ("c3", "lid"), ("c3", "bar"), ("c4", "bar"), (None, "lid")], "chain_id string, part_id string")
+    changed = spark.createDataFrame([("a", "lid"), ("b", "sub"), ("a", "lid")], "commit_id string, part_id string")
+    closure = lambda *asked: impact.dependency_closure(changed, member, chain, product.socket, product.occ, product.rev, product.subscription, *asked)
+    whole = {tuple(r) for r in closure().collect()}
+    assert {r[:3] for r in whole} == {("a", "lid", True), ("a", "nut", False), ("a", "bar", False), ("b", "sub", True), ("b", "lid", False)}
+    # of the names with their quote the least; a chain without a name is called null
+    assert {r[1]: r[3] for r in whole if r[0] == "a" and not r[2]} == {"nut": "meets it in chain 'gap 1'", "bar": "meets it in chain 'null'"}
+    asked = spark.createDataFrame([("a", "nut"), ("a", "nut"), ("a", "lid"), ("b", "lid"), ("b", "nut"), ("c", "lid")], "commit_id string, part_id string")
+    got = closure(asked)
+    assert {tuple(r) for r in got.collect()} == {r for r in whole if r[:2] in {("a", "nut"), ("a", "lid"), ("b", "lid")}} and got.count() == 3
+
+
+def test_the_closure_is_followed_from_the_parts_that_commits_touch(spark, monkeypatch):
+    product, seen, plain = history(spark), [], impact.dependency_closure
+    monkeypatch.setattr(impact, "dependency_closure", lambda *a: seen.append(plain(*a)) or seen[0])
+    h = cut(hashing.node_hashes(product.rev, product.occ, product.contract))
+    root = hashing.with_hashes(product.rev, h).filter("part_id = 'top'")
+    hash_of = {r["revision_id"]: r["merkle_hash"] for r in root.collect()}
+    conflicts.analyse(spark.createDataFrame([("x", hash_of["top1"], hash_of["top2"], "top2")], "commit_id string, base_root string, current_root string, current_rev string"),
+                      spark.createDataFrame([("x", "nut")], "commit_id string, part_id string"), product, h, hashing.with_hashes(product.rev, h)).collect()
+    assert seen[0].select(F.col("part_id")).distinct().collect() == [("nut",)]
