@@ -34,6 +34,7 @@ MOST = 36  # of 128 bits
 FEW = 32
 SHARD = 16_000  # marks of a shard that one task compares at once
 PIECE = 1000  # sets of a shard that one task counts out at once
+PAIRS = 1 << 16  # that are compared at once, so that they stay in the processor's cache
 BYTES = 6  # of a shingle's hash that travel
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(WORDS)]
 _SALT = [np.uint64(x) for x in (0, 0xD1B54A32D192ED03)]
@@ -152,6 +153,13 @@ def _block(f0: np.ndarray, f1: np.ndarray, k: int) -> np.ndarray:
     return (word >> np.uint64(at * WIDTH)) & np.uint64((1 << WIDTH) - 1)
 
 
+def _pieces(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``left`` in pieces that make some ``PAIRS`` pairs with ``right``."""
+    step = max(PAIRS // max(len(right), 1), 1)
+    for at in range(0, len(left), step):
+        yield left[at:at + step], right
+
+
 def _candidates(g: dict, leaves: int, sides: str, b0: str, b1: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of a group whose marks may belong to similar sets and meet here for the first time."""
     f0, f1, resident = g["f0"].view(np.uint64), g["f1"].view(np.uint64), g["resident"] > 0
@@ -160,20 +168,25 @@ def _candidates(g: dict, leaves: int, sides: str, b0: str, b1: str) -> Iterator[
     same = g[b0][0] == g[b1][0]
     left = np.arange(len(f0)) if same else np.flatnonzero(g[sides] == 0)
     right = left if same else np.flatnonzero(g[sides] == 1)
-    for at in range(0, len(left), 256):
-        own = left[at:at + 256]
+    spans = [(left, right)]
+    if shard >= 0:  # nothing is asked of two visitors, and most marks are: residents meet all, once
+        spans = [(left[resident[left]], right)] + ([] if same else [(left[~resident[left]], right[resident[right]])])
+    for own, others in (piece for span in spans for piece in _pieces(*span)):
         if shard < 0:
-            i, j = (x.ravel() for x in np.broadcast_arrays(own[:, None], right[None, :]))
+            i, j = (x.ravel() for x in np.broadcast_arrays(own[:, None], others[None, :]))
+            once = i < j
         else:
-            i, j = np.nonzero(np.bitwise_count(f0[own][:, None] ^ f0[right][None, :]) <= MOST)
-            i, j = own[i], right[j]
+            # half of the bits say little: nearly all pairs of marks are within MOST there
+            far = np.bitwise_count(f0[own][:, None] ^ f0[others][None, :])
+            far += np.bitwise_count(f1[own][:, None] ^ f1[others][None, :])
+            i, j = np.nonzero(far <= MOST)
+            i, j = own[i], others[j]
+            once = (i < j) | ~resident[j]
         if same:
-            i, j = i[i < j], j[i < j]
+            i, j = i[once], j[once]
         if apart is not None:
             i, j = i[apart[i] != apart[j]], j[apart[i] != apart[j]]
         if shard >= 0:
-            keep = (np.bitwise_count(f0[i] ^ f0[j]) + np.bitwise_count(f1[i] ^ f1[j]) <= MOST) & (resident[i] | resident[j])
-            i, j = i[keep], j[keep]
             # in this block they are in reach, in none before it
             for k in range(shard // leaves + 1):
                 near = np.bitwise_count(_block(f0[i], f1[i], k) ^ _block(f0[j], f1[j], k)) <= 1

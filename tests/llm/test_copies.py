@@ -87,3 +87,40 @@ def test_small_sets_are_found_exactly(spark, documents):
     links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] & sets[j] and similarity(sets[i], sets[j]) >= 0.8]
     got = sorted(r["doc_id"] for r in copies.deduplicated(documents(list(enumerate(texts)))).collect())
     assert got == sorted(set(closure(len(sets), links)))
+
+
+def a_shard(n, shard, apart):
+    """Random marks, one in six a resident, and some that are nearly the same."""
+    draw = np.random.default_rng(n)
+    f0, f1 = (draw.integers(0, 2 ** 63, n).astype(np.int64) for _ in range(2))
+    for a, b in draw.integers(0, n, (40, 2)):
+        f0[b], f1[b] = f0[a] ^ (1 << int(draw.integers(60))), f1[a] ^ (1 << int(draw.integers(60)))
+    return {"shard": np.full(n, shard), "f0": f0, "f1": f1, "resident": draw.choice([0, 0, 0, 0, 1, 2], n).astype(np.int8),
+            "c0": np.zeros(n, np.int64), "c1": np.full(n, int(apart)), "cside": draw.integers(0, 2, n), "b0": np.zeros(n, np.int64), "b1": np.ones(n, np.int64), "side": draw.integers(0, 2, n)}
+
+
+@pytest.mark.parametrize("block, apart, dealt", [(0, False, False), (3, False, False), (3, True, False), (3, False, True), (3, True, True)])
+def test_candidates_of_a_shard_equal_all_pairs(monkeypatch, block, apart, dealt):
+    monkeypatch.setattr(copies, "PAIRS", 1000)
+    leaves = copies.simhash.tree(copies.WIDTH, 1, copies.LEAF).leaves
+    g = a_shard(300, block * leaves + 5, apart)
+    bits = [int(np.uint64(a)) | int(np.uint64(b)) << 64 for a, b in zip(g["f0"], g["f1"])]
+    part = lambda x, k: (x >> ((0 if k < 5 else 64) + k % 5 * 12)) & 4095
+    want = set()
+    for i in range(300):
+        for j in range(i):
+            near = [k for k in range(10) if (part(bits[i], k) ^ part(bits[j], k)).bit_count() <= 1]
+            met = (not apart or g["cside"][i] != g["cside"][j]) and (not dealt or g["side"][i] != g["side"][j])
+            if met and (g["resident"][i] or g["resident"][j]) and (bits[i] ^ bits[j]).bit_count() <= copies.MOST and near[:1] == [block]:
+                want.add((j, i))
+    sides = ("side", "b0", "b1") if dealt else ("cside", "c0", "c0")
+    got = [(min(a, b), max(a, b)) for i, j in copies._candidates(g, leaves, *sides) for a, b in zip(i.tolist(), j.tolist())]
+    assert set(got) == want and len(got) == len(want) and (want or block)
+
+
+def test_marks_that_are_not_alike_are_never_listed_as_pairs(monkeypatch):
+    listed, plain = [], np.nonzero
+    monkeypatch.setattr(copies.np, "nonzero", lambda x: listed.append(len((out := plain(x))[0])) or out)
+    for _ in copies._candidates(a_shard(2000, 5, False), copies.simhash.tree(copies.WIDTH, 1, copies.LEAF).leaves, "cside", "c0", "c1"):
+        pass
+    assert sum(listed) < 3 * 2000  # of four million pairs; random marks are apart
